@@ -42,7 +42,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CACHE = 600_000
 
 #: What isn't split at ASCII white space alone: special tokens, sigma (its lower case can depend on neighbours), other separators.
-_WHOLE = re.compile("<\\||Σ|[\x1c-\x1f\x85\xa0 ᠎ -     　﻿]")
+_WHOLE = re.compile("<\\||Σ|[^\\S \\t\\n\\x0b\\f\\r]|[᠎​﻿]")
 _workers: dict[str, tuple] = {}
 
 
