@@ -6,11 +6,13 @@ from gristmill.llm.gif_media import op1_gif_media
 from gristmill.llm.line_dedup import OP6_SQL, op6_line_dedup
 from gristmill.llm.packing import op7_packing
 from gristmill.llm.pareto_mix import OP10_SQL, op10_pareto_mix
+from gristmill.llm.secret_markov import op3_secret_markov
 from gristmill.llm.simhash_gray import op2_simhash_gray
 
 QUERIES = {
     "op1_gif_media": op1_gif_media,
     "op2_simhash_gray": op2_simhash_gray,
+    "op3_secret_markov": op3_secret_markov,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op10_pareto_mix": op10_pareto_mix,
