@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gristmill.llm.crf_quality import op8_crf_quality
 from gristmill.llm.gif_media import op1_gif_media
 from gristmill.llm.line_dedup import OP6_SQL, op6_line_dedup
 from gristmill.llm.packing import op7_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_secret_markov": op3_secret_markov,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
+    "op8_crf_quality": op8_crf_quality,
     "op10_pareto_mix": op10_pareto_mix,
 }
 
