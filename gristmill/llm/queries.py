@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gristmill.llm.crf_quality import op8_crf_quality
 from gristmill.llm.gif_media import op1_gif_media
+from gristmill.llm.lang_mixture import op9_lang_mixture
 from gristmill.llm.line_dedup import OP6_SQL, op6_line_dedup
 from gristmill.llm.packing import op7_packing
 from gristmill.llm.pareto_mix import OP10_SQL, op10_pareto_mix
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_crf_quality": op8_crf_quality,
+    "op9_lang_mixture": op9_lang_mixture,
     "op10_pareto_mix": op10_pareto_mix,
 }
 
