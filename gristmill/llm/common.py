@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions.workers import importable
+
 #: ASCII white space, fixed by the word contract ``[^\x20\x09-\x0D]+``.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +57,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of ``rows`` rows at most, so that long texts don't fill a Python worker."""
+    """Arrow batches of ``rows`` rows at most, so that long texts don't fill a Python worker; workers find this package."""
+    importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gristmill.llm.attention_lm import op4_attention_lm
 from gristmill.llm.crf_quality import op8_crf_quality
 from gristmill.llm.gif_media import op1_gif_media
 from gristmill.llm.lang_mixture import op9_lang_mixture
@@ -10,11 +11,14 @@ from gristmill.llm.packing import op7_packing
 from gristmill.llm.pareto_mix import OP10_SQL, op10_pareto_mix
 from gristmill.llm.secret_markov import op3_secret_markov
 from gristmill.llm.simhash_gray import op2_simhash_gray
+from gristmill.llm.toxic_cnn import op5_toxic_cnn
 
 QUERIES = {
     "op1_gif_media": op1_gif_media,
     "op2_simhash_gray": op2_simhash_gray,
     "op3_secret_markov": op3_secret_markov,
+    "op4_attention_lm": op4_attention_lm,
+    "op5_toxic_cnn": op5_toxic_cnn,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_crf_quality": op8_crf_quality,
