@@ -12,11 +12,14 @@ id; all documents are laid end to end and cut into windows of ``WINDOW`` ids.
 
 Only the last window can be short: padding is below ``WINDOW`` ids in all.
 
-Words recur, so a worker keeps the ids of ``CACHE`` words it has met. White space
-never joins with its neighbours in this tokenizer, and so a text's ids are
-those of its white-space-separated words one after the other; texts with
-characters for which that isn't plain (special-token strings, a capital sigma,
-white space outside ASCII) go to the tokenizer whole.
+Words recur: a worker keeps the ids of the words it has met, ``CACHE`` at most, in
+flat arrays by a 64-bit hash. White space never joins with its neighbours in this
+tokenizer: a text's ids are those of its white-space-separated words one after the
+other. New words are cut into the tokenizer's own pieces (letters, single
+digits, other signs), and the pieces go to the tokenizer many at a time, one to a
+line; each piece ends with the one token that has the vocabulary's end-of-word mark.
+Texts with characters for which that isn't plain (special-token strings, a capital
+sigma, white space outside ASCII) go to the tokenizer whole.
 
 Defined results: null and empty texts are the end id alone; very long texts span
 as many windows as they fill; repeated rows are packed each; an empty table
@@ -26,23 +29,31 @@ gives no pieces; extra columns are not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import materialise, small_batches
+from gristmill.llm.wordhash import Ids, Table, different, hashes, split
 
 WINDOW = 2048
 END = 1
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-CACHE = 600_000
+CACHE = 2_000_000
+BYTES = 4_000_000
 
 #: What isn't split at ASCII white space alone: special tokens, sigma (its lower case can depend on neighbours), other separators.
 _WHOLE = re.compile("<\\||Σ|[^\\S \\t\\n\\x0b\\f\\r]|[᠎​﻿]")
+#: The tokenizer's fixed pattern for pieces, on lower-cased text.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _workers: dict[str, tuple] = {}
 
 
@@ -53,21 +64,92 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._reset()
+
+    def _reset(self) -> None:
+        self.table, self.ids = Table(), Ids()
+        self.pieces, self.piece_ids = Table(), Ids()
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, in their order."""
+        cut, many = [], {}
+        for w in words:
+            x = w if w.isascii() else unicodedata.normalize("NFC", w).lower()
+            if x.isalpha():
+                cut.append((x,))
+            elif x[-1] in ".,|!?;:%#$&*" and x[:-1].isalpha():
+                cut.append((x[:-1], x[-1]))
+            else:
+                cut.append(_PIECE.findall(x))
+        for xs in cut:
+            for x in xs:
+                many.setdefault(x, len(many))
+        keys = np.fromiter((xxhash.xxh64_intdigest(x) for x in many), np.uint64, len(many))
+        slots = self.pieces.find(keys)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = self.pieces.add(keys[new])
+            every = list(many)
+            self.piece_ids.add(*self._encode([every[k] for k in new.tolist()]))
+        flat, n = self.piece_ids.take(slots[np.fromiter((many[x] for xs in cut for x in xs), np.int64)])
+        pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(pieces)))]
+        self.ids.add(flat, np.diff(upto))
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces end to end, and how many each has."""
+        flat, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for k in range(0, len(pieces), 10_000):
+            some = pieces[k : k + 10_000]
+            a = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            stop = np.flatnonzero(self.ends[a]) + 1
+            if len(stop) == len(some):
+                flat.append(a)
+                lengths.append(np.diff(stop, prepend=0))
+            else:
+                got = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+                flat.append(np.array([i for g in got for i in g], "<u4"))
+                lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def _plain(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        buffer, start, stop, per_text = split(texts)
+        codes, values, first = different(hashes(buffer, start, stop))
+        if self.table.size + len(values) > CACHE:
+            self._reset()
+        slots = self.table.find(values)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = self.table.add(values[new])
+            self._learn([buffer[i:j].decode("utf-8", "surrogatepass") for i, j in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
+        flat, n = self.ids.take(slots[codes])
+        sums = np.concatenate(([0], np.cumsum(n)))
+        ends = sums[np.cumsum(per_text)] if len(per_text) else np.zeros(0, np.int64)
+        return np.insert(flat, ends, end), np.diff(ends, prepend=0) + 1
 
     def batch(self, texts: list[str | None], end: int) -> list[bytes]:
-        tail = np.array([end], "<u4").tobytes()
-        words = [None if _WHOLE.search(t) else t.split() for t in (x or "" for x in texts)]
-        known = self.known
-        new = list({w for ws in words if ws for w in ws} - known.keys())
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for ws in words if ws for w in ws})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) + tail if ws is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + tail for t, ws in zip(texts, words, strict=True)]
+        plain = lambda t: "<|" not in t and (t.isascii() and not _SEPARATORS.search(t) or not _WHOLE.search(t))
+        texts = [t or "" for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        group: list[int] = []
+        size = 0
+        for k, t in enumerate(texts):
+            if not plain(t):
+                out[k] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes()
+            else:
+                group.append(k)
+                size += len(t)
+            if group and (size > BYTES or k == len(texts) - 1):
+                flat, n = self._plain([texts[i].encode("utf-8", "surrogatepass").lower() for i in group], end)
+                raw, stops = flat.tobytes(), (4 * np.cumsum(n)).tolist()
+                for i, a, b in zip(group, [0, *stops[:-1]], stops, strict=True):
+                    out[i] = raw[a:b]
+                group, size = [], 0
+        return out
 
 
 def token_table(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
