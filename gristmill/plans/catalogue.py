@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from gristmill.plans import flows, search, words  # noqa: F401
+from gristmill.plans import flows, search, sheets, words  # noqa: F401
 from gristmill.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
