@@ -7,9 +7,10 @@ from the pieces between matches: their lengths, summed up, are the places.
 
 ``train`` counts character transitions of labelled strings (1 random, 0 ordinary)
 and returns the table of log-likelihood ratios, start and end included. In
-the query the labels come from the corpus: values that a base pattern has found
-are 1, words of a sample of ``TRAIN_DOCS`` documents, the base spans cut out, are 0;
-``TRAIN_SECRETS`` and ``TRAIN_DOCS`` bound the samples, chosen by hash order of the value or id.
+the query values that a base pattern has found are 1, and so are ``GENERATED`` digests
+each in base 64 and in hex; words of a sample of ``TRAIN_DOCS`` documents, the base spans
+cut out and too short to be candidates, are 0. ``TRAIN_SECRETS`` and ``TRAIN_DOCS`` bound the samples, chosen by hash order of the
+value or id.
 A candidate is a secret if its log-likelihood ratio is ``MIN_RATIO`` nats per
 transition or more.
 
@@ -42,8 +43,10 @@ CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}"
 WORDS = r"[A-Za-z0-9+/_=-]{6,}"
 TRAIN_SECRETS = 4096
 TRAIN_DOCS = 512
-MIN_RATIO = 0.5
+MIN_RATIO = 2.0
 PRIOR = 0.5
+BACK_OFF = 5.0
+GENERATED = 256
 
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
 
@@ -90,12 +93,16 @@ def labelled(found: DataFrame, docs: DataFrame) -> DataFrame:
     )
     secrets = found.select(F.explode(F.array_distinct(values)).alias("value"))
     secrets = secrets.orderBy(F.xxhash64("value"), "value").limit(TRAIN_SECRETS).select("value", F.lit(1).alias("label"))
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    n = docs.sparkSession.range(GENERATED).select(F.concat(F.lit("sample:"), F.col("id").cast("string")).alias("s"))
+    made = n.select(F.explode(F.array(F.translate(F.base64(F.unhex(F.sha2("s", 256))), "=", ""), F.sha1("s"))).alias("value"), F.lit(1).alias("label"))
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # TRAIN_DOCS ids
     plain = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         plain = F.regexp_replace(plain, pattern, " ")
     words = some.select(F.explode(F.regexp_extract_all(plain, F.lit(WORDS), F.lit(0))).alias("value"), F.lit(0).alias("label"))
-    return secrets.unionByName(words)
+    words = words.filter(F.length("value") < MIN_CANDIDATE)  # a candidate's label is what is asked
+    return secrets.unionByName(made).unionByName(words)
 
 
 def _transitions(value: Column) -> Column:
@@ -108,11 +115,18 @@ def _transitions(value: Column) -> Column:
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of random over ordinary, STATES * STATES of them, from (value, label)."""
     counts = samples.filter("value is not null and value <> ''").select("label", F.explode(_transitions(F.col("value"))).alias("cell")).groupBy("label", "cell").count()
-    seen = {1: [PRIOR] * STATES**2, 0: [PRIOR] * STATES**2}
+    seen = {1: [0] * STATES**2, 0: [0] * STATES**2}
     for r in counts.collect():  # 2 * STATES ** 2 rows at most
         seen[r["label"]][r["cell"]] += r["count"]
-    sums = {k: [sum(v[s * STATES : (s + 1) * STATES]) for s in range(STATES)] for k, v in seen.items()}
-    return [math.log(seen[1][c] / sums[1][c // STATES]) - math.log(seen[0][c] / sums[0][c // STATES]) for c in range(STATES**2)]
+
+    def logs(n: list[int]) -> list[float]:
+        """Transitions, smoothed towards how often the label has each character at all."""
+        total = sum(n)
+        alone = [(sum(n[c::STATES]) + PRIOR) / (total + PRIOR * STATES) for c in range(STATES)]
+        rows = [sum(n[k * STATES : (k + 1) * STATES]) for k in range(STATES)]
+        return [math.log((n[c] + BACK_OFF * alone[c % STATES]) / (rows[c // STATES] + BACK_OFF)) for c in range(STATES**2)]
+
+    return [a - b for a, b in zip(logs(seen[1]), logs(seen[0]), strict=True)]
 
 
 def ratio(value: Column, model: list[float]) -> Column:
