@@ -8,6 +8,7 @@ import pytest
 from gristmill.llm import line_dedup as L
 from gristmill.llm import pareto_mix as X
 from gristmill.llm import simhash_gray as S
+from tests_llm_brute import brute_components, brute_lines
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bitmap string, component_id string"
 
@@ -16,17 +17,6 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, *[None] * (7 - len(r))) for r in rows], SCHEMA)
 
 
-def brute_lines(docs, min_docs=3, min_chars=20):
-    up = {c: c + 32 for c in range(65, 91)}
-    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(up)
-    held = {}
-    for k, t in docs:
-        for x in (t or "").split("\n"):
-            held.setdefault(key(x), set()).add(k)
-    drop = {x: max(v) for x, v in held.items() if len(x) >= min_chars and len(v) >= min_docs}
-    return {k: "\n".join(x for x in (t or "").split("\n") if drop.get(key(x), k) == k) for k, t in docs}
-
-
 def line_docs():
     rng = random.Random(1)
     pool = [f"line number {k} of a shared passage {'É' if k % 3 else 'x'}" for k in range(30)] + ["short", "", "  "]
@@ -50,15 +40,6 @@ def test_line_dedup_hot_line(spark):
     assert got == brute_lines(docs)
 
 
-def brute_components(fps):
-    comp = list(range(len(fps)))
-    while True:
-        new = [min(comp[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2) for i in range(len(fps))]
-        if new == comp:
-            return comp
-        comp = new
-
-
 @pytest.mark.parametrize("group", [512, 3])
 def test_links_find_every_component(spark, group):
     rng = random.Random(2)
