@@ -58,7 +58,7 @@ def with_descriptions(items: DataFrame, about: DataFrame) -> DataFrame:
 
 def markdown(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
     """(file, text): three or more newlines become two; short files go."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.trim(F.regexp_replace("value", "\n{3,}", "\n\n")).alias("text"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace(F.regexp_replace("value", "\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("text"))
     return raw.filter(F.length("text") >= least)
 
 
@@ -69,7 +69,7 @@ def sections(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = lines.withColumn("n", F.sum(head.cast("int")).over(w).cast("long"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~head, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    return g.groupBy("doc_id", "n").agg(F.max(F.when(head, F.regexp_replace("line", r"^#+ +|\s*\{#[^}]*\}$", ""))).alias("heading"), F.trim(body).alias("body"))
+    return g.groupBy("doc_id", "n").agg(F.max(F.when(head, F.regexp_replace("line", r"^#+ +|\s*\{#[^}]*\}$", ""))).alias("heading"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"))
 
 
 def docx(spark: SparkSession, path: str) -> DataFrame:

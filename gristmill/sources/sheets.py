@@ -26,8 +26,8 @@ def cells(spark: SparkSession, path: str) -> DataFrame:
     """(file, row, col, cell): every cell of small sheets, quotes respected; one file is one row until it is cut."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     lines = raw.select("file", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("row", "line")).filter("line <> ''")
-    field = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,"]*))'
-    n = F.regexp_extract_all("line", F.lit(field), F.lit(0))
+    field = r',(?:"(?:[^"]|"")*"|[^,"]*)'
+    n = F.regexp_extract_all(F.concat(F.lit(","), F.col("line")), F.lit(field), F.lit(0))
     parts = F.transform(n, lambda f: F.replace(F.regexp_replace(F.regexp_replace(f, "^,", ""), '^"|"$', ""), F.lit('""'), F.lit('"')))
     return lines.select("file", "row", F.posexplode(parts).alias("col", "cell")).select("file", "row", "col", F.trim("cell").alias("cell"))
 
