@@ -42,13 +42,13 @@ def test_names_that_are_not_people(spark):
 def test_first_names_and_surnames(spark):
     first = lambda a, b: value(spark, P.first_names_agree(L(a), L(b)))
     last = lambda a, b: value(spark, P.surnames_agree(L(a), L(b)))
-    assert first("Don", "Donald") and first("Bob", "Robert") and first("James/Jimmy", "Jim") and not first("Aylon", "Amir") and not first("", "Bo")
-    assert last("Z", "Zola") and last("MC", "Mercer Cabrera") and last("Li", "li") and not last("Li", "Lima") and not last("", "Li")
+    assert first("Don", "Donald") and first("Bob", "Robert") and first("James/Jimmy", "Jim") and not first("Aron", "Amos") and not first("", "Bo")
+    assert last("Z", "Zola") and last("MC", "Moreno Castro") and last("Li", "li") and not last("Li", "Lima") and not last("", "Li")
 
 
 def test_name_pairs_lose_none(spark):
     firsts = ["Bob", "Robert", "Rob", "Ana", "Anna", "Al", "Alexander", "James/Jimmy", "Jim", "Don", "Donald", "B"]
-    lasts = ["Li", "L", "Mercer Cabrera", "MC"]
+    lasts = ["Li", "L", "Moreno Castro", "MC"]
     rows = [(i, f, l) for i, (f, l) in enumerate(itertools.product(firsts, lasts))]
     df = spark.createDataFrame(rows, "id long, first string, last string")
     got = {(r.a_id, r.b_id) for r in P.name_pairs(df, df).collect()}
@@ -58,7 +58,7 @@ def test_name_pairs_lose_none(spark):
 
 
 def test_near_spellings_and_terms(spark):
-    words = ["garland", "garlan", "garlands", "gerlandx", "stennett", "stenett", "stennet", "bartkowski", "bartkovski"]
+    words = ["lanford", "lanfor", "lanfords", "lenfordx", "kerrigan", "kerigan", "kerriga", "woodmanson", "woodmansen"]
     df = spark.createDataFrame(list(enumerate(words)), "id long, name string")
     got = {(r.a_id, r.b_id) for r in P.near_spellings(df, df, least=6).collect()}
     both = df.toDF("a", "x").join(df.toDF("b", "y"), (F.col("a") != F.col("b")) & (F.levenshtein("x", "y") <= 1))
@@ -89,14 +89,14 @@ def test_statuses_and_commitments(spark):
     assert [s(x) for x in ("Yesssss!", "not coming", "yes/hopefully", "", "Unlikely because")] == ["attending", "not", "maybe", "listed", "not"]
     c = lambda t: value(spark, P.confirms(L(t)))
     assert [c(x) for x in ("420", "0", "NO DUES", "Refunded", "paid", "✓", "")] == [True, False, False, False, True, True, False]
-    n = value(spark, P.split_name(L("~ Jen 'Cheshire' Clement Ray")))
-    assert (n["first"], n["last"], n["nickname"]) == ("Jen", "Clement Ray", "Cheshire")
+    n = value(spark, P.split_name(L("~ Jen 'Comet' Calder Ray")))
+    assert (n["first"], n["last"], n["nickname"]) == ("Jen", "Calder Ray", "Comet")
 
 
 VANISH = [
-    "Last 4 digits: 2775", "Visa ending in 1014", "order 111-7249140-5066635", "Routing Number: 123456789", "4242 4242 4242 4242",
+    "Last 4 digits: 2775", "Visa ending in 1014", "order 111-1234567-7654321", "Routing Number: 123456789", "4242 4242 4242 4242",
     "write to someone@gmail.com", "Ana's cell number is +1 415 555 0199", "Phone: +15555550100.", "Ana - 415-555-0199",
-    "Shipping Address: Ana, 1272 RHODE ISLAND ST UNIT 19, SAN FRANCISCO, CA 94107-4405",
+    "Shipping Address: Ana, 1272 LONG MEADOW ST UNIT 19, SPRING VALLEY, CA 94107-4405",
 ]
 SURVIVE = [
     "The yard is at 12 Main Street, come early", "Bake for 45 minutes at 350", "gate code 4471", "Acme Rentals LLC phone: 775-555-0100",
@@ -179,11 +179,11 @@ def test_passages(spark):
 
 
 def test_search_borrows_and_widens(spark):
-    q = spark.createDataFrame([(1, "and Peet?", "where is the pump"), (2, "red pump tank", "x")], "qid int, question string, before string")
+    q = spark.createDataFrame([(1, "and Pav?", "where is the pump"), (2, "red pump tank", "x")], "qid int, question string, before string")
     t = R.question_terms(q, "before")
-    assert {(r.qid, r.term) for r in t.collect()} == {(1, "peet"), (1, "pump"), (2, "red"), (2, "pump"), (2, "tank")}
-    wide = R.widen(t, spark.createDataFrame([("Peet", "Piotr B")], "alias string, name string"))
-    assert (1, "piotr") in {(r.qid, r.term) for r in wide.collect()}
+    assert {(r.qid, r.term) for r in t.collect()} == {(1, "pav"), (1, "pump"), (2, "red"), (2, "pump"), (2, "tank")}
+    wide = R.widen(t, spark.createDataFrame([("Pav", "Pavel B")], "alias string, name string"))
+    assert (1, "pavel") in {(r.qid, r.term) for r in wide.collect()}
 
 
 def test_vectors(spark):
