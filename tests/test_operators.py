@@ -179,10 +179,10 @@ def test_passages(spark):
 
 
 def test_search_borrows_and_widens(spark):
-    q = spark.createDataFrame([(1, "and Pav?", "where is the pump"), (2, "red pump tank", "x")], "qid int, question string, before string")
+    q = spark.createDataFrame([(1, "and Zed?", "where is the pump"), (2, "red pump tank", "x")], "qid int, question string, before string")
     t = R.question_terms(q, "before")
-    assert {(r.qid, r.term) for r in t.collect()} == {(1, "pav"), (1, "pump"), (2, "red"), (2, "pump"), (2, "tank")}
-    wide = R.widen(t, spark.createDataFrame([("Pav", "Pavel B")], "alias string, name string"))
+    assert {(r.qid, r.term) for r in t.collect()} == {(1, "zed"), (1, "pump"), (2, "red"), (2, "pump"), (2, "tank")}
+    wide = R.widen(t, spark.createDataFrame([("Zed", "Pavel B")], "alias string, name string"))
     assert (1, "pavel") in {(r.qid, r.term) for r in wide.collect()}
 
 
