@@ -34,6 +34,11 @@ def strings(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, where ``use`` mentions it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order, repeats kept."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD_CHARS}+"), F.lit(0))
@@ -167,9 +172,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+def word_runs(tokens: Column, n: int) -> Column:
+    """All n-word runs, in order."""
+    some = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    return let(tokens, lambda w: F.when(F.size(w) >= n, some(w)).otherwise(F.array().cast("array<string>")))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct n-word runs."""
-    return F.when(F.size(tokens) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(word_runs(tokens, n))
 
 
 def unescape_html(text: Column) -> Column:

@@ -23,8 +23,7 @@ LAYERS = (
 
 def coverage(text: Column, terms: Column) -> Column:
     """How many of the distinct terms the text has."""
-    low = F.lower(text)
-    return F.size(F.filter(F.array_distinct(terms), lambda t: T.contains_word(low, t)))
+    return T.let(F.lower(text), lambda low: F.size(F.filter(F.array_distinct(terms), lambda t: T.contains_word(low, t))))
 
 
 def semantic_coverage(similarity: Column) -> Column:

@@ -38,15 +38,30 @@ def word_index(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.explode(T.words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("hits"))
 
 
+def term_hits(rows: DataFrame, terms: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, term, hits): the rows' whole-word counts of the questions' terms.
+
+    A short vocabulary, counted first, is looked for inside each row, so that nothing but hits leaves the scan; a long one is met by a join.
+    """
+    vocabulary = [r["term"] for r in terms.select("term").distinct().limit(257).collect()]
+    if len(vocabulary) <= 256:
+        first = "".join(sorted({w[0] for w in vocabulary})) or "x"  # terms are letters and digits
+        whole = rf"(?=[{first}])(?<!{T.WORD_CHARS})(?:{'|'.join(sorted(vocabulary)) or '(?!)'})(?!{T.WORD_CHARS})"
+        mine = F.regexp_extract_all(F.lower(text), F.lit(whole), F.lit(0))
+        found = rows.select(*keep, mine.alias("_mine")).filter(F.size("_mine") > 0)
+        return found.select(*keep, "_mine", F.explode(F.array_distinct("_mine")).alias("term")).select(*keep, "term", F.size(F.filter("_mine", lambda w: w == F.col("term"))).cast("long").alias("hits"))
+    return rows.select(*keep, F.explode(T.words(F.col(text))).alias("term")).join(terms.select("term").distinct(), "term").groupBy(*keep, "term").agg(F.count("*").alias("hits"))
+
+
 def first_word_hits(rows: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """(qid, key, term, n): terms whose first occurrence in the text is a whole word.
 
     The equi-join on words nominates; the first-occurrence test then decides on the row's own text.
     """
     small = F.broadcast(terms) if terms.count() <= 10_000 else terms
-    nominated = rows.select(key, F.explode(F.array_distinct(T.words(F.col(text)))).alias("term")).join(small, "term")
     lower = rows.select(key, F.lower(text).alias("_lower"))
-    return nominated.join(lower, key).filter(T.contains_word(F.col("_lower"), F.col("term"))).select("qid", key, "term", "n")
+    hits = term_hits(lower, terms, "_lower", key, "_lower")
+    return hits.filter(T.contains_word(F.col("_lower"), F.col("term"))).select(key, "term").join(small, "term").select("qid", key, "term", "n")
 
 
 def top(scored: DataFrame, k: int, key: str, *order: Column) -> DataFrame:
@@ -68,8 +83,8 @@ def search_documents(docs: DataFrame, terms: DataFrame, now: int | None = None,
     """
     small = F.broadcast(terms) if terms.count() <= 10_000 else terms
     names = docs.columns
-    body = docs.select("doc_id", F.length("text").alias("n_chars"), F.explode(T.words(F.col("text"))).alias("term"))
-    hits = body.join(small, "term").groupBy("qid", "doc_id", "n_chars").agg(F.count("*").alias("occ"), F.countDistinct("term").alias("different"))
+    body = term_hits(docs.withColumn("n_chars", F.length("text")), terms, "text", "doc_id", "n_chars")
+    hits = body.join(small, "term").groupBy("qid", "doc_id", "n_chars").agg(F.sum("hits").alias("occ"), F.count("*").alias("different"))
     per1k = F.col("occ") * 1000.0 / F.greatest(F.col("n_chars"), F.lit(1))
     base = F.least(F.col("occ").cast("double"), F.lit(40.0)) * 0.6 + F.least(per1k, F.lit(3.0)) + F.when(F.col("different") >= 2, F.col("different")).otherwise(0)
     scored = hits.select("qid", "doc_id", base.alias("body"))
@@ -147,7 +162,7 @@ def search_people(expertise: DataFrame, profiles: DataFrame, terms: DataFrame, k
 def search_stories(stories: DataFrame, terms: DataFrame, k: int = 2, floor: float = 2.0) -> DataFrame:
     """(qid, id, score, rank). Stories (id, title, story, people): title 3, people 2, body one per occurrence up to 3."""
     parts = [first_word_hits(stories, terms, "id", c).select("qid", "id", (F.col("n") * p).alias("p")) for c, p in (("title", 3.0), ("people", 2.0))]
-    body = word_index(stories, "id", "story").join(F.broadcast(terms), "term").select("qid", "id", (F.least(F.col("hits"), F.lit(3)) * F.col("n")).cast("double").alias("p"))
+    body = term_hits(stories, terms, "story", "id").join(F.broadcast(terms), "term").select("qid", "id", (F.least(F.col("hits"), F.lit(3)) * F.col("n")).cast("double").alias("p"))
     total = parts[0].unionByName(parts[1]).unionByName(body).groupBy("qid", "id").agg(F.sum("p").alias("score"))
     return top(total.filter(F.col("score") >= floor), k, "id")
 
@@ -160,16 +175,33 @@ def answers_first(answers: DataFrame, facts: DataFrame) -> DataFrame:
 
 def passage(text: Column, terms: Column, radius: int = 220) -> Column:
     """The window around the occurrence with most occurrences near it: ellipses at cut ends, null when unreadable."""
-    lower = F.lower(text)
-    at = lambda t: F.filter(F.sequence(F.lit(1), F.greatest(F.length(lower) - F.length(t) + 1, F.lit(1))), lambda i: F.call_function("substring", lower, i, F.length(t)) == t)
-    places = F.flatten(F.transform(F.filter(terms, lambda t: T.contains_word(lower, t)), at))
-    dense = F.transform(places, lambda p, i: F.struct(F.size(F.filter(places, lambda o: F.abs(o - p) <= radius)).alias("n"), (-i).alias("i"), p.alias("p")))
-    anchor = F.array_max(dense)["p"] - 1
-    start, end = F.greatest(anchor - radius, F.lit(0)), F.least(anchor + radius, F.length(text))
-    raw = F.trim(F.regexp_replace(F.call_function("substring", text, start + 1, end - start), "[ \n]+", " "))
-    dot = F.call_function("instr", raw, F.lit("."))
-    led = (start > 0) & (dot > 0) & (dot <= 90)
-    window = F.when(led, F.trim(F.call_function("substring", raw, dot + 1))).otherwise(raw)
-    window = F.when((start > 0) & ~led & F.contains(window, F.lit(" ")), F.concat(F.lit("… "), F.regexp_replace(window, "^[^ ]* ", ""))).otherwise(window)
-    window = F.when((end < F.length(text)) & F.contains(window, F.lit(" ")), F.concat(F.regexp_replace(window, " [^ ]*$", ""), F.lit(" …"))).otherwise(window)
-    return F.when((F.size(places) > 0) & T.readable(window), window)
+    def places_of(lower: Column, t: Column) -> Column:
+        """Where a term begins, from the lengths of what stands between; 400 places at most are weighed."""
+        between = F.split(lower, F.concat(F.lit(r"\Q"), t, F.lit(r"\E")), -1)
+        gaps = F.transform(F.slice(between, F.lit(1), F.least(F.size(between) - 1, F.lit(400))), F.length)
+        step = lambda acc, g: F.struct((acc["at"] + g + F.length(t)).alias("at"), F.concat(acc["found"], F.array(acc["at"] + g + 1)).alias("found"))
+        return F.aggregate(gaps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")), step, lambda acc: acc["found"])
+
+    def places_in(lower: Column) -> Column:
+        return F.flatten(F.transform(F.filter(terms, lambda t: T.contains_word(lower, t)), lambda t: places_of(lower, t)))
+
+    def anchor_of(ps: Column) -> Column:
+        near = F.transform(ps, lambda p, i: F.struct(F.size(F.filter(ps, lambda o: F.abs(o - p) <= radius)).alias("n"), (-i).alias("i"), p.alias("p")))
+        return F.array_max(near)["p"] - 1
+
+    def cut(anchor: Column) -> Column:
+        start, end = F.greatest(anchor - radius, F.lit(0)), F.least(anchor + radius, F.length(text))
+        raw = F.trim(F.regexp_replace(F.call_function("substring", text, start + 1, end - start), "[ \n]+", " "))
+        return F.struct(raw.alias("raw"), (start > 0).alias("late"), (end < F.length(text)).alias("early"))
+
+    def dress(c: Column) -> Column:
+        raw, late, early = c["raw"], c["late"], c["early"]
+        dot = F.call_function("instr", raw, F.lit("."))
+        led = late & (dot > 0) & (dot <= 90)
+        window = F.when(led, F.trim(F.call_function("substring", raw, dot + 1))).otherwise(raw)
+        window = F.when(late & ~led & F.contains(window, F.lit(" ")), F.concat(F.lit("… "), F.regexp_replace(window, "^[^ ]* ", ""))).otherwise(window)
+        return F.when(early & F.contains(window, F.lit(" ")), F.concat(F.regexp_replace(window, " [^ ]*$", ""), F.lit(" …"))).otherwise(window)
+
+    anchor = T.let(T.let(F.lower(text), places_in), anchor_of)
+    found = T.let(T.let(anchor, cut), dress)
+    return T.let(found, lambda w: F.when(T.readable(w), w))

@@ -14,16 +14,14 @@ SPECIFIC = r"^(?:[A-Z][a-z]{2,}|\d{1,4})$"
 def invented(answer: Column, facts: Column, common: tuple[str, ...] = ()) -> Column:
     """Distinct specifics of the answer that the facts don't have."""
     found = F.array_distinct(F.filter(F.regexp_extract_all(answer, F.lit(f"{T.WORD_CHARS}+"), F.lit(0)), lambda w: w.rlike(SPECIFIC)))
-    given = T.words(facts)
-    kept = F.filter(found, lambda s: ~F.array_contains(given, F.lower(s)))
+    kept = T.let(T.words(facts), lambda given: F.filter(found, lambda s: ~F.array_contains(given, F.lower(s))))
     return F.array_except(kept, T.strings(common)) if common else kept
 
 
 def copied(texts: DataFrame, sources: DataFrame, key: str, n: int) -> DataFrame:
     """(key, grams, copied): n-word runs of each text, and those that a source has; met by equi-join on the run's hash and text."""
     def runs(text: str) -> Column:
-        w = T.words(F.col(text))
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
+        return T.word_runs(T.words(F.col(text)), n)
 
     own = texts.select(key, F.explode(runs("text")).alias("gram"))
     known = sources.select(F.explode(runs("text")).alias("gram")).distinct().withColumn("_k", F.lit(1))

@@ -223,13 +223,13 @@ def co_mentions(spark, d):
 
 
 @query("contradictions", """
-WITH f AS (SELECT source AS entity_id, 'c' || doc_id % 3 AS category, doc_id AS fact_id, (2000 + doc_id % 20)::INT AS asserted_on,
+WITH f AS (SELECT source AS entity_id, 'c' || doc_id % 3 AS category, doc_id AS fact_id, (2000 + doc_id % 7)::INT AS asserted_on,
              (contains(lower(text), 'no ') OR contains(lower(text), 'not ') OR contains(lower(text), 'never ') OR contains(lower(text), 'zero ') OR contains(lower(text), 'none')) AS neg FROM documents WHERE n_chars < 1500)
 SELECT y.entity_id, y.category, CASE WHEN y.asserted_on < n.asserted_on THEN y.fact_id ELSE n.fact_id END AS earlier, CASE WHEN y.asserted_on < n.asserted_on THEN n.fact_id ELSE y.fact_id END AS later
 FROM f y JOIN f n ON y.entity_id = n.entity_id AND y.category = n.category AND y.asserted_on <> n.asserted_on AND y.neg AND NOT n.neg""")
 def contradictions(spark, d):
     f = read(spark, d, "documents").filter("n_chars < 1500")
-    return E.contradictions(f.select(F.col("source").alias("entity_id"), F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("category"), F.col("doc_id").alias("fact_id"), (2000 + F.col("doc_id") % 20).cast("int").alias("asserted_on"), F.col("text").alias("fact")))
+    return E.contradictions(f.select(F.col("source").alias("entity_id"), F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("category"), F.col("doc_id").alias("fact_id"), (2000 + F.col("doc_id") % 7).cast("int").alias("asserted_on"), F.col("text").alias("fact")))
 
 
 @query("strengths", "SELECT o_custkey AS person_id, o_orderpriority AS topic, count(DISTINCT o_orderkey) AS sources, CASE WHEN count(DISTINCT o_orderkey) >= 3 THEN 'strong' WHEN count(DISTINCT o_orderkey) = 2 THEN 'moderate' ELSE 'mentioned' END AS strength FROM orders GROUP BY ALL")
