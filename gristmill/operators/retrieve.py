@@ -192,7 +192,7 @@ def passage(text: Column, terms: Column, radius: int = 220) -> Column:
     def cut(anchor: Column) -> Column:
         start, end = F.greatest(anchor - radius, F.lit(0)), F.least(anchor + radius, F.length(text))
         raw = F.trim(F.regexp_replace(F.call_function("substring", text, start + 1, end - start), "[ \n]+", " "))
-        return F.struct(raw.alias("raw"), (start > 0).alias("late"), (end < F.length(text)).alias("early"))
+        return F.when(anchor.isNotNull(), F.struct(raw.alias("raw"), (start > 0).alias("late"), (end < F.length(text)).alias("early")))
 
     def dress(c: Column) -> Column:
         raw, late, early = c["raw"], c["late"], c["early"]
