@@ -247,10 +247,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, max_diff: int = MAX_DIFF) -> DataFrame:
-    """(doc_id, text_key, fp, component_id), one row per row of ``docs``."""
-    fps = materialise(fingerprints(docs, words))
-    roots = components(links(fps, max_diff))
+def name_components(fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """``fps`` with component_id, the smallest doc_id of the component that fp is in by ``roots``."""
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -258,16 +256,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_diff: int = MAX_DIF
     return fps.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = WORDS, max_diff: int = MAX_DIFF) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it."""
+def near_duplicates(docs: DataFrame, words: int = WORDS, max_diff: int = MAX_DIFF) -> DataFrame:
+    """(doc_id, text_key, fp, component_id), one row per row of ``docs``."""
+    fps = materialise(fingerprints(docs, words))
+    return name_components(fps, components(links(fps, max_diff)))
+
+
+def keep_one(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component in ``named``: the one that names it."""
     names = docs.columns
-    keep = near_duplicates(docs, words, max_diff).filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("text_key"))
+    keep = named.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("text_key"))
     keep = keep.select(F.col("component_id").alias("_doc"), F.col("text_key").alias("_key"))
     rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     one = rows.join(keep, ["_doc", "_key"], "left_semi").dropDuplicates(["_doc", "_key"])
     return one.select(*[F.col("_row")[c].alias(c) for c in names])
 
 
+def near_dedup(docs: DataFrame, words: int = WORDS, max_diff: int = MAX_DIFF) -> DataFrame:
+    """``docs`` with one document of each component: the one that names it."""
+    return keep_one(docs, near_duplicates(docs, words, max_diff))
+
+
 def op2_simhash_gray(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
