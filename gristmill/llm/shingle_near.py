@@ -9,7 +9,7 @@ words); linked documents form components, and ``near_dedup`` keeps the smallest
    documents come last, so they nominate next to nothing.
 3. Per shared shingle, the set with the fewest rarer shingles is compared with all others; what is linked so is one
    component. Then each set outside that component is compared with all sets of other components. A dense cluster
-   of n near copies so costs about n pairs, not n * n.
+   of n near copies costs about n pairs, and up to n more for each set that its centre doesn't reach.
 4. Pairs are verified by the whole sets, computed anew for the sets in pairs (a bitmap of 2 ** 24 bits keeps most
    others out; the join does the rest).
 
