@@ -21,21 +21,17 @@ than half of the words in repeated windows; such documents aren't kept.
 
 Defined results: null, empty and wordless texts have no words and fail the base;
 whole texts are read, however long; ties in decoding go to content; repeated
-rows get the same verdict; an empty table gives an empty one; extra columns
+rows get the same verdict; a null doc_id stays null; an empty table gives an empty one; extra columns
 pass through ``filter_quality`` untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import small_batches
+from gristmill.llm.common import map_texts
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 3
@@ -206,17 +202,18 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 80, ridge:
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Crf:
     """Fits on at most ``limit`` labelled documents of each quality."""
-    small_batches(docs.sparkSession)
     ids = labels.select("doc_id", "quality").dropna()
     some = [ids.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for q in (0, 1)]
     some = F.broadcast(some[0].unionAll(some[1]))  # 2 * limit ids at most
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [describe(t) for t in b["text"]]
-            yield pd.DataFrame({"quality": b["quality"], "features": [f.astype(np.float32).ravel() for _, f, _ in got], "sizes": [s for _, _, s in got]})
+    def start():
+        def of(texts: list[str | None], _):
+            got = [describe(t) for t in texts]
+            return {"features": [f.astype(np.float32).ravel() for _, f, _ in got], "sizes": [s for _, _, s in got]}
+
+        return of
 
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("text", F.col("quality").cast("int").alias("quality")).mapInPandas(of, "quality int, features array<float>, sizes array<long>")
+    rows = map_texts(docs.select("doc_id", "text").join(some, "doc_id").select("text", F.col("quality").cast("int").alias("quality")), "features array<float>, sizes array<long>", start)
     found = [(np.asarray(r.features, np.float64).reshape(-1, len(FEATURES)), np.asarray(r.sizes), int(r.quality)) for r in rows.toPandas().itertuples()]
     found.sort(key=lambda d: (d[2], len(d[0]), d[0].sum()))  # an order that doesn't depend on the layout
     return fit(found)
@@ -227,24 +224,23 @@ JUDGED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 def _judged(docs: DataFrame, crf: Crf) -> DataFrame:
     """The columns of ``docs`` by position, as _0, _1 and so on, and those of ``JUDGED``; nothing is shuffled."""
-    small_batches(docs.sparkSession)
-    kinds = pa.schema([(c.split()[0], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]]) for c in JUDGED.split(", ")])
-    own = docs.columns
-    text = f"_{own.index('text')}"
+    names = [c.split()[0] for c in JUDGED.split(", ")]
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def start():
+        def of(texts: list[str | None], _):
             rows = []
-            for t in b.column(text):
-                counts, features, sizes = describe(t.as_py())
+            for t in texts:
+                counts, features, sizes = describe(t)
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > 50 * counts[0]
                 share = crf.content_share(features, sizes)
                 rows.append((*counts, share, failed, not failed and share >= crf.min_content))
-            new = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *kinds.names])
+            return {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
-    flat = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(own)])
-    return flat.mapInArrow(of, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema), JUDGED]))
+        return of
+
+    own = docs.columns
+    flat = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(own)], F.col("`text`").alias("text"))
+    return map_texts(flat, JUDGED, start)
 
 
 def judge(docs: DataFrame, crf: Crf) -> DataFrame:

@@ -7,17 +7,16 @@ disposal rules say (0/1 keep, 2 clear the frame's area, 3 restore what was there
 transparent pixels leave the canvas as it is. ``encode`` writes the same format:
 real LZW codes under a 256-entry palette, one frame per ``FRAME_BYTES`` samples.
 
-``frames`` is the operator: a column of GIF bytes to one row per frame with its
-time, size, disposal, RGB pixels' digest and histogram. ``store_texts`` is the
-text round trip: a payload becomes grey 8-bit samples, 64 to a row, in as many
-frames as it needs; ``load_payload`` composites the stored frames and reads the
-grey levels back.
-
-Defined results: null or empty texts are 64 zero bytes; very long texts become
-several frames, streamed one at a time; damaged bytes raise ``GifError`` in
-``decode`` and give one row with ``error`` in ``frames``; a null image gives no row;
-repeated rows are handled each; empty tables give empty tables; extra columns
-are not read.
+``frames`` is the operator: a column of GIF bytes to one row per frame with its time, size, disposal, transparent index, RGB
+pixels' digest and one histogram per channel. ``store_texts`` writes texts as images: a payload becomes 8-bit samples, 64 to a
+row, under a palette of 256 different colours, in as many frames as it needs; what a further frame shares with the canvas is
+left transparent, where a byte is free to say so. ``load_texts`` reads such a stored table back: payloads from the composited
+canvas, and each image's timed frames with their histograms as a column.
+
+Defined results: null or empty texts are 64 zero bytes; very long texts become several frames, streamed one at a time; damaged
+bytes, and a canvas or frame of more than ``MAX_PIXELS``, raise ``GifError`` in ``decode`` before anything of that size is made
+and give one row with ``error`` in ``frames``; a null image gives no row; repeated rows are handled each; ties don't arise; a
+null doc_id stays null; empty tables give empty tables; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,18 +28,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import small_batches
+from gristmill.llm.common import map_texts, materialise
 
 ROW = 64
 FRAME_ROWS = 1024
 FRAME_BYTES = ROW * FRAME_ROWS
 DELAY_CS = 4
 BINS = 8
-_GREY = bytes(v for g in range(256) for v in (g, g, g))
+MAX_PIXELS = 1 << 25
+#: Sample v is red v; green and blue follow from it, so that the three histograms differ.
+PALETTE = bytes(v for g in range(256) for v in (g, (5 * g + 17) % 256, 255 - g))
 
 
 class GifError(ValueError):
@@ -197,17 +197,28 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes((len(data[k : k + 255]),)) + data[k : k + 255] for k in range(0, len(data), 255)) + b"\0"
 
 
-def encode(samples: bytes, row: int = ROW, frame_rows: int = FRAME_ROWS, palette: bytes = _GREY, delay_cs: int = DELAY_CS) -> bytes:
-    """A GIF of ``samples``, ``row`` to a line, cut into frames of ``frame_rows`` lines; the last may be lower than the canvas."""
+def encode(samples: bytes, row: int = ROW, frame_rows: int = FRAME_ROWS, palette: bytes = PALETTE, delay_cs: int = DELAY_CS) -> bytes:
+    """A GIF of ``samples``, ``row`` to a line, cut into frames of ``frame_rows`` lines; the last may be lower than the canvas.
+
+    Frames stay (disposal 1). In a further frame without the sample 255 that index is transparent and stands for what the
+    canvas has already.
+    """
     if not samples or len(samples) % row:
         raise GifError(f"{len(samples)} samples don't fill rows of {row}")
     lines = len(samples) // row
     out = [b"GIF89a", struct.pack("<HHBBB", row, min(lines, frame_rows), 0xF7, 0, 0), palette]
     if lines > frame_rows:
         out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0")
+    canvas = np.frombuffer(samples[: frame_rows * row], np.uint8).copy()
     for at in range(0, lines, frame_rows):
-        part = samples[at * row : (at + frame_rows) * row]
-        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_cs, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, row, len(part) // row, 0), b"\x08", _blocks(lzw_encode(part))]
+        part, clear = samples[at * row : (at + frame_rows) * row], 0
+        if at and b"\xff" not in part:
+            new, have = np.frombuffer(part, np.uint8), canvas[: len(part)]
+            part, clear = np.where(new == have, np.uint8(255), new).tobytes(), 1
+            canvas[: len(new)] = new
+        elif at:
+            canvas[: len(part)] = np.frombuffer(part, np.uint8)
+        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2 | clear, delay_cs, 255 if clear else 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, row, len(part) // row, 0), b"\x08", _blocks(lzw_encode(part))]
     return b"".join([*out, b"\x3b"])
 
 
@@ -228,6 +239,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("no GIF header")
     width, height, flags, back, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MAX_PIXELS:
+        raise GifError(f"a canvas of {width} x {height}")
     at = 13
     palette = None
     if flags & 0x80:
@@ -255,6 +268,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
             raise GifError(f"block {kind:#x}")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at)
         at += 9
+        if w * h > MAX_PIXELS:
+            raise GifError(f"a frame of {w} x {h}")
         colours = palette
         if flags & 0x80:
             n = 3 << ((flags & 7) + 1)
@@ -294,35 +309,38 @@ def _decode(data: bytes) -> Iterator[Frame]:
 
 
 def histogram(rgb: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Counts of ``bins`` equal ranges of each channel: red, green, blue."""
-    level = rgb.reshape(-1, 3).astype(np.int64) * bins // 256
-    return np.concatenate([np.bincount(level[:, c], minlength=bins) for c in range(3)])
+    """Counts of ``bins`` equal ranges of each channel: (3, bins) for red, green, blue."""
+    level = rgb.reshape(-1, 3)
+    return np.stack([np.bincount(level[:, c], minlength=256).reshape(bins, -1).sum(1) for c in range(3)])
 
 
-FRAMES = "row_id long, frame int, at_cs long, delay_cs int, left int, top int, width int, height int, disposal int, transparent int, rgb_sha256 string, histogram array<long>, error string"
+FRAMES = "frame int, at_cs long, delay_cs int, left int, top int, width int, height int, disposal int, transparent int, rgb_sha256 string, red array<long>, green array<long>, blue array<long>, error string"
 
 
 def frames(images: DataFrame, image: str = "image", row_id: str = "row_id") -> DataFrame:
-    """One row per frame of each image, in the schema ``FRAMES``; a damaged image gives the frames before the damage and one row with ``error``."""
-    small_batches(images.sparkSession, 100)
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for key, data in zip(b["row_id"], b["image"], strict=True):
-                if data is None:
-                    continue
-                at, n = 0, 0
+    """row_id and ``FRAMES``, one row per frame of each image; a damaged image gives the frames before the damage and one row with ``error``."""
+    names = [c.split()[0] for c in FRAMES.split(", ")]
+
+    def start():
+        def of(images: list[bytes | None], _):
+            out = []
+            for data in images:
+                rows, at, n = [], 0, 0
                 try:
-                    for f in decode(bytes(data)):
-                        rows.append((key, n, at, f.delay_cs, f.left, f.top, f.width, f.height, f.disposal, f.transparent, hashlib.sha256(f.rgb.tobytes()).hexdigest(), histogram(f.rgb).tolist(), None))
+                    for f in decode(data) if data is not None else ():
+                        red, green, blue = histogram(f.rgb).tolist()
+                        rows.append(dict(zip(names, (n, at, f.delay_cs, f.left, f.top, f.width, f.height, f.disposal, f.transparent, hashlib.sha256(f.rgb.tobytes()).hexdigest(), red, green, blue, None), strict=True)))
                         at, n = at + f.delay_cs, n + 1
                 except GifError as e:
-                    rows.append((key, n, at, *[None] * 9, str(e)))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in FRAMES.split(", ")])
-            yield out.astype({c: "Int32" for c in ("delay_cs", "left", "top", "width", "height", "disposal", "transparent")})
+                    rows.append(dict.fromkeys(names) | {"frame": n, "at_cs": at, "error": str(e)})
+                out.append(rows)
+            return {"frames": out}
+
+        return of
 
-    return images.select(F.col(row_id).cast("long").alias("row_id"), F.col(image).alias("image")).mapInPandas(of, FRAMES)
+    kind = ", ".join(":".join(c.split(" ", 1)) for c in FRAMES.split(", "))
+    found = map_texts(images.select(F.col(row_id).cast("long").alias("row_id"), F.col(image).alias("image")), f"frames array<struct<{kind}>>", start, text="image")
+    return found.select("row_id", F.explode("frames").alias("f")).select("row_id", "f.*")
 
 
 # --- texts as images ---
@@ -333,38 +351,54 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(1, -(-len(raw) // ROW)) * ROW, b"\0")
 
 
-def load_payload(image: bytes) -> tuple[bytes, np.ndarray, int]:
-    """The payload, the grey histogram over all frames and the number of frames, from stored bytes alone."""
-    parts, counts, n = [], np.zeros(256, np.int64), 0
-    for f in decode(image):
-        grey = np.ascontiguousarray(f.rgb[f.top : f.top + f.height, f.left : f.left + f.width, 0])
-        parts.append(grey.tobytes())
-        counts += np.bincount(grey.ravel(), minlength=256)
-        n += 1
-    return b"".join(parts), counts.reshape(BINS, -1).sum(1), n
+TIMED = "array<struct<frame:int,at_cs:long,delay_cs:int,disposal:int,transparent:int,red:array<long>,green:array<long>,blue:array<long>>>"
+
 
+def load_payload(image: bytes) -> tuple[bytes, list[dict]]:
+    """The payload and the timed frames with their histograms, from stored bytes alone."""
+    parts, timed, at = [], [], 0
+    for n, f in enumerate(decode(image)):
+        shown = f.rgb[f.top : f.top + f.height, f.left : f.left + f.width]
+        parts.append(np.ascontiguousarray(shown[..., 0]).tobytes())
+        red, green, blue = histogram(shown).tolist()
+        timed.append({"frame": n, "at_cs": at, "delay_cs": f.delay_cs, "disposal": f.disposal, "transparent": f.transparent, "red": red, "green": green, "blue": blue})
+        at += f.delay_cs
+    return b"".join(parts), timed
 
-STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, image binary"
 
+def store_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, image): each text as a GIF."""
 
-def store_texts(docs: DataFrame, keep_image: bool = True) -> DataFrame:
-    """Each text as a GIF with features of what is read back, in the schema ``STORED`` (image null unless kept)."""
-    small_batches(docs.sparkSession, 200)
+    def start():
+        def of(texts: list[str | None], _):
+            made = [payload_of(t) for t in texts]
+            return {"n_bytes": [n for n, _ in made], "image": [encode(p) for _, p in made]}
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        return of
+
+    return map_texts(docs.select("doc_id", "text"), "n_bytes long, image binary", start)
+
+
+def load_texts(media: DataFrame) -> DataFrame:
+    """The columns of ``media`` but image, what its stored bytes hold and a feature string of the histograms; ``frames`` in the shape ``TIMED``."""
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames")
+
+    def start():
+        def of(images: list[bytes], _):
             rows = []
-            for key, text in zip(b["doc_id"], b["text"], strict=True):
-                n, payload = payload_of(text)
-                image = encode(payload)
-                back, counts, count = load_payload(image)
-                feature = f"frames={count};grey={','.join(map(str, counts.tolist()))}"
-                rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(image), hashlib.sha256(image).hexdigest(), feature, image if keep_image else None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STORED.split(", ")])
+            for image in images:
+                back, timed = load_payload(image)
+                sums = {c: np.sum([f[c] for f in timed], axis=0).tolist() for c in ("red", "green", "blue")}
+                feature = ";".join([f"frames={len(timed)}", *(f"{c}={','.join(map(str, n))}" for c, n in sums.items())])
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(image), hashlib.sha256(image).hexdigest(), feature, timed))
+            return {n: [r[k] for r in rows] for k, n in enumerate(names)}
+
+        return of
 
-    return docs.select("doc_id", "text").mapInPandas(of, STORED)
+    kinds = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames {TIMED}"
+    return map_texts(media, kinds, start, text="image")
 
 
 def op1_gif_media(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return store_texts(docs, keep_image=False).drop("image")
+    return load_texts(materialise(store_texts(docs)))

@@ -22,31 +22,29 @@ Texts with characters for which that isn't plain (special-token strings, a capit
 sigma, white space outside ASCII) go to the tokenizer whole.
 
 Defined results: null and empty texts are the end id alone; very long texts span
-as many windows as they fill; repeated rows are packed each; an empty table
-gives no pieces; extra columns are not read.
+as many windows as they fill; repeated rows are packed each; ties don't arise, as order is
+that of files and rows; a null doc_id stays null; an empty table gives no pieces; extra columns
+are not read.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialise, small_batches
+from gristmill.llm.common import map_texts, materialise
 from gristmill.llm.wordhash import Ids, Table, different, hashes, split
 
 WINDOW = 2048
 END = 1
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-CACHE = 2_000_000
+CACHE = 1 << 19
 BYTES = 4_000_000
 
 #: What isn't split at ASCII white space alone: special tokens, sigma (its lower case can depend on neighbours), other separators.
@@ -154,22 +152,24 @@ class WordIds:
 
 def token_table(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
     """(doc_id, part, start, n, ids): ids as bytes; ``start`` counts the partition's ids before the document. Written once."""
-    small_batches(docs.sparkSession)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         from pyspark import TaskContext
 
-        part, start = TaskContext.get().partitionId(), 0
+        part, upto = TaskContext.get().partitionId(), 0
         ids = _workers.setdefault(vocabulary, WordIds(vocabulary))
-        for b in batches:
-            if not len(b):
-                continue
-            got = ids.batch(b["text"].tolist(), end)
+
+        def of(texts: list[str | None], _):
+            nonlocal upto
+            got = ids.batch(texts, end)
             n = np.array([len(x) // 4 for x in got], np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "part": part, "start": start + np.cumsum(n) - n, "n": n, "ids": got})
-            start += int(n.sum())
+            before = upto + np.cumsum(n) - n
+            upto += int(n.sum())
+            return {"part": [part] * len(got), "start": before, "n": n, "ids": got}
+
+        return of
 
-    return materialise(docs.select("doc_id", "text").mapInPandas(of, "doc_id long, part int, start long, n long, ids binary"))
+    return materialise(map_texts(docs.select("doc_id", "text"), "part int, start long, n long, ids binary", start))
 
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:

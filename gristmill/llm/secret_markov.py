@@ -1,9 +1,9 @@
 """Secret scans: base patterns, and character Markov models of random strings and ordinary identifiers.
 
-Everything is DataFrame expressions. ``scan`` makes one pass over the texts and
-keeps, per document, the spans of the base patterns and the candidates: runs of
-``MIN_CANDIDATE`` or more characters of ``ALPHABET`` that touch no base span. Spans come
-from the pieces between matches: their lengths, summed up, are the places.
+Everything is DataFrame expressions. ``scan`` makes one pass over the texts: each match of a base pattern, and each candidate
+(a run of ``MIN_CANDIDATE`` or more characters of ``ALPHABET``), becomes a row with the length of the text since the match
+before it. Places are running sums of those lengths per document, and which candidates touch no base span shows in running
+extremes of the base spans' ends before and starts after them; so a text costs the sorting of its matches and no more.
 
 ``train`` counts character transitions of labelled strings (1 random, 0 ordinary)
 and returns the table of log-likelihood ratios, start and end included. In
@@ -14,17 +14,16 @@ value or id.
 A candidate is a secret if its log-likelihood ratio is ``MIN_RATIO`` nats per
 transition or more.
 
-Defined results: null and empty texts have no spans; every text is scanned
-whole, however long; repeated rows are scanned each; ties of start are ordered as the
-kinds are listed; without samples of one label its model is flat; an empty table
-gives an empty one; extra columns are not read.
+Defined results: null and empty texts have no spans; every text is scanned whole, however long; repeated rows are scanned
+each; ties of start are ordered as the kinds are listed; a null doc_id stays null; without samples of one label its model is
+flat; an empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import materialise
@@ -48,50 +47,43 @@ PRIOR = 0.5
 BACK_OFF = 5.0
 GENERATED = 256
 
-_SPAN = "array<struct<start:int,stop:int,value:string>>"
 
-
-def spans(text: Column, pattern: str) -> Column:
-    """Start, stop (code points, exclusive) and string of each match, left to right."""
+def _matches(text: Column, kind: str, pattern: str) -> Column:
+    """Each match, left to right, with the length of what stands before it, back to the match before."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-
-    def step(acc, both):
-        start = acc["at"] + both["gap"]
-        stop = start + F.length(both["match"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), both["match"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
-
-    zipped = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    none = F.array().cast(_SPAN)
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    both = F.zip_with(F.split(text, pattern, -1), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+    one = lambda x, n: F.struct(F.lit(KINDS.index(kind)).alias("kind"), n.alias("n"), x["gap"].alias("gap"), x["value"].alias("value"))
+    none = F.array().cast("array<struct<kind:int,n:int,gap:int,value:string>>")
+    return F.when(text.rlike(pattern), F.transform(F.filter(both, lambda x: x["value"].isNotNull()), one)).otherwise(none)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, assign, access, hex, candidates): arrays of (start, stop, value); written once."""
+    """(row, doc_id, kind, start, stop, value), written once: base spans and free candidates; a document without either has one row of nulls."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    value = lambda s: F.regexp_extract(s["value"], ASSIGN, 2)
-    found = docs.select(
-        "doc_id",
-        F.filter(spans(text, ASSIGN), lambda s: F.length(value(s)) >= MIN_VALUE).alias("assign"),
-        spans(text, ACCESS).alias("access"),
-        spans(text, HEX).alias("hex"),
-        spans(text, CANDIDATE).alias("candidates"),
-    )
-    base = F.concat("assign", "access", "hex")
-    free = F.filter("candidates", lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    return materialise(found.withColumn("candidates", free))
+    found = F.concat(*[_matches(text, k, p) for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, CANDIDATE), strict=True)])
+    each = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found"))
+    each = each.select("row", "doc_id", F.explode_outer("found").alias("m")).select("row", "doc_id", "m.*")
+    along = Window.partitionBy("row", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    long = F.length("value")
+    each = each.withColumn("stop", F.sum(F.col("gap") + long).over(along).cast("int")).withColumn("start", F.col("stop") - long)
+    each = each.filter(F.col("kind").isNull() | (F.col("kind") > 0) | (F.length(F.regexp_extract("value", ASSIGN, 2)) >= MIN_VALUE) | (F.col("n") == 0))
+    short = (F.col("kind") == 0) & (F.length(F.regexp_extract("value", ASSIGN, 2)) < MIN_VALUE)
+    each = each.withColumn("kind", F.when(~short, F.col("kind")))  # a document's first match stays as its row, as nothing
+    base = F.col("kind") < KINDS.index("markov")
+    order = Window.partitionBy("row").orderBy("start", "kind")
+    ended = F.max(F.when(base, F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))  # a running minimum from the end
+    begins = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    free = (F.coalesce(ended, F.lit(0)) <= F.col("start")) & (begins.isNull() | (begins >= F.col("stop")))
+    each = each.withColumn("kind", F.when(base | free, F.col("kind")))
+    blank = lambda c: F.when(F.col("kind").isNotNull(), F.col(c)).alias(c)
+    return materialise(each.select("row", "doc_id", "kind", blank("start"), blank("stop"), blank("value")))
 
 
 def labelled(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(value, label) from the base's own finds and from words around them."""
-    values = F.concat(
-        F.transform("assign", lambda s: F.regexp_extract(s["value"], ASSIGN, 2)),
-        F.transform("access", lambda s: s["value"]),
-        F.transform("hex", lambda s: s["value"]),
-    )
-    secrets = found.select(F.explode(F.array_distinct(values)).alias("value"))
+    own = F.when(F.col("kind") == 0, F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value"))
+    secrets = found.filter(F.col("kind") < KINDS.index("markov")).select(own.alias("value")).distinct()
     secrets = secrets.orderBy(F.xxhash64("value"), "value").limit(TRAIN_SECRETS).select("value", F.lit(1).alias("label"))
     n = docs.sparkSession.range(GENERATED).select(F.concat(F.lit("sample:"), F.col("id").cast("string")).alias("s"))
     made = n.select(F.explode(F.array(F.translate(F.base64(F.unhex(F.sha2("s", 256))), "=", ""), F.sha1("s"))).alias("value"), F.lit(1).alias("label"))
@@ -137,14 +129,15 @@ def ratio(value: Column, model: list[float]) -> Column:
 
 
 def secrets(docs: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """(doc_id, base, spans): arrays of (start, kind, stop) in order; ``spans`` has what the models add as well."""
+    """(doc_id, n_assign, n_access, n_hex, base, spans): arrays of (start, kind, stop) in order; ``spans`` has what the models add as well."""
     found = scan(docs)
     model = train(labelled(found, docs))
-    rank = dict(zip(KINDS, range(len(KINDS)), strict=True))
-    tag = lambda c, k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(rank[k]).alias("kind"), s["stop"].alias("stop")))
-    base = F.concat(*[tag(F.col(k), k) for k in KINDS[:3]])
-    added = tag(F.filter("candidates", lambda c: ratio(c["value"], model) >= min_ratio), "markov")
-    return found.select("doc_id", "assign", "access", "hex", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, added)).alias("spans"))
+    added = KINDS.index("markov")
+    kept = found.withColumn("kind", F.when((F.col("kind") < added) | (ratio(F.col("value"), model) >= min_ratio), F.col("kind")))
+    span = F.struct("start", "kind", "stop")
+    count = lambda k: F.count_if(F.col("kind") == KINDS.index(k)).alias(f"n_{k}")
+    arrays = [F.sort_array(F.collect_list(F.when(c, span))).alias(n) for n, c in (("base", F.col("kind") < added), ("spans", F.col("kind").isNotNull()))]
+    return kept.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[count(k) for k in KINDS[:3]], *arrays).drop("row")
 
 
 def joined(c: str) -> Column:
@@ -154,11 +147,4 @@ def joined(c: str) -> Column:
 
 def op3_secret_markov(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return secrets(docs).select(
-        "doc_id",
-        F.size("assign").cast("long").alias("n_assign"),
-        F.size("access").cast("long").alias("n_access"),
-        F.size("hex").cast("long").alias("n_hex"),
-        F.sha2(joined("base"), 256).alias("base_sha256"),
-        joined("spans").alias("spans"),
-    )
+    return secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))

@@ -1,20 +1,23 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles; the pipeline's near stage.
-
-Documents link at a Jaccard similarity of 4/5 or more of their sets of ``WORDS``-word shingles (ASCII-lower-cased
-words); linked documents form components, and ``near_dedup`` keeps the smallest doc_id of each. No pair is missed:
-
-1. ``nodes``: equal sets are one node. Shingles are counted by ``BUCKETS`` buckets of their hashes.
-2. ``prefixes``: a set's shingles in the order of (bucket's count, hash); any two sets that link share one of the
-   first n - ceil(4/5 n) + 1, and the place of the first they share bounds their overlap. Shingles in many
-   documents come last, so they nominate next to nothing.
-3. Per shared shingle, the set with the fewest rarer shingles is compared with all others; what is linked so is one
-   component. Then each set outside that component is compared with all sets of other components. A dense cluster
-   of n near copies costs about n pairs, and up to n more for each set that its centre doesn't reach.
-4. Pairs are verified by the whole sets, computed anew for the sets in pairs (a bitmap of 2 ** 24 bits keeps most
-   others out; the join does the rest).
-
-Defined results: null or empty text, or one without words, is the empty set, and empty sets are equal; fewer words
-than ``WORDS`` form one shingle; an empty table gives an empty one; other columns are left alone.
+"""SimHash near-dedup confirmed by shingles: the pipeline's near stage.
+
+Documents link at a Jaccard similarity of 4/5 or more of their sets of ``WORDS``-word shingles (ASCII-lower-cased words);
+linked documents form components, and ``near_dedup`` keeps the smallest doc_id of each. SimHash fingerprints of the shingles
+go through the Gray-order index of ``simhash_gray``, which nominates at ``MAX_DIFF`` bits. Two texts at 4/5 differ in about ten of
+64 bits, where no index is selective, so the fingerprints alone would lose most such pairs; a prefix filter over the shingles
+finds what they can't, and no pair is missed. Every link is confirmed by the whole sets.
+
+1. ``nodes``: equal sets are one node, with a fingerprint. Shingles are counted by ``BUCKETS`` buckets of their hashes.
+2. ``prefixes``: a set's shingles in the order of (bucket's count, hash); any two sets that link share one of the first
+   n - ceil(4/5 n) + 1. Shingles in many documents come last, so they nominate next to nothing. ``SKETCH`` * 64 parity bits
+   of the whole set go along: two sets differ in as many shingles at least as their sketches differ in bits.
+3. The index's pairs are confirmed first. Then, per shared shingle, the set with the fewest rarer shingles is compared with
+   all others outside its component; then each set with all sets of other components. What a pair's places, sizes and
+   sketches rule out leaves no row.
+4. ``confirmed``: whole sets, written once for the sets that share a prefix shingle with another.
+
+Defined results: null or empty text, or one without words, is the empty set, and empty sets are equal; fewer words than
+``WORDS`` form one shingle; repeated rows are equal sets; a null doc_id counts as a document and stays only where no other is
+in its component; an empty table gives an empty one; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialise, small_batches
-from gristmill.llm.simhash_gray import SEED, components, keep_one, name_components
+from gristmill.llm import simhash_gray
+from gristmill.llm.common import importable, map_texts, materialise, rows_with_ids
+from gristmill.llm.simhash_gray import MAX_DIFF, SEED, components, keep_one, name_components
 from gristmill.llm.wordhash import hashes, split
 
 WORDS = 5
 BUCKETS = 1 << 20
-BYTES = 2_000_000
+SKETCH = 8
+BYTES = 1_000_000
 U = np.uint64
 _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
@@ -63,20 +68,39 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
 
 
+def simhash(s: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(s), 1 << 14):
+        counts += np.unpackbits(s[k : k + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(s), bitorder="little").view("<i8")[0])
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the hashes by ``SKETCH`` * 64 buckets."""
+    odd = np.bincount((s >> U(20) & U(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def nodes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, text_key, fp), fp naming the document's set; counts of shingles by bucket."""
-    small_batches(docs.sparkSession)
+    """(the columns of ``docs`` but text, fp, sim), fp naming the document's set; counts of shingles by bucket."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         counts = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            fp = []
-            for s in shingle_sets(b["text"].tolist()):
+
+        def of(texts: list[str | None], _):
+            fp, sim = [], []
+            for s in shingle_sets(texts):
                 np.add.at(counts, s >> U(44), 1)
                 fp.append(_node(s))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "fp": np.array(fp, np.int64), "counts": None})
-        if counts.any():
-            yield pd.DataFrame({"doc_id": [0], "text_key": [0], "fp": [0], "counts": [zlib.compress(counts.tobytes(), 1)]})
+                sim.append(simhash(s))
+            return {"fp": fp, "sim": sim, "counts": [None] * len(fp)}
+
+        def end():
+            if counts.any():
+                yield {"fp": [0], "sim": [0], "counts": [zlib.compress(counts.tobytes(), 1)]}
+
+        return of, end
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -86,8 +110,7 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         if counts.any():
             yield pd.DataFrame({"counts": [zlib.compress(counts.tobytes(), 1)]})
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    found = materialise(rows.mapInPandas(of, "doc_id long, text_key long, fp long, counts binary"))
+    found = materialise(map_texts(docs, "fp long, sim long, counts binary", start))
     parts = found.filter("counts is not null").select("counts")
     counts = np.zeros(BUCKETS, np.int64)
     for r in parts.repartition(4).mapInPandas(add, "counts binary").collect():  # 4 arrays of BUCKETS counts at most
@@ -95,48 +118,66 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return found.filter("counts is null").drop("counts"), np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
+_SKETCHES = [f"k{i}" for i in range(SKETCH)]
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(h, node, n, at): each set's first shingles, n the set's size and at the place among them."""
+    """(node, n, h array, k0 ...): each set's size, first shingles in order and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         counts = shared.value
-        for b in batches:
-            out = []
-            for s in shingle_sets(b["text"].tolist()):
-                if n := len(s):
-                    first = s[np.argsort(counts[s >> U(44)], kind="stable")[: n - (4 * n + 4) // 5 + 1]]
-                    out.append((first.view(np.int64), np.full(len(first), _node(s)), np.full(len(first), n), np.arange(len(first))))
-            if out:
-                yield pd.DataFrame(dict(zip(("h", "node", "n", "at"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    return docs.select("text").mapInPandas(of, "h long, node long, n int, at int")
+        def of(texts: list[str | None], _):
+            node, size, first, bits = [], [], [], []
+            for s in shingle_sets(texts):
+                n = len(s)
+                node.append(_node(s))
+                size.append(n)
+                first.append(s[np.argsort(counts[s >> U(44)], kind="stable")[: n - (4 * n + 4) // 5 + 1]].view(np.int64) if n else [])
+                bits.append(sketch(s))
+            return {"node": node, "n": size, "h": first} | {k: [b[i] for b in bits] for i, k in enumerate(_SKETCHES)}
+
+        return of
+
+    return map_texts(docs.select("text"), "node long, n int, h array<long>, " + ", ".join(f"{k} long" for k in _SKETCHES), start)
 
 
 def _can_link(a: str, b: str) -> Column:
-    """Whether two sets whose first common shingle has these places can overlap by 4/9 of their sizes' sum: Jaccard 4/5."""
+    """Whether two sets can overlap by 4/9 of their sizes' sum, which is Jaccard 4/5: by the place of a common shingle, and by their sketches."""
+    sizes = F.col(f"{a}.n") + F.col(f"{b}.n")
     rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
-    return 9 * rest >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    apart = sum(F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in _SKETCHES)
+    return (9 * rest >= 4 * sizes) & (9 * apart <= sizes)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets have a Jaccard similarity of 4/5 or more."""
-    word, bit = F.shiftrightunsigned("x", 46), F.shiftrightunsigned("x", 40).bitwiseAND(F.lit(63).cast("long"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("x"))
-    got = ends.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("m")).toPandas()  # 2 ** 18 rows at most
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, s): the whole sets of the nodes ``wanted``, written once. A bitmap of 2 ** 24 bits keeps most others out; the join does the rest."""
+    word, bit = F.shiftrightunsigned("node", 46), F.shiftrightunsigned("node", 40).bitwiseAND(F.lit(63).cast("long"))
+    got = wanted.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("m")).toPandas()  # 2 ** 18 rows at most
     bitmap = np.zeros(1 << 18, np.uint64)
     bitmap[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         bitmap = shared.value
-        for b in batches:
-            out = [(_node(s), s.view(np.int64)) for s in shingle_sets(b["text"].tolist())]
-            out = [(k, s) for k, s in out if int(bitmap[(k >> 46) & 0x3FFFF]) >> ((k >> 40) & 63) & 1]
-            yield pd.DataFrame({"node": np.array([k for k, _ in out], np.int64), "s": pd.Series([s for _, s in out], dtype=object)})
 
-    sets = docs.select("text").mapInPandas(of, "node long, s array<long>")
-    sets = materialise(sets.join(ends.distinct().withColumnRenamed("x", "node"), "node", "left_semi").dropDuplicates(["node"]))
+        def of(texts: list[str | None], _):
+            node, sets = [], []
+            for s in shingle_sets(texts):
+                k = _node(s)
+                node.append(k)
+                sets.append(s.view(np.int64) if int(bitmap[(k >> 46) & 0x3FFFF]) >> ((k >> 40) & 63) & 1 else None)
+            return {"node": node, "s": sets}
+
+        return of
+
+    sets = map_texts(docs.select("text"), "node long, s array<long>", start).filter("s is not null")
+    return materialise(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets have a Jaccard similarity of 4/5 or more."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
@@ -145,29 +186,51 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(f"{a}.node", f"{b}.node").alias("a"), F.greatest(f"{a}.node", f"{b}.node").alias("b")]
 
 
-def links(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def index_pairs(fps: DataFrame) -> DataFrame:
+    """(a, b) of nodes with equal fingerprints, and of those that the Gray-order index links: one node stands for each fingerprint."""
+    own = fps.select("fp", "sim").distinct()
+    stands = own.groupBy("sim").agg(F.min("fp").alias("a"))
+    near = simhash_gray.links(fps.select(F.col("sim").alias("fp")), MAX_DIFF)
+    linked = near.join(stands, near["a"] == stands["sim"]).select(stands["a"].alias("x"), near["b"].alias("sim")).join(stands, "sim").select("x", F.col("a").alias("y"))
+    equal = own.join(stands, "sim").select(F.col("a").alias("x"), F.col("fp").alias("y"))
+    both = equal.unionByName(linked).filter("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links(docs: DataFrame, fps: DataFrame, counts: np.ndarray) -> DataFrame:
     """(node, root) of every linked node."""
-    rows = materialise(prefixes(docs, counts))
+    first = materialise(prefixes(docs, counts).dropDuplicates(["node"]))
+    rows = first.select("node", "n", F.posexplode("h").alias("at", "h"))
     common = rows.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("h")
-    rows = materialise(rows.join(common, "h").distinct())
-    centre = rows.groupBy("h").agg(F.min(F.struct("at", "node", "n")).alias("c")).select("h", "c.*")
-    near = rows.alias("x").join(centre.alias("y"), "h").filter((F.col("x.node") != F.col("y.node")) & _can_link("x", "y"))
-    edges = materialise(verified(docs, materialise(near.select(*_pair("x", "y")).distinct())))
-    root = components(edges)
-    named = rows.join(root, "node", "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    named = materialise(named.join(centre.select("h", F.col("node").alias("c")).join(root.withColumnRenamed("node", "c"), "c", "left").select("h", F.coalesce("root", "c").alias("centre")), "h"))
-    apart = named.filter("root <> centre").alias("x")
-    left = apart.join(named.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & _can_link("x", "y"))
-    more = verified(docs, materialise(left.select(*_pair("x", "y")).distinct()))
-    return components(edges.unionByName(more))
+    rows = materialise(rows.join(common, "h").join(first.select("node", *_SKETCHES), "node"))
+    sets = sets_of(docs, rows.select("node").distinct())
+    edges = materialise(confirmed(sets, index_pairs(fps)))
+
+    def named(root: DataFrame) -> DataFrame:
+        """``rows`` with their components, of the shingles that several components share."""
+        each = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = each.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+        return materialise(each.join(several, "h"))
+
+    apart = (F.col("x.root") != F.col("y.root")) & _can_link("x", "y")
+    now = named(components(edges))
+    centre = now.groupBy("h").agg(F.min(F.struct("at", *[c for c in now.columns if c not in ("h", "at")])).alias("c")).select("h", "c.*")
+    star = now.alias("x").join(centre.alias("y"), "h").filter(apart).select(*_pair("x", "y")).distinct()
+    edges = materialise(edges.unionByName(confirmed(sets, star)))
+    now = named(components(edges))
+    left = now.alias("x").join(now.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & apart)
+    left = left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return components(edges.unionByName(confirmed(sets, left)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, fp, component_id), one row per row of ``docs``."""
+    """The columns of ``docs`` (doc_id among them) but text, with fp, sim and component_id, one row per row."""
     fps, counts = nodes(docs)
-    return name_components(fps, links(docs, counts))
+    return name_components(fps, links(docs, fps, counts))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one that names it."""
-    return keep_one(docs, near_duplicates(docs))
+    rows = rows_with_ids(docs)
+    flat = rows.select("_file", "_place", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
+    return keep_one(rows, near_duplicates(flat))

@@ -23,8 +23,8 @@ form components, named by their smallest doc_id.
 
 Defined results: null or empty text, or one without words, has fingerprint 0,
 linked like any other; fewer words than ``WORDS`` form one shingle; repeated rows
-and ties share a component; an empty table gives an empty one; other columns,
-whatever their names, are left alone by ``near_dedup``.
+and ties share a component; a null doc_id counts as a document and names a component (as null) only where no other is in
+it; an empty table gives an empty one; other columns, whatever their names, are left alone by ``near_dedup``.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialise, small_batches
+from gristmill.llm.common import chosen_rows, importable, map_texts, materialise, rows_with_ids
 
 WORDS = 3
 SEED = 42
@@ -66,15 +66,8 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_key, fp): fp's 64 bits as a long."""
-    small_batches(docs.sparkSession)
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b["text"]], np.uint64).view(np.int64) if len(b) else np.zeros(0, np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "fp": fp})
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(of, "doc_id long, text_key long, fp long")
+    """(the columns of ``docs`` but text, fp): fp's 64 bits as a long."""
+    return map_texts(docs, "fp long", lambda: lambda texts, _: {"fp": np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)})
 
 
 def gray_rank(c: Column) -> Column:
@@ -119,6 +112,7 @@ def links(fps: DataFrame, max_diff: int = MAX_DIFF, group: int = GROUP) -> DataF
         ready.append(rows.filter("large is null").drop("large").withColumn("fixed", F.lit(fixed)))
         nodes = rows.filter("large").select("fp", "path", "bits")
     rows = ready[0].unionByName(ready[1]).unionByName(ready[2]).select("path", "key", "fixed", gray_rank(F.col("bits")).alias("rank"), "fp")
+    importable(fps.sparkSession)
     dealt = rows.repartition("path", "key").sortWithinPartitions("path", "key", "rank")
     return dealt.mapInPandas(_search_all(max_diff), "a long, b long")
 
@@ -253,28 +247,30 @@ def name_components(fps: DataFrame, roots: DataFrame) -> DataFrame:
     named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
+    return fps.join(named, "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, max_diff: int = MAX_DIFF) -> DataFrame:
-    """(doc_id, text_key, fp, component_id), one row per row of ``docs``."""
-    fps = materialise(fingerprints(docs, words))
+    """(doc_id, fp, component_id), one row per row of ``docs``."""
+    fps = materialise(fingerprints(docs.select("doc_id", "text"), words))
     return name_components(fps, components(links(fps, max_diff)))
 
 
-def keep_one(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component in ``named``: the one that names it."""
-    names = docs.columns
-    keep = named.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("text_key"))
-    keep = keep.select(F.col("component_id").alias("_doc"), F.col("text_key").alias("_key"))
-    rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    one = rows.join(keep, ["_doc", "_key"], "left_semi").dropDuplicates(["_doc", "_key"])
-    return one.select(*[F.col("_row")[c].alias(c) for c in names])
+def keep_one(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Of ``rows_with_ids`` those that ``named`` (_file, _place, doc_id, component_id) keeps: one row of each component's first document.
+
+    What stays leaves as one array of bits per file. Where all files' arrays are small together, which is counted first, they
+    are broadcast, and no text is shuffled; else they are joined.
+    """
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_file", "_place")).alias("one")).select("one._file", "one._place")
+    return chosen_rows(rows, first.withColumn("_times", F.lit(1).cast("byte"))).select("_row.*")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, max_diff: int = MAX_DIFF) -> DataFrame:
     """``docs`` with one document of each component: the one that names it."""
-    return keep_one(docs, near_duplicates(docs, words, max_diff))
+    rows = rows_with_ids(docs)
+    fps = materialise(fingerprints(rows.select("_file", "_place", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text")), words))
+    return keep_one(rows, name_components(fps, components(links(fps, max_diff))))
 
 
 def op2_simhash_gray(spark, sf_dir):

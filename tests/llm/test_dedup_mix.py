@@ -8,6 +8,7 @@ import pytest
 from gristmill.llm import line_dedup as L
 from gristmill.llm import pareto_mix as X
 from gristmill.llm import simhash_gray as S
+from gristmill.llm.common import chosen_rows, rows_with_ids
 from tests_llm_brute import brute_components, brute_lines
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bitmap string, component_id string"
@@ -102,7 +103,7 @@ def mix_docs(n=3000):
 
 def test_mix_meets_targets(spark):
     docs = mix_docs()
-    rows = X.draws(frame(spark, docs)).collect()
+    rows = X.draws(rows_with_ids(frame(spark, docs))).collect()
     sizes = {}
     for r in rows:
         sizes.setdefault(r.source, [0, 0, r.target, 0])
@@ -125,14 +126,52 @@ def test_mix_meets_targets(spark):
         want = 3 * sizes[s][0] if s in capped else share[s]
         assert sizes[s][2] == pytest.approx(want)
         assert abs(sizes[s][1] - want) <= sizes[s][3] / 2 + 1e-6
-    again = X.draws(frame(spark, list(reversed(docs)))).collect()
+    again = X.draws(rows_with_ids(frame(spark, list(reversed(docs))))).collect()
     assert sorted((r.doc_id, r.copies) for r in again) == sorted((r.doc_id, r.copies) for r in rows)
     mixed = X.mix(frame(spark, docs))
     assert mixed.count() == sum(r.copies for r in rows) and mixed.columns == frame(spark, docs).columns
 
 
 def test_mix_of_nothing(spark):
-    assert X.draws(frame(spark, [])).count() == 0
-    assert [r.copies for r in X.draws(frame(spark, [(1, None), (2, "")])).collect()] == [0, 0]
-    same = X.draws(frame(spark, [(1, "a b c", "en", "s")] * 4)).collect()
+    assert X.draws(rows_with_ids(frame(spark, []))).count() == 0
+    assert [r.copies for r in X.draws(rows_with_ids(frame(spark, [(1, None), (2, "")]))).collect()] == [0, 0]
+    same = X.draws(rows_with_ids(frame(spark, [(1, "a b c", "en", "s")] * 4))).collect()
     assert sum(r.size * r.copies for r in same) == 12
+
+
+def test_equal_rows_are_drawn_one_by_one(spark):
+    """2,000 equal rows: their source is within one document of its target."""
+    docs = [(1, "a b c d e f g h i j", "en", "a")] * 2000 + [(k, " ".join("w" * 30), "en", "b") for k in range(2, 400)]
+    rows = X.draws(rows_with_ids(frame(spark, docs))).collect()
+    for source, largest in (("a", 10), ("b", 30)):
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= largest
+    once = sorted((r.doc_id, r.copies) for r in rows)
+    assert once == sorted((r.doc_id, r.copies) for r in X.draws(rows_with_ids(frame(spark, docs[::-1]).repartition(7))).collect())
+
+
+def test_inclusion_follows_size(spark):
+    """Long documents are drawn more often than short ones, as often as their probabilities say, and the rank decides who."""
+    rng = random.Random(3)
+    docs = [(k, " ".join("w" * rng.choice((4, 16, 64, 256))), "en", "s" if k % 2 else "t") for k in range(4000)]
+    rows = X.draws(rows_with_ids(frame(spark, docs))).collect()
+    extra, left, words = {}, {}, {}
+    for r in rows:
+        whole = int(r.target / r.source_size + 1e-12)
+        extra.setdefault((r.source, r.size), []).append(r.copies - whole)
+        left[r.source] = r.target - whole * r.source_size
+        words[r.source] = words.get(r.source, 0) + r.size**1.5
+    for (source, size), got in extra.items():
+        p = left[source] * size**0.5 / words[source]  # no class reaches 1 here
+        assert 0 < p < 1 and abs(np.mean(got) - p) < 4 * (p * (1 - p) / len(got)) ** 0.5
+
+
+def test_rows_by_place(spark, tmp_path):
+    frame(spark, [(k, f"t{k}") for k in range(3000)]).repartition(3).write.parquet(str(tmp_path / "d"))
+    rows = rows_with_ids(spark.read.parquet(str(tmp_path / "d")))
+    times = rows.filter("_row.doc_id % 3 > 0").selectExpr("_file", "_place", "cast(_row.doc_id % 3 as byte) as _times")
+    for limit in (1 << 25, 0):
+        got = sorted((r["_row"]["doc_id"], r["_times"]) for r in chosen_rows(rows, times, limit).collect())
+        assert got == [(k, k % 3) for k in range(3000) if k % 3]
+    twice = frame(spark, [(1, "a")]).unionAll(frame(spark, [(1, "a")]))  # not a scan: written first
+    assert rows_with_ids(twice).select("_file", "_place").distinct().count() == 2

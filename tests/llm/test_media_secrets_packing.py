@@ -66,19 +66,25 @@ def test_frames_operator(spark):
     good = _gif(2, 2, _frame([1, 1, 1, 1], 0, 0, 2, 2), _frame([2], 1, 1, 1, 1))
     rows = G.frames(spark.createDataFrame([(1, good), (2, good[:-9]), (3, None), (4, b"no")], "row_id long, image binary")).orderBy("row_id", "frame").collect()
     assert [(r.row_id, r.frame, r.at_cs, r.error is None) for r in rows] == [(1, 0, 0, True), (1, 1, 7, True), (2, 0, 0, True), (2, 1, 7, False), (4, 0, 0, False)]
-    assert rows[0].histogram == [0] * 7 + [4] + [4] + [0] * 7 + [4] + [0] * 7
+    assert rows[0].red == [0] * 7 + [4] and rows[0].green == rows[0].blue == [4] + [0] * 7
+    huge = b"GIF89a" + bytes([255] * 4) + bytes([0, 0, 0]) + b"\x3b"
+    assert "canvas" in G.frames(spark.createDataFrame([(1, huge)], "row_id long, image binary")).first().error
 
 
 def test_texts_as_images(spark):
-    got = {(r.doc_id, r.n_bytes): r for r in G.store_texts(frame(spark)).collect()}
+    got = {(r.doc_id, r.n_bytes): r for r in G.load_texts(G.store_texts(frame(spark))).collect()}
     for doc_id, text, *_ in ROWS:
         raw = (text or "").encode()
         payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         r = got[(doc_id, len(raw))]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_bytes == len(r.image) and G.load_payload(bytes(r.image))[0] == payload
-    assert G.load_payload(G.encode(os.urandom(64 * 3000)))[2] == 3
-    assert G.store_texts(frame(spark, [])).count() == 0
+        assert r.media_sha256 == hashlib.sha256(G.encode(payload)).hexdigest()
+        assert [f.frame for f in r.frames] == list(range(-(-len(payload) // G.FRAME_BYTES))) and r.frames[-1].at_cs == 4 * (len(r.frames) - 1)
+    for data in (os.urandom(64 * 3000), bytes(range(200)) * 1600, b"a" * 64 * 2500):
+        back, timed = G.load_payload(G.encode(data))
+        assert back == data and len(timed) == -(-len(data) // G.FRAME_BYTES)
+        assert all(sum(f["red"]) == sum(f["green"]) == sum(f["blue"]) for f in timed)
+    assert G.load_texts(G.store_texts(frame(spark, []))).count() == 0
 
 
 SECRETS = [
@@ -143,3 +149,33 @@ def test_packing_against_the_tokenizer(spark):
     assert [a for a, _ in at] == np.concatenate(([0], np.cumsum([n for _, n in at])[:-1])).tolist()
     assert max(r.offset + r.length for r in got) <= 64
     assert K.pack(frame(spark, [])).count() == 0
+
+
+def test_one_long_text_of_candidates(spark):
+    """Work grows with a text's matches, not with their square."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789", k=24)) for _ in range(1000)]
+    text = " ".join(rng.choice(words) if k % 3 else f"token={k:08d}" for k in range(200_000))
+    assert len(text) > 4_000_000
+    r = M.secrets(frame(spark, [(1, text, None, None, None, None), (2, "short", None, None, None, None)])).filter("doc_id = 1").first()
+    assert r.n_assign == sum(k % 3 == 0 for k in range(200_000)) and [(s.start, s.kind, s.stop) for s in r.base] == base_spans(text)
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """Planted random strings against long identifiers, paths and words, none of which the models have seen."""
+    rng = random.Random(11)
+    parts = ["user", "account", "record", "index", "session", "handler", "service", "manager", "request", "response", "internal", "configuration"]
+    secret = lambda: "".join(rng.choices(M.ALPHABET[:62], k=rng.randint(24, 48)))
+    plain = lambda: rng.choice("_-/").join(rng.choices(parts, k=rng.randint(3, 5)))
+    docs, planted = [], {}
+    for k in range(300):
+        prose = " ".join(rng.choices(["ordinary", "sentences", "everywhere", "getting", *parts], k=40))
+        planted[k] = [secret()] if k % 2 else []
+        docs.append((k, f"{prose} {plain()} {' '.join(planted[k])} {plain()}", None, None, None, None))
+    hit = wrong = 0
+    for r in M.secrets(frame(spark, docs)).collect():
+        text = docs[r.doc_id][1]
+        found = [text[s.start : s.stop] for s in r.spans if s.kind == 3]
+        hit += sum(f in planted[r.doc_id] for f in found)
+        wrong += sum(f not in planted[r.doc_id] for f in found)
+    assert hit / 150 > 0.95 and hit / max(1, hit + wrong) > 0.95, (hit, wrong)

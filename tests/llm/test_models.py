@@ -82,27 +82,49 @@ def test_quality_verdicts(spark):
 
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    langs, logs = M.learn(docs.filter(M.remainder(3) != 1))
-    assert np.allclose(np.exp(logs).sum(1), 1)
-    rows = M.predict(docs, langs, logs).join(docs.select("doc_id", "lang"), "doc_id").filter(M.remainder(3) == 1).collect()
+    model = M.learn(docs.filter(M.remainder(3) != 1))
+    assert np.allclose(np.exp(model.logs).sum(1), 1)
+    rows = M.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter(M.remainder(3) == 1).collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
     assert all(0 <= r.score <= 1 for r in rows)
 
 
 def test_language_mixtures_and_odd_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    langs, logs = M.learn(docs)
+    model = M.learn(docs)
     by = {l: " ".join(r.text for r in docs.filter(docs.lang == l).limit(6).collect())[:6000] for l in ("de", "fr")}
-    pred, share, found = M.identify(by["de"][:4000] + " " + by["fr"][:2000], langs, logs)
+    mixed = by["de"][:4000] + " " + by["fr"][:2000]
+    pred, share, found = M.identify([mixed], model)[0]
     assert pred == "de" and 0.5 < share < 0.85 and "fr" in found
-    got = {r.doc_id: (r.lang_pred, r.score) for r in M.predict(frame(spark, [(1, None), (2, ""), (3, "123 456 !!"), (4, by["de"])]), langs, logs).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in M.predict(frame(spark, [(1, None), (2, ""), (3, "123 456 !!"), (4, by["de"])]), model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "de"
-    assert M.learn(frame(spark, []))[0] == [] and M.identify("words", [], np.zeros((0, 4))) == ("und", 0.0, "")
+    empty = M.learn(frame(spark, []))
+    assert empty.langs == [] and M.identify(["words"], empty) == [("und", 0.0, "")]
+
+
+def test_mixtures_reach_the_best_proportions(spark):
+    """Expectation-maximisation against a search over the proportions of two languages, text by text and together."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = M.learn(docs)
+    some = [t for t in texts(spark).values() if t][:40]
+    together = M.identify([*some, "x", None, some[0]], model)
+    assert together[:40] == [M.identify([t], model)[0] for t in some] and together[42] == together[0]
+    de, fr = (model.langs.index(x) for x in ("de", "fr"))
+    a = [r.text[:1500] for r in docs.filter("lang = 'de'").limit(3).collect()]
+    b = [r.text[:900] for r in docs.filter("lang = 'fr'").limit(3).collect()]
+    for x, y in zip(a, b, strict=True):
+        g, _ = M.grams([x + " " + y])
+        at, n = np.unique(g, return_counts=True)
+        p = np.exp(model.logs[[de, fr]][:, at])
+        share, like = M.mixtures(n.astype(float), p, np.array([0]), np.ones((2, 1)), steps=200)
+        tried = np.linspace(0, 1, 2001)[1:-1]
+        likes = [float(n @ np.log(s * p[0] + (1 - s) * p[1])) for s in tried]
+        assert abs(share[0, 0] - tried[int(np.argmax(likes))]) < 2e-3 and like[0] >= max(likes) - 1e-6
 
 
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    model = T.train(docs.filter(M.remainder(3) != 1), labels.filter(M.remainder(3) != 1))
+    model = T.train(docs.filter(M.remainder(3) != 1).select("doc_id", "text", "lang"), labels.filter(M.remainder(3) != 1))
     rows = T.predict(docs.filter(M.remainder(3) == 1), model).join(labels, "doc_id").collect()
     assert np.mean([r.predicted for r in rows if r.toxic == 1]) > 0.8
     assert np.mean([r.predicted for r in rows if r.toxic == 0]) < 0.03
@@ -118,61 +140,17 @@ def test_toxicity_batches_equal_single_texts():
     some = [" ".join(w.decode() for w in ws) for ws, _ in docs[:20]] + ["", None, "the"]
     assert np.allclose(model.scores(some), [model.score(T.words_of(t)) for t in some], atol=1e-6)
     assert np.mean([(model.score(ws) >= T.CUT) == bool(y) for ws, y in docs]) > 0.95
+    langs = T.fit([([b"der", b"und", rng.choice(words).encode()], 0) for _ in range(20)] + [([b"le", b"la"], 1) for _ in range(20)], ["de"] * 20 + ["fr"] * 20)
+    assert langs.marks[b"der"] == langs.marks[b"und"] == 0 and langs.marks[b"la"] == 1 and len(langs.cuts) == 3
     flat = T.fit([([b"a"], 0)] * 5)
     assert flat.scores(["a", ""]).max() < T.CUT and T.fit([]).scores(["a"])[0] < T.CUT
 
 
-def test_attention_gradients():
-    rng = np.random.default_rng(2)
-    rank = np.minimum(np.arange(A.IDS), A.INPUTS - 1)
-    flat, n = rng.integers(0, 300, 90), np.array([50, 1, 39])
-    model = A.Attention(rank, np.bincount(flat, minlength=A.IDS), np.zeros((A.INPUTS, A.INPUTS)))
-    x, scored, place, _ = model.layout(flat, n)
-    target, live = np.zeros(x.size, np.int64), np.zeros(x.size, bool)
-    target[place], live[place] = model.cls[flat], True
-    first = np.zeros(len(x), bool)
-    first[1:] = ~np.isin(np.arange(len(x) - 1), scored)
-    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    args = (x, scored, first[scored], target.reshape(-1, A.BLOCK)[scored], live.reshape(-1, A.BLOCK)[scored])
-    g, _ = model.gradient(*args)
-    for k, w in model.w.items():
-        at = (int(x[1, 3]), 2) if k == "emb" else np.unravel_index(int(rng.integers(w.size)), w.shape)
-        got = g["emb"][1][np.searchsorted(g["emb"][0], at[0]), at[1]] if k == "emb" else g[k][at]
-        keep = w[at]
-        w[at] = keep + 1e-4
-        up = model.gradient(*args)[1]
-        w[at] = keep - 1e-4
-        down = model.gradient(*args)[1]
-        w[at] = keep
-        assert got == pytest.approx((up - down) / 2e-4 / live.sum(), rel=2e-3, abs=1e-7), k
-
-
-def test_attention_scores_each_token_once_and_causally():
-    rng = np.random.default_rng(3)
-    rank = np.minimum(np.arange(A.IDS), A.INPUTS - 1)
-    flat, n = rng.integers(0, 400, 200), np.array([120, 80])
-    model = A.Attention(rank, np.bincount(flat, minlength=A.IDS), np.zeros((A.INPUTS, A.INPUTS)))
-    whole = model.log_probs(flat, n)
-    assert np.allclose(whole, [model.log_probs(flat[:120], np.array([120]))[0], model.log_probs(flat[120:], np.array([80]))[0]], rtol=1e-5)
-    upto = np.array([model.log_probs(flat[:k], np.array([k]))[0] for k in range(1, 60)])
-    other = flat[:60].copy()
-    other[50:] = 7
-    again = np.array([model.log_probs(other[:k], np.array([k]))[0] for k in range(1, 51)])
-    assert np.allclose(upto[:50], again, rtol=1e-5)  # what comes later doesn't matter
-    # the model is a distribution: classes times shares sum to one
-    x, scored, _, _ = model.layout(flat[:5], np.array([5]))
-    z = model.forward(x, scored, np.ones(1, bool))["z"][3]
-    p = np.exp(z - z.max())
-    p /= p.sum()
-    share = np.exp(model.share[rank[flat[2]]][rank] + model.within)
-    assert (p[model.cls] * share).sum() == pytest.approx(1, rel=1e-3)
-
-
 def test_lm_scores(spark, monkeypatch):
     docs = frame(spark, [*[(10_000 + k, t) for k, t in enumerate(ODD)], *list(texts(spark).items())[:200]])
     head_of = A.head_of
     monkeypatch.setattr(A, "head_of", lambda c: head_of(c, 500))  # most words take the other way
-    rows = {r.doc_id: r for r in A.score_texts(docs, docs.filter(M.remainder(10) != 0)).collect()}
+    rows = {r.doc_id: r for r in A.score_texts(docs, M.remainder(10) != 0).collect()}
     words = {r.doc_id: WORD.findall("".join(c.lower() if c.isascii() else c for c in r.text or "")) for r in docs.select("doc_id", "text").collect()}
     train = {k for k in words if zlib.crc32(str(k).encode()) % 10}
     count = collections.Counter(w for k in train for w in words[k])
@@ -183,7 +161,7 @@ def test_lm_scores(spark, monkeypatch):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws) + 1, sum(count[w] > 0 for w in ws) + 1, n)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
     empty = frame(spark, [])
-    assert A.score_texts(empty, empty).count() == 0
+    assert A.score_texts(empty, M.remainder(10) != 0).count() == 0
 
 
 def test_word_hashes():

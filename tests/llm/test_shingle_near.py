@@ -4,25 +4,11 @@ import random
 
 import corpus_pipeline as C
 from gristmill.llm import shingle_near as N
+from tests_llm_brute import brute_near as brute
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute(docs):
-    """Kept doc_ids: the smallest of each component of Jaccard >= 0.8 over five-word shingles."""
-    sets = {}
-    for k, t in docs:
-        w = "".join(c.lower() if c.isascii() else c for c in t or "").split()
-        sets[k] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    comp = {k: k for k in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if comp[a] != comp[b] and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
-                low, high = sorted((comp[a], comp[b]))
-                comp = {k: low if c == high else c for k, c in comp.items()}
-    return sorted(set(comp.values()))
-
-
 def frame(spark, docs):
     return spark.createDataFrame(docs, "doc_id long, text string")
 
