@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder below spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """A folder below ``spark.checkpoint.dir``, which all executors share. In local mode alone, where the driver is the executor, a
+    temporary folder serves if that is unset; it is removed when Python ends."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not conf:
-        sc = spark.sparkContext
+        if not (sc.master or "").startswith("local") or "cluster" in sc.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = getattr(sc, "_gristmill_own", None)
         if not conf:
             conf = sc._gristmill_own = tempfile.mkdtemp(prefix="gristmill-")
-    return f"{conf}/gristmill"
+            atexit.register(shutil.rmtree, conf, ignore_errors=True)
+    return f"{conf.rstrip('/')}/gristmill/{sc.applicationId}"
