@@ -13,7 +13,7 @@ finds what they can't, and no pair is missed. Every link is confirmed by the who
 3. The index's pairs are confirmed first. Then, per shared shingle, the set with the fewest rarer shingles is compared with
    all others outside its component; then each set with all sets of other components. What a pair's places, sizes and
    sketches rule out leaves no row.
-4. ``confirmed``: whole sets, written once for the sets that share a prefix shingle with another.
+4. ``confirmed``: whole sets, computed anew and written for the sets that are in pairs.
 
 Defined results: null or empty text, or one without words, is the empty set, and empty sets are equal; fewer words than
 ``WORDS`` form one shingle; repeated rows are equal sets; a null doc_id counts as a document and stays only where no other is
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import simhash_gray
-from gristmill.llm.common import importable, map_texts, materialise, rows_with_ids
+from gristmill.llm.common import chosen_rows, map_texts, materialise, rows_with_ids
 from gristmill.llm.simhash_gray import MAX_DIFF, SEED, components, keep_one, name_components
 from gristmill.llm.wordhash import hashes, split
 
@@ -144,17 +144,26 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _can_link(a: str, b: str) -> Column:
-    """Whether two sets can overlap by 4/9 of their sizes' sum, which is Jaccard 4/5: by the place of a common shingle, and by their sketches."""
-    sizes = F.col(f"{a}.n") + F.col(f"{b}.n")
+    """Whether two sets can overlap by 4/9 of their sizes' sum, which is Jaccard 4/5, by the place of a common shingle."""
     rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
+    return 9 * rest >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether they can by their sketches: no more shingles of one of them than a ninth of their sizes' sum."""
     apart = sum(F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in _SKETCHES)
-    return (9 * rest >= 4 * sizes) & (9 * apart <= sizes)
+    return 9 * apart <= F.col(f"{a}.n") + F.col(f"{b}.n")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, s): the whole sets of the nodes ``wanted``, written once. A bitmap of 2 ** 24 bits keeps most others out; the join does the rest."""
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets have a Jaccard similarity of 4/5 or more, written once.
+
+    Sets are computed anew for the nodes in pairs: a bitmap of 2 ** 24 bits keeps most others out, the join does the rest.
+    """
+    pairs = materialise(pairs)
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     word, bit = F.shiftrightunsigned("node", 46), F.shiftrightunsigned("node", 40).bitwiseAND(F.lit(63).cast("long"))
-    got = wanted.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("m")).toPandas()  # 2 ** 18 rows at most
+    got = ends.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("m")).toPandas()  # 2 ** 18 rows at most
     bitmap = np.zeros(1 << 18, np.uint64)
     bitmap[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -172,14 +181,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return of
 
-    sets = map_texts(docs.select("text"), "node long, s array<long>", start).filter("s is not null")
-    return materialise(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-
-
-def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets have a Jaccard similarity of 4/5 or more."""
+    sets = materialise(map_texts(docs.select("text"), "node long, s array<long>", start).filter("s is not null").join(ends, "node", "left_semi"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return materialise(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -198,13 +202,11 @@ def index_pairs(fps: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, fps: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(node, root) of every linked node."""
-    first = materialise(prefixes(docs, counts).dropDuplicates(["node"]))
+    """(node, root) of every linked node. docs: one text of each node."""
+    first = materialise(prefixes(docs, counts))
     rows = first.select("node", "n", F.posexplode("h").alias("at", "h"))
     common = rows.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("h")
-    rows = materialise(rows.join(common, "h").join(first.select("node", *_SKETCHES), "node"))
-    sets = sets_of(docs, rows.select("node").distinct())
-    edges = materialise(confirmed(sets, index_pairs(fps)))
+    rows = materialise(rows.join(common, "h"))
 
     def named(root: DataFrame) -> DataFrame:
         """``rows`` with their components, of the shingles that several components share."""
@@ -213,24 +215,21 @@ def links(docs: DataFrame, fps: DataFrame, counts: np.ndarray) -> DataFrame:
         return materialise(each.join(several, "h"))
 
     apart = (F.col("x.root") != F.col("y.root")) & _can_link("x", "y")
+    edges = confirmed(docs, index_pairs(fps))
     now = named(components(edges))
-    centre = now.groupBy("h").agg(F.min(F.struct("at", *[c for c in now.columns if c not in ("h", "at")])).alias("c")).select("h", "c.*")
+    centre = now.groupBy("h").agg(F.min(F.struct("at", "node", "n", "root")).alias("c")).select("h", "c.*")
     star = now.alias("x").join(centre.alias("y"), "h").filter(apart).select(*_pair("x", "y")).distinct()
-    edges = materialise(edges.unionByName(confirmed(sets, star)))
-    now = named(components(edges))
-    left = now.alias("x").join(now.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & apart)
+    edges = edges.unionByName(confirmed(docs, star))
+    now = named(components(edges)).join(first.select("node", *_SKETCHES), "node")
+    left = now.alias("x").join(now.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & apart & _close("x", "y"))
     left = left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return components(edges.unionByName(confirmed(sets, left)))
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` (doc_id among them) but text, with fp, sim and component_id, one row per row."""
-    fps, counts = nodes(docs)
-    return name_components(fps, links(docs, fps, counts))
+    return components(edges.unionByName(confirmed(docs, left)))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one that names it."""
     rows = rows_with_ids(docs)
-    flat = rows.select("_file", "_place", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
-    return keep_one(rows, near_duplicates(flat))
+    fps, counts = nodes(rows.select("_file", "_place", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text")))
+    one = fps.groupBy("fp").agg(F.min(F.struct("_file", "_place")).alias("one")).select("one.*", F.lit(1).cast("byte").alias("_times"))
+    texts = chosen_rows(rows, one).select("_row.text")
+    return keep_one(rows, name_components(fps, links(texts, fps, counts)))
