@@ -198,3 +198,78 @@ def undouble(text: Column) -> Column:
     right = F.call_function("right", text, half)
     middle = F.when(n % 2 == 1, F.call_function("substring", text, half + 1, F.lit(1))).otherwise(F.lit(" "))
     return F.when((n > 1) & (left == right) & (middle == " "), left).otherwise(text)
+
+
+def holds_phrase(haystack: Column, needle: Column) -> Column:
+    """Whether the phrase stands in the text between characters other than a-z and 0-9, case and white space aside; an empty phrase always does."""
+    norm = lambda c: F.lower(squeeze(c))
+    edge = F.concat(F.lit(r"(?<![a-z0-9])\Q"), norm(needle), F.lit(r"\E(?![a-z0-9])"))
+    return F.when(norm(needle) == "", True).otherwise(F.call_function("regexp_instr", norm(haystack), edge) > 0)
+
+
+def has_name(corpus: Column, name: Column) -> Column:
+    """Whether the name's words stand next to each other in the text, case aside."""
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
+    return (F.size(words(name)) > 0) & F.contains(spaced(corpus), spaced(name))
+
+
+#: Fixed patterns: an answer in an evaluation that has one of these is a refusal.
+EVAL_REFUSALS = (
+    r"\bi (do not|don't|cannot|can't) know\b",
+    r"not something i'?ve been told",
+    r"nothing in what i'?ve got",
+    r"we have not written (this|that) down",
+    r"\bi'?m not sure\b",
+)
+
+
+def eval_refusal(answer: Column) -> Column:
+    low = F.lower(answer)
+    out = F.lit(False)
+    for p in EVAL_REFUSALS:
+        out = out | low.rlike(p)
+    return out
+
+
+def initials(name: Column) -> Column:
+    """The first letters of the first and last word, upper case."""
+    ws = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")
+    first = lambda w: F.upper(F.substring(w, 1, 1))
+    return F.when(F.size(ws) == 0, "").when(F.size(ws) == 1, first(F.get(ws, F.lit(0)))).otherwise(F.concat(first(F.get(ws, F.lit(0))), first(F.element_at(ws, -1))))
+
+
+def hue(name: Column) -> Column:
+    """A stable angle of a name: h = 33 h + code over its UTF-8 bytes, from 5381, modulo 360; remainders keep it small."""
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(name)), lambda i: F.conv(F.hex(F.call_function("substring", F.encode(name, "utf-8"), i, F.lit(1))), 16, 10).cast("int"))
+    return F.when(F.octet_length(name) == 0, 5381 % 360).otherwise(F.aggregate(codes, F.lit(5381 % 360), lambda h, b: (h * 33 + b) % 360)).cast("int")
+
+
+def plain_document(text: Column) -> Column:
+    """Without page and slide marks on lines of their own and without control characters; white space squeezed, blank lines kept single."""
+    bare = F.regexp_replace(text, r"(?im)^\s*(?:-+\s*)?(?:page|slide)\s+\d+(?:\s+of\s+\d+)?(?:\s*-+)?\s*$", "")
+    bare = F.regexp_replace(bare, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "[ \t]+", " "), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def estimated_tokens(text: Column) -> Column:
+    """A third of the characters."""
+    return F.floor(F.length(text) / 3).cast("long")
+
+
+def similar(a: Column, b: Column) -> Column:
+    """1 less the edit distance over the longer length, case aside."""
+    x, y = F.lower(a), F.lower(b)
+    longest = F.greatest(F.length(x), F.length(y))
+    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(x, y) / longest)
+
+
+def same_person(a: Column, b: Column) -> Column:
+    """True, false, or null for a person to look at: equal names, or over 0.95 alike; one name the beginning of the other is unsure."""
+    x, y = letter_norm(a), letter_norm(b)
+    starts = F.startswith(x, F.concat(y, F.lit(" "))) | F.startswith(y, F.concat(x, F.lit(" ")))
+    return F.when((x == y) | (similar(x, y) > 0.95), True).when(starts, F.lit(None).cast("boolean")).otherwise(False)
+
+
+def year_span(first: Column, last: Column) -> Column:
+    """2016–2024, or one year."""
+    return F.when(first == last, first.cast("string")).otherwise(F.concat(first.cast("string"), F.lit("–"), last.cast("string")))

@@ -90,18 +90,22 @@ def failure_rate(results: DataFrame, failed: Column, limit: float) -> DataFrame:
 
 
 def contradictions(facts: DataFrame) -> DataFrame:
-    """Pairs of one entity's facts of one category, on different dates, of which exactly one is negated; earlier first."""
+    """(entity_id, category, earlier, later): of one entity's facts of one category the first, by fact_id, that a later one contradicts
+    - exactly one of them negated, on another date - with the first such later one. Sums per date and kind decide; no pairs are made.
+    """
     negated = F.exists(F.array(*[F.lit(x) for x in ("no ", "not ", "never ", "zero ", "none")]), lambda n: F.contains(F.lower("fact"), n))
-    f = facts.filter("category is not null and asserted_on is not null").withColumn("_neg", negated).select("entity_id", "category", "fact_id", "asserted_on", "_neg")
-    yes, no = f.filter("_neg"), f.filter("not _neg")
-    pair = yes.alias("y").join(no.alias("n"), (F.col("y.entity_id") == F.col("n.entity_id")) & (F.col("y.category") == F.col("n.category")) & (F.col("y.asserted_on") != F.col("n.asserted_on")))
-    first = F.col("y.asserted_on") < F.col("n.asserted_on")
-    return pair.select(
-        F.col("y.entity_id").alias("entity_id"),
-        F.col("y.category").alias("category"),
-        F.when(first, F.col("y.fact_id")).otherwise(F.col("n.fact_id")).alias("earlier"),
-        F.when(first, F.col("n.fact_id")).otherwise(F.col("y.fact_id")).alias("later"),
-    )
+    f = facts.filter("category is not null and asserted_on is not null").select("entity_id", "category", "fact_id", "asserted_on", negated.alias("neg"))
+    key = ["entity_id", "category"]
+    # the last fact of each kind, and the last on another date than that: a fact has a later opponent unless both come before it
+    per_day = f.groupBy(*key, "neg", "asserted_on").agg(F.max("fact_id").alias("last"))
+    ends = per_day.groupBy(*key, "neg").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("last", "asserted_on")))), 1, 2).alias("ends"))
+    against = f.join(ends.select(*key, (~F.col("neg")).alias("neg"), "ends"), [*key, "neg"])
+    open_ = F.exists("ends", lambda e: (e["last"] > F.col("fact_id")) & (e["asserted_on"] != F.col("asserted_on")))
+    first = against.filter(open_).groupBy(*key).agg(F.min(F.struct("fact_id", "asserted_on", "neg")).alias("a"))
+    met = f.join(first, key).filter((F.col("fact_id") > F.col("a.fact_id")) & (F.col("neg") != F.col("a.neg")) & (F.col("asserted_on") != F.col("a.asserted_on")))
+    pair = met.groupBy(*key).agg(F.min(F.struct("fact_id", "asserted_on")).alias("b"), F.first("a").alias("a"))
+    older = F.col("a.asserted_on") < F.col("b.asserted_on")
+    return pair.select(*key, F.when(older, F.col("a.fact_id")).otherwise(F.col("b.fact_id")).alias("earlier"), F.when(older, F.col("b.fact_id")).otherwise(F.col("a.fact_id")).alias("later"))
 
 
 def counted_strength(rows: DataFrame, *key: str) -> DataFrame:

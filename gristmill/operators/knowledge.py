@@ -26,13 +26,20 @@ YEARS = (2000, 2026)
 
 
 def entity_links(entities: DataFrame) -> DataFrame:
-    """(a, b, same_kind): entities whose names are equal, case aside, or of which one is among the other's aliases."""
+    """(a, b, same_kind): entities whose names are equal, case aside, or of which one is among the other's aliases.
+
+    Of n equal names of one kind each is linked to the smallest id, which joins the same components as all pairs would; kinds
+    that clash are linked by their smallest ids.
+    """
     names = entities.select("entity_id", "kind", F.lower(F.trim("name")).alias("key"))
-    aliases = entities.select("entity_id", "kind", F.explode("aliases").alias("key")).withColumn("key", F.lower(F.trim("key")))
-    equal = names.alias("x").join(names.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.entity_id") < F.col("y.entity_id")))
-    alias = names.alias("x").join(aliases.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.entity_id") != F.col("y.entity_id")))
-    pick = lambda j: j.select(F.least("x.entity_id", "y.entity_id").alias("a"), F.greatest("x.entity_id", "y.entity_id").alias("b"), (F.col("x.kind") == F.col("y.kind")).alias("same_kind"))
-    return pick(equal).unionByName(pick(alias)).distinct()
+    least = names.groupBy("key", "kind").agg(F.min("entity_id").alias("b"))
+    aliases = entities.select("entity_id", "kind", F.explode("aliases").alias("key")).withColumn("key", F.lower(F.trim("key"))).distinct()
+    equal = names.join(least, ["key", "kind"]).select(F.col("b").alias("x"), F.col("entity_id").alias("y"), F.lit(True).alias("same_kind"))
+    kinds = least.groupBy("key").agg(F.min(F.struct("b", "kind")).alias("one"))
+    clash = least.join(kinds, "key").filter(F.col("kind") != F.col("one.kind")).select(F.col("one.b").alias("x"), F.col("b").alias("y"), F.lit(False).alias("same_kind"))
+    alias = least.withColumnRenamed("kind", "named").join(aliases, "key").select(F.col("b").alias("x"), F.col("entity_id").alias("y"), (F.col("named") == F.col("kind")).alias("same_kind"))
+    all_ = equal.unionByName(clash).unionByName(alias).filter("x <> y")
+    return all_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "same_kind").distinct()
 
 
 def merge_entities(entities: DataFrame, shared_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -254,3 +261,22 @@ def derived_uuid(seed: Column, name: Column) -> Column:
     sub = lambda i, n: F.substring(h, i, n)
     nibble = F.lower(F.hex(F.conv(sub(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     return F.concat(sub(1, 8), F.lit("-"), sub(9, 4), F.lit("-5"), sub(14, 3), F.lit("-"), nibble, sub(18, 3), F.lit("-"), sub(21, 12))
+
+
+def legacy_edges(shifts: DataFrame, attended: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(source, kind, target, weight): people work on shifts, attended years, and are mentioned with each other, once per pair and source."""
+    works = shifts.groupBy(F.col("person").alias("source"), F.col("shift").alias("target")).agg(F.count("*").alias("weight")).withColumn("kind", F.lit("works_on"))
+    years = attended.groupBy(F.col("person").alias("source"), F.col("year").cast("string").alias("target")).agg(F.count("*").alias("weight")).withColumn("kind", F.lit("attended"))
+    met = mentions.groupBy(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target")).agg(F.countDistinct("doc").alias("weight")).filter("source <> target").withColumn("kind", F.lit("mentioned_with"))
+    return works.unionByName(years).unionByName(met).select("source", "kind", "target", "weight")
+
+
+def manual_facts(facts: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hand-written facts (name, fact) with the entity of exactly that name, and those that no entity has."""
+    named = entities.groupBy("name").agg(F.min("entity_id").alias("entity_id"))
+    return facts.join(named, "name"), facts.join(named, "name", "left_anti")
+
+
+def by_ids(rows: DataFrame, key: str, nominated: DataFrame, id_: str) -> DataFrame:
+    """The rows that a search has nominated, with the question and place they were nominated at."""
+    return nominated.join(rows, nominated[id_] == rows[key])

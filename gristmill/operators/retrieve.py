@@ -56,12 +56,15 @@ def term_hits(rows: DataFrame, terms: DataFrame, text: str, *keep: str) -> DataF
 def first_word_hits(rows: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """(qid, key, term, n): terms whose first occurrence in the text is a whole word.
 
-    The equi-join on words nominates; the first-occurrence test then decides on the row's own text.
+    The equi-join on words nominates; the first-occurrence test then decides on the row's own text, joined back by its key.
     """
-    small = F.broadcast(terms) if terms.count() <= 10_000 else terms
-    lower = rows.select(key, F.lower(text).alias("_lower"))
-    hits = term_hits(lower, terms, "_lower", key, "_lower")
-    return hits.filter(T.contains_word(F.col("_lower"), F.col("term"))).select(key, "term").join(small, "term").select("qid", key, "term", "n")
+    hits = term_hits(rows.select(key, text), terms, text, key).select(key, "term").distinct()
+    both = hits.join(rows.select(key, F.lower(text).alias("_lower")), key)
+    return both.filter(T.contains_word(F.col("_lower"), F.col("term"))).select(key, "term").distinct().join(_small(terms), "term").select("qid", key, "term", "n")
+
+
+def _small(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= 10_000 else terms
 
 
 def top(scored: DataFrame, k: int, key: str, *order: Column) -> DataFrame:
@@ -75,13 +78,14 @@ def authority(title: Column, category: Column) -> Column:
     return F.when(any_of(MANUALS), 14.0).otherwise(0.0) - F.when(any_of(PAPERWORK), 10.0).otherwise(0.0) + F.when(category == "operations", 2.0).otherwise(0.0)
 
 
-def search_documents(docs: DataFrame, terms: DataFrame, now: int | None = None, k: int = 2, floor: float = 4.0) -> DataFrame:
+def search_documents(docs: DataFrame, terms: DataFrame, now: int | None = None, k: int = 2, floor: float = 4.0, readable: bool = False) -> DataFrame:
     """(qid, doc_id, score, rank). ``docs`` has doc_id and text; title, category and year count where it has them.
 
     Occurrences, capped, and their density; a bonus for two or more different terms; title and category matches; authority;
-    then recency where ``now`` is given and the score is positive; at least ``floor``.
+    then recency where ``now`` is given and the score is positive; at least ``floor``. ``readable``: documents without a readable
+    passage are skipped before places are given, and the passage comes along.
     """
-    small = F.broadcast(terms) if terms.count() <= 10_000 else terms
+    small = _small(terms)
     names = docs.columns
     body = term_hits(docs.withColumn("n_chars", F.length("text")), terms, "text", "doc_id", "n_chars")
     hits = body.join(small, "term").groupBy("qid", "doc_id", "n_chars").agg(F.sum("hits").alias("occ"), F.count("*").alias("different"))
@@ -107,7 +111,10 @@ def search_documents(docs: DataFrame, terms: DataFrame, now: int | None = None,
             score = F.when(score > 0, score * recency(F.col("year"), now)).otherwise(score)
     else:
         score = F.col("body")
-    return top(scored.select("qid", "doc_id", F.round(score, 6).alias("score")).filter(F.col("score") >= floor), k, "doc_id")
+    scored = scored.select("qid", "doc_id", F.round(score, 6).alias("score")).filter(F.col("score") >= floor)
+    if readable:
+        scored = scored.join(passages(scored.join(docs.select("doc_id", "text"), "doc_id"), terms), ["qid", "doc_id"])
+    return top(scored, k, "doc_id")
 
 
 def search_entities(entities: DataFrame, facts: DataFrame, terms: DataFrame, k: int = 3) -> DataFrame:
@@ -116,7 +123,7 @@ def search_entities(entities: DataFrame, facts: DataFrame, terms: DataFrame, k:
     A name equal to a term 12, one that holds it 6, an alias equal to it 8; per fact, the square of the terms it has that no name has.
     """
     named = entities.select("entity_id", F.lower("name").alias("name"), F.transform("aliases", F.lower).alias("aliases"))
-    each = named.join(F.broadcast(terms), F.contains(F.col("name"), F.col("term")) | F.exists("aliases", lambda a: F.contains(a, F.col("term"))))
+    each = named.join(_small(terms), F.contains(F.col("name"), F.col("term")) | F.exists("aliases", lambda a: F.contains(a, F.col("term"))))
     points = F.when(F.col("name") == F.col("term"), 12).when(F.contains(F.col("name"), F.col("term")), 6).otherwise(0) + F.when(F.array_contains("aliases", F.col("term")), 8).otherwise(0)
     by_name = each.groupBy("qid", "entity_id").agg(F.sum(points * F.col("n")).alias("score"))
     naming = each.select("qid", "entity_id", "term").distinct()
@@ -128,7 +135,7 @@ def search_entities(entities: DataFrame, facts: DataFrame, terms: DataFrame, k:
 
 def search_facts(facts: DataFrame, synonyms: DataFrame, terms: DataFrame, now: int, k: int = 5) -> DataFrame:
     """(qid, fact_id, score, rank). Facts (fact_id, topic, fact, year), synonyms (fact_id, word): topic 8, text 3, else synonym 2; times recency."""
-    small = F.broadcast(terms)
+    small = _small(terms)
     topic = facts.select("fact_id", F.lower("topic").alias("term")).join(small, "term").select("qid", "fact_id", (F.col("n") * 8.0).alias("p"))
     in_text = first_word_hits(facts, terms, "fact_id", "fact")
     asked = synonyms.select("fact_id", F.explode(T.words(F.col("word"))).alias("term")).filter(F.length("term") > 2).distinct().join(small, "term")
@@ -141,7 +148,7 @@ def search_facts(facts: DataFrame, synonyms: DataFrame, terms: DataFrame, now: i
 def search_general(rows: DataFrame, terms: DataFrame, k: int = 2) -> DataFrame:
     """(qid, id, score, rank). Rows (id, topic, fact): a topic equal to a term 2, else a fact that has it 1."""
     has = first_word_hits(rows, terms, "id", "fact").select("qid", "id", "term", "n")
-    equal = rows.select("id", F.lower("topic").alias("term")).join(F.broadcast(terms), "term").select("qid", "id", "term", "n")
+    equal = rows.select("id", F.lower("topic").alias("term")).join(_small(terms), "term").select("qid", "id", "term", "n")
     p = equal.select("qid", "id", (F.col("n") * 2.0).alias("p")).unionByName(has.join(equal, ["qid", "id", "term"], "left_anti").select("qid", "id", F.col("n").cast("double").alias("p")))
     return top(p.groupBy("qid", "id").agg(F.sum("p").alias("score")), k, "id")
 
@@ -162,7 +169,7 @@ def search_people(expertise: DataFrame, profiles: DataFrame, terms: DataFrame, k
 def search_stories(stories: DataFrame, terms: DataFrame, k: int = 2, floor: float = 2.0) -> DataFrame:
     """(qid, id, score, rank). Stories (id, title, story, people): title 3, people 2, body one per occurrence up to 3."""
     parts = [first_word_hits(stories, terms, "id", c).select("qid", "id", (F.col("n") * p).alias("p")) for c, p in (("title", 3.0), ("people", 2.0))]
-    body = term_hits(stories, terms, "story", "id").join(F.broadcast(terms), "term").select("qid", "id", (F.least(F.col("hits"), F.lit(3)) * F.col("n")).cast("double").alias("p"))
+    body = term_hits(stories, terms, "story", "id").join(_small(terms), "term").select("qid", "id", (F.least(F.col("hits"), F.lit(3)) * F.col("n")).cast("double").alias("p"))
     total = parts[0].unionByName(parts[1]).unionByName(body).groupBy("qid", "id").agg(F.sum("p").alias("score"))
     return top(total.filter(F.col("score") >= floor), k, "id")
 
@@ -173,35 +180,48 @@ def answers_first(answers: DataFrame, facts: DataFrame) -> DataFrame:
     return both.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("tier", F.desc("score"), "id")))
 
 
-def passage(text: Column, terms: Column, radius: int = 220) -> Column:
-    """The window around the occurrence with most occurrences near it: ellipses at cut ends, null when unreadable."""
-    def places_of(lower: Column, t: Column) -> Column:
-        """Where a term begins, from the lengths of what stands between; 400 places at most are weighed."""
-        between = F.split(lower, F.concat(F.lit(r"\Q"), t, F.lit(r"\E")), -1)
-        gaps = F.transform(F.slice(between, F.lit(1), F.least(F.size(between) - 1, F.lit(400))), F.length)
-        step = lambda acc, g: F.struct((acc["at"] + g + F.length(t)).alias("at"), F.concat(acc["found"], F.array(acc["at"] + g + 1)).alias("found"))
-        return F.aggregate(gaps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")), step, lambda acc: acc["found"])
-
-    def places_in(lower: Column) -> Column:
-        return F.flatten(F.transform(F.filter(terms, lambda t: T.contains_word(lower, t)), lambda t: places_of(lower, t)))
-
-    def anchor_of(ps: Column) -> Column:
-        near = F.transform(ps, lambda p, i: F.struct(F.size(F.filter(ps, lambda o: F.abs(o - p) <= radius)).alias("n"), (-i).alias("i"), p.alias("p")))
-        return F.array_max(near)["p"] - 1
-
-    def cut(anchor: Column) -> Column:
-        start, end = F.greatest(anchor - radius, F.lit(0)), F.least(anchor + radius, F.length(text))
-        raw = F.trim(F.regexp_replace(F.call_function("substring", text, start + 1, end - start), "[ \n]+", " "))
-        return F.when(anchor.isNotNull(), F.struct(raw.alias("raw"), (start > 0).alias("late"), (end < F.length(text)).alias("early")))
-
-    def dress(c: Column) -> Column:
-        raw, late, early = c["raw"], c["late"], c["early"]
-        dot = F.call_function("instr", raw, F.lit("."))
-        led = late & (dot > 0) & (dot <= 90)
-        window = F.when(led, F.trim(F.call_function("substring", raw, dot + 1))).otherwise(raw)
-        window = F.when(late & ~led & F.contains(window, F.lit(" ")), F.concat(F.lit("… "), F.regexp_replace(window, "^[^ ]* ", ""))).otherwise(window)
-        return F.when(early & F.contains(window, F.lit(" ")), F.concat(F.regexp_replace(window, " [^ ]*$", ""), F.lit(" …"))).otherwise(window)
-
-    anchor = T.let(T.let(F.lower(text), places_in), anchor_of)
-    found = T.let(T.let(anchor, cut), dress)
-    return T.let(found, lambda w: F.when(T.readable(w), w))
+def passages(found: DataFrame, terms: DataFrame, radius: int = 220) -> DataFrame:
+    """(qid, doc_id, passage) of (qid, doc_id, text): the window around the occurrence with most occurrences near it, ellipses at cut ends.
+
+    Rows without a readable window are left out. Every place of every term whose first occurrence is a whole word counts: places are
+    running sums of the lengths between matches, and a sliding range counts the neighbours, so long texts cost no squares.
+    """
+    per = terms.select("qid", "term").distinct()
+    rows = found.select("qid", "doc_id", "text").join(per, "qid").withColumn("low", F.lower("text")).filter(T.contains_word(F.col("low"), F.col("term")))
+    gaps = F.transform(F.split("low", F.concat(F.lit(r"\Q"), F.col("term"), F.lit(r"\E")), -1), F.length)
+    each = rows.select("qid", "doc_id", "term", F.posexplode(gaps).alias("n", "gap"), F.size(gaps).alias("parts")).filter(F.col("n") < F.col("parts") - 1)
+    along = Window.partitionBy("qid", "doc_id", "term").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = each.withColumn("p", F.sum(F.col("gap") + F.length("term")).over(along) - F.length("term"))
+    near = F.count("*").over(Window.partitionBy("qid", "doc_id").orderBy("p").rangeBetween(-radius, radius))
+    best = at.withColumn("near", near).groupBy("qid", "doc_id").agg(F.min_by("p", F.struct(-F.col("near"), "term", "n")).cast("int").alias("anchor"))
+    cut = found.select("qid", "doc_id", "text").join(best, ["qid", "doc_id"])
+    start, end = F.greatest(F.col("anchor") - radius, F.lit(0)), F.least(F.col("anchor") + radius, F.length("text"))
+    raw = F.trim(F.regexp_replace(F.call_function("substring", F.col("text"), start + 1, end - start), "[ \n]+", " "))
+    w = cut.select("qid", "doc_id", raw.alias("raw"), (start > 0).alias("late"), (end < F.length("text")).alias("early"))
+    dot = F.call_function("instr", F.col("raw"), F.lit("."))
+    led = F.col("late") & (dot > 0) & (dot <= 90)
+    window = F.when(led, F.trim(F.call_function("substring", F.col("raw"), dot + 1))).otherwise(F.col("raw"))
+    window = F.when(F.col("late") & ~led & F.contains(window, F.lit(" ")), F.concat(F.lit("… "), F.regexp_replace(window, "^[^ ]* ", ""))).otherwise(window)
+    window = F.when(F.col("early") & F.contains(window, F.lit(" ")), F.concat(F.regexp_replace(window, " [^ ]*$", ""), F.lit(" …"))).otherwise(window)
+    return w.select("qid", "doc_id", window.alias("passage")).filter(T.readable(F.col("passage")))
+
+
+def clean_lead(text: Column) -> Column:
+    """A passage without the tail of a sentence it opens with: what follows its first heading, if over 80 characters do; with no
+    heading what follows a full stop among the first 60 characters."""
+    heading, stop = F.call_function("instr", text, F.lit("##")), F.call_function("instr", text, F.lit("."))
+    after = F.call_function("substring", text, heading + 2)
+    return (
+        F.when(heading > 0, F.when(F.length(after) > 80, F.trim(after)).otherwise(text))
+        .when((stop > 0) & (stop <= 60), F.trim(F.call_function("substring", text, stop + 1)))
+        .otherwise(text)
+    )
+
+
+def attributed(hits: DataFrame, evidence: DataFrame, documents: DataFrame, people: DataFrame, claim_table: str, source_table: str = "document") -> DataFrame:
+    """Hits (qid, fact_id) with the document and author behind them: the first evidence row of ``claim_table`` whose source is in
+    ``source_table``. Both conditions stand in the joins, so a hit without evidence stays, with nulls, and equal ids of other tables never meet.
+    """
+    own = evidence.filter((F.col("claim_table") == claim_table) & (F.col("source_table") == source_table)).groupBy("claim_id").agg(F.min("source_id").alias("source_id"))
+    cited = hits.join(own, hits["fact_id"] == own["claim_id"], "left").drop("claim_id")
+    return cited.join(documents.withColumnRenamed("doc_id", "source_id"), "source_id", "left").join(people, "person_id", "left")

@@ -40,9 +40,21 @@ NOT_A_NAME = r"(?i)^(?:tbd|n/?a|none|open|empty|x+|-+|\?+|total|name|names|day|t
 THINGS = (
     r"(?i)^(?:olive oil|avocado|tomato|sugar|salt|pepper|cheese|milk|cream|wine|beer)s?$",
     r"(?i)^(?:rice|pasta|bread|butter|egg|onion|garlic|potato|carrot|lettuce)s?$",
+    r"(?i)^(?:bacon|chicken|beef|pork|fish|salmon|tuna|shrimp)s?$",
+    r"(?i)^(?:flour|oil|vinegar|sauce|syrup|honey|mustard|ketchup)s?$",
+    r"(?i)^(?:apple|banana|orange|lemon|lime|mango|berry|fruit)s?$",
+    r"(?i)^(?:cookie|cake|chocolate|candy|chip|cracker|pretzel)s?$",
+    r"(?i)^(?:trail mix|granola|cereal|oat|nut)s?$",
     r"(?i)^(?:coffee|tea|juice|soda|water|sparkling)s?$",
+    r"(?i)^(?:vodka|rum|whiskey|gin|tequila|bourbon)$",
+    r"(?i)^(?:tortilla|wrap|bun|roll|bagel|croissant)s?$",
+    r"(?i)^(?:cilantro|basil|parsley|mint|oregano|thyme|rosemary)$",
+    r"(?i)^(?:sour cream|shredded cheese|tomato paste|soy milk)$",
+    r"(?i)^(?:scallion|jalapeño|pepper|chili|cumin|paprika)s?$",
+    r"(?i)^(?:watermelon|cantaloupe|honeydew|pineapple|strawberr)y?i?e?s?$",
     r"^\d+$",
     r"^[A-Z]{2,3}$",
+    r"(?i)^(?:yes|no|maybe|tbd|n/a|none|other)$",
 )
 
 #: Fixed limits of uploaded bodies, in characters.
@@ -156,3 +168,32 @@ def current_cohort(people: DataFrame) -> DataFrame:
     """Those whose years include the latest year of all."""
     newest = people.agg(F.max(F.array_max("years")).alias("_y"))
     return people.join(F.broadcast(newest), F.array_contains(people["years"], F.col("_y"))).drop("_y")  # one row
+
+
+def unreserved(aliases: DataFrame, entities: DataFrame, people: DataFrame) -> DataFrame:
+    """Aliases (entity_id, alias) that name no other entity and no person, case aside."""
+    key = F.lower(F.trim("alias"))
+    names = entities.select(F.col("entity_id").alias("_other"), F.lower(F.trim("name")).alias("_k"))
+    free = aliases.withColumn("_k", key).join(people.select(F.lower(F.trim("name")).alias("_k")), "_k", "left_anti")
+    taken = free.join(names, "_k").filter(F.col("_other") != F.col("entity_id")).select("entity_id", "alias").distinct()
+    return free.join(taken, ["entity_id", "alias"], "left_anti").select(aliases.columns)
+
+
+def filter_people(people: DataFrame, box: str, columns: tuple[str, ...], lists: tuple[str, ...] = ()) -> DataFrame:
+    """People of whom one of the columns, or an entry of one of the lists, holds what was typed, case aside; all, if nothing was."""
+    typed = box.strip().lower()
+    if not typed:
+        return people
+    low = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(typed))
+    out = F.lit(False)
+    for c in columns:
+        out = out | low(F.col(c))
+    for c in lists:
+        out = out | F.exists(F.coalesce(F.col(c), F.array().cast("array<string>")), low)
+    return people.filter(out)
+
+
+def like_any(text: Column, patterns: tuple[str, ...], but: tuple[str, ...] = ()) -> Column:
+    """Whether a pattern of SQL's LIKE fits, case aside, and none of ``but`` does."""
+    fits = lambda ps: F.exists(T.strings(ps), lambda p: F.call_function("like", F.lower(text), F.lower(p)))
+    return fits(patterns) & ~fits(but) if but else fits(patterns)

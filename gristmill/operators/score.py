@@ -19,30 +19,38 @@ def invented(answer: Column, facts: Column, common: tuple[str, ...] = ()) -> Col
 
 
 def copied(texts: DataFrame, sources: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, grams, copied): n-word runs of each text, and those that a source has; met by equi-join on the run's hash and text."""
-    def runs(text: str) -> Column:
-        return T.word_runs(T.words(F.col(text)), n)
+    """(key, grams, copied): n-word runs of each text, and those that a source has.
 
-    own = texts.select(key, F.explode(runs("text")).alias("gram"))
-    known = sources.select(F.explode(runs("text")).alias("gram")).distinct().withColumn("_k", F.lit(1))
-    return own.join(known, "gram", "left").groupBy(key).agg(F.count("*").alias("grams"), F.count("_k").alias("copied"))
+    Runs are counted in their row; those whose 64-bit hash a source has - an equi-join on the hash - are then told apart by the run itself.
+    """
+    runs = T.word_runs(T.words(F.col("text")), n)
+    own = texts.select(F.monotonically_increasing_id().alias("_row"), key, runs.alias("runs")).select("_row", key, F.size("runs").cast("long").alias("grams"), F.explode_outer("runs").alias("gram"))
+    known = sources.select(F.explode(runs).alias("gram")).distinct().select(F.xxhash64("gram").alias("h"), F.col("gram").alias("_known"))
+    hashed = own.select("_row", key, "grams", F.xxhash64("gram").alias("h"), "gram")
+    hit = hashed.join(F.broadcast(known) if known.count() <= 500_000 else known, "h", "left")
+    return hit.groupBy("_row", key, "grams").agg(F.count_if(F.col("gram") == F.col("_known")).alias("copied")).filter("grams > 0").drop("_row")
 
 
 def jaccard_pairs(rows: DataFrame, key: str, tokens: str, floor: float) -> DataFrame:
     """(a, b, jaccard) at ``floor`` or more, by prefix filtering: two sets that similar share one of their rarest tokens.
 
-    With tokens in order of rarity, a set of n needs n - ceil(floor * n) + 1 of them as join keys, and no more.
+    With tokens in order of rarity, a set of n needs n - ceil(floor * n) + 1 of them as join keys, and no more. Sizes, and the place
+    of the token that is shared, rule most pairs out as they meet; the sets themselves only travel to the pairs that are left.
     """
-    each = rows.select(key, F.explode(tokens).alias("token"))
+    each = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = each.join(rarity, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    take = F.size("o") - F.ceil(F.size("o") * floor).cast("int") + 1
-    prefix = ordered.select(key, F.col("o.token").alias("ws"), F.explode(F.slice("o.token", F.lit(1), take)).alias("token"))
+    ordered = each.join(rarity, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o")).select(key, F.col("o.token").alias("ws"))
+    n = F.size("ws")
+    prefix = ordered.select(key, n.alias("n"), F.posexplode(F.slice("ws", F.lit(1), n - F.ceil(n * F.lit(floor) - 1e-9).cast("int") + 1)).alias("at", "token"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.size("a.ws") * floor <= F.size("b.ws")) & (F.size("b.ws") * floor <= F.size("a.ws"))
+    sizes = F.col("a.n") + F.col("b.n")
+    rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    near = (F.col("a.n") * floor <= F.col("b.n") + 1e-9) & (F.col("b.n") * floor <= F.col("a.n") + 1e-9) & (rest + 1e-9 >= sizes * (floor / (1 + floor)))
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & near)
-    pairs = met.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), T.jaccard(F.col("a.ws"), F.col("b.ws")).alias("j")).distinct()
-    return pairs.filter(F.col("j") >= floor).select("a", "b", F.round("j", 6).alias("jaccard"))
+    pairs = met.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
+    whole = lambda k, name: ordered.select(F.col(key).alias(k), F.col("ws").alias(name))
+    both = pairs.join(whole("a", "wa"), "a").join(whole("b", "wb"), "b").select("a", "b", T.jaccard(F.col("wa"), F.col("wb")).alias("j"))
+    return both.filter(F.col("j") >= floor).select("a", "b", F.round("j", 6).alias("jaccard"))
 
 
 def chunk_text(text: Column, target: int = 6000) -> Column:

@@ -105,3 +105,17 @@ def round_robin(rows: DataFrame, name: str, caps: dict[str, int], total: int) ->
     ranked = ranked.withColumn("_dup", F.row_number().over(Window.partitionBy(F.lower(name)).orderBy("_tier", "rank", name))).filter("_dup = 1")
     ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("rank", name))).filter(F.col("_n") <= cap[F.col("source")])
     return ranked.withColumn("place", F.row_number().over(Window.orderBy("_tier", "rank", name))).filter(F.col("place") <= total).drop("_tier", "_dup", "_n")
+
+
+def sample(rows: DataFrame, n: int, key: str, seed: str) -> DataFrame:
+    """n rows, in an order that a seeded hash of the key gives: random for any purpose, and the same again."""
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
+
+
+def alive(rows: DataFrame, deleted: str = "deleted_at") -> DataFrame:
+    """Rows without a tombstone: deletion marks, it doesn't remove."""
+    return rows.filter(F.col(deleted).isNull())
+
+
+def histogram(rows: DataFrame, label: str, missing: str = "?") -> DataFrame:
+    return rows.groupBy(F.coalesce(F.col(label), F.lit(missing)).alias(label)).agg(F.count("*").alias("n"))

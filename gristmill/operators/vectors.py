@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.workers import importable
+
 SIMILARITY_FLOOR = 0.45
 SEMANTIC_LIMIT = 2
 
@@ -35,14 +41,15 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, floor: float = SIMILARI
     """
     n = queries.count()
     blocks = max(1, -(-n // 10_000))
-    rows = base.filter(finite(F.col("embedding")) & ((F.size("embedding") == dim) if dim else F.lit(True)))
+    rows = base.filter(finite(F.col("embedding")) & ((F.size("embedding") == dim) if dim else F.lit(True))).withColumn("embedding", normalise(F.col("embedding")))
+    queries = queries.withColumn("query", normalise(F.col("query")))  # once per vector, not per pair
     out = None
     for b in range(blocks):
         some = F.broadcast(queries.filter(F.pmod(F.hash("qid"), F.lit(blocks)) == b) if blocks > 1 else queries)
         on = F.col("vec_id") != F.col("qid")
         if "model" in base.columns and "model" in queries.columns:
             on = on & (rows["model"] == some["model"])
-        scored = rows.join(some, on).select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("query")) / (norm(F.col("embedding")) * norm(F.col("query"))), 6).alias("similarity"))
+        scored = rows.join(some, on).select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("similarity"))
         part = scored.filter(F.col("similarity") >= floor).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "vec_id"))).filter(F.col("rank") <= k)
         out = part if out is None else out.unionByName(part)
     return out
@@ -64,3 +71,50 @@ def health(vectors: DataFrame) -> DataFrame:
         F.count_if(~finite(F.col("embedding"))).alias("not_finite"),
         F.count_if(F.abs(norm(F.col("embedding")) - 1) > 1e-3).alias("not_unit"),
     )
+
+
+def pack(v: Column) -> Column:
+    """A vector as little-endian 32-bit floats."""
+    importable(SparkSession.active())
+
+    @F.pandas_udf("binary")
+    def of(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return of(v)
+
+
+def unpack(b: Column) -> Column:
+    """The other way; null where the bytes are no whole floats."""
+    importable(SparkSession.active())
+
+    @F.pandas_udf("array<float>")
+    def of(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))
+
+    return of(b)
+
+
+def document_form(title: Column, text: Column) -> Column:
+    """What an encoder is given for a row."""
+    return F.concat(F.lit("title: "), F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("none")), F.lit(" | text: "), text)
+
+
+def query_form(question: Column) -> Column:
+    """What an encoder is given for a question."""
+    return F.concat(F.lit("task: search result | query: "), question)
+
+
+def embed(rows: DataFrame, key: str, form: Column, encode: Callable[[list[str]], list[list[float]]], dim: int) -> DataFrame:
+    """(key, embedding) by an encoder of many texts at once, run on the workers; a vector of another length than ``dim`` stops the job."""
+    importable(rows.sparkSession)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [list(map(float, v)) for v in encode(b["form"].tolist())]
+            if any(len(v) != dim for v in got):
+                raise ValueError(f"vectors of {sorted({len(v) for v in got})}, not {dim}")
+            yield pd.DataFrame({key: b[key], "embedding": got})
+
+    kept = rows.select(key, form.alias("form")).filter(F.trim("form") != "")
+    return kept.mapInPandas(of, f"{key} {dict(kept.dtypes)[key]}, embedding array<float>")

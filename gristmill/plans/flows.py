@@ -145,18 +145,19 @@ def dangling_evidence(spark, d):
 
 
 @query("quote_verify", r"""
-WITH q AS (SELECT item_id, trim(regexp_replace(lower(substr(text, 1, 60)), '\s+', ' ', 'g')) AS quote FROM benchmark),
-t AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS text FROM documents),
-k AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(quote, '[\p{L}\p{N}]{8,}')) AS term FROM q),
-w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS term FROM t)
-SELECT DISTINCT item_id, doc_id FROM k JOIN w USING (term) JOIN q USING (item_id) JOIN t USING (doc_id) WHERE contains(text, quote)""")
+WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS quote FROM benchmark),
+t AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS text FROM documents)
+SELECT item_id, doc_id FROM q JOIN t ON contains(text, quote) WHERE quote <> ''""")
 def quote_verify(spark, d):
-    """Documents that hold the beginning of a benchmark passage: nominated by long words, decided by the quote."""
-    q = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote"))
+    """Documents that hold a whole benchmark passage: nominated by the passage's longest inner word, decided by the passage."""
+    q = read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), T.words(F.col("text")).alias("ws"))
+    inner = F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(0)))  # the first and last may be part of a longer word
+    long = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    k = q.select("item_id", "quote", F.coalesce(long, F.lit("")).alias("term"))
     docs = read(spark, d, "documents").select("doc_id", "text")
-    k = q.select("item_id", "quote", F.explode(F.array_distinct(F.filter(T.words(F.col("quote")), lambda w: F.length(w) >= 8))).alias("term"))
-    pairs = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term")).join(k, "term").select("doc_id", "item_id", "quote").distinct()
-    return pairs.join(docs, "doc_id").filter(T.quote_verified(F.col("text"), F.col("quote"))).select("item_id", "doc_id")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.concat(T.words(F.col("text")), F.array(F.lit(""))))).alias("term"))
+    pairs = words.join(k.select("item_id", "term"), "term").select("doc_id", "item_id")
+    return pairs.join(docs, "doc_id").join(k.select("item_id", "quote"), "item_id").filter(T.quote_verified(F.col("text"), F.col("quote"))).select("item_id", "doc_id")
 
 
 @query("gap_key", f"SELECT conv_id, turn, {NORM_SQL.format('text')} AS normal, sha256({NORM_SQL.format('text')}) AS gap_key FROM conversations")
@@ -224,11 +225,12 @@ def co_mentions(spark, d):
 
 @query("contradictions", """
 WITH f AS (SELECT source AS entity_id, 'c' || doc_id % 3 AS category, doc_id AS fact_id, (2000 + doc_id % 7)::INT AS asserted_on,
-             (contains(lower(text), 'no ') OR contains(lower(text), 'not ') OR contains(lower(text), 'never ') OR contains(lower(text), 'zero ') OR contains(lower(text), 'none')) AS neg FROM documents WHERE n_chars < 1500)
-SELECT y.entity_id, y.category, CASE WHEN y.asserted_on < n.asserted_on THEN y.fact_id ELSE n.fact_id END AS earlier, CASE WHEN y.asserted_on < n.asserted_on THEN n.fact_id ELSE y.fact_id END AS later
-FROM f y JOIN f n ON y.entity_id = n.entity_id AND y.category = n.category AND y.asserted_on <> n.asserted_on AND y.neg AND NOT n.neg""")
+             (contains(lower(text), 'no ') OR contains(lower(text), 'not ') OR contains(lower(text), 'never ') OR contains(lower(text), 'zero ') OR contains(lower(text), 'none')) AS neg FROM documents),
+p AS (SELECT y.entity_id, y.category, y.fact_id AS x, n.fact_id AS z, y.asserted_on < n.asserted_on AS older FROM f y JOIN f n ON y.entity_id = n.entity_id AND y.category = n.category AND y.asserted_on <> n.asserted_on AND y.neg <> n.neg AND y.fact_id < n.fact_id),
+o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY entity_id, category ORDER BY x, z) = 1)
+SELECT entity_id, category, CASE WHEN older THEN x ELSE z END AS earlier, CASE WHEN older THEN z ELSE x END AS later FROM o""")
 def contradictions(spark, d):
-    f = read(spark, d, "documents").filter("n_chars < 1500")
+    f = read(spark, d, "documents")
     return E.contradictions(f.select(F.col("source").alias("entity_id"), F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("category"), F.col("doc_id").alias("fact_id"), (2000 + F.col("doc_id") % 7).cast("int").alias("asserted_on"), F.col("text").alias("fact")))
 
 
@@ -268,7 +270,7 @@ def gap_phrases(spark, d):
 
 
 @query("cache_misses", """
-SELECT doc_id FROM documents WHERE sha256('v1' || chr(0) || coalesce(lang, '') || chr(0) || substr(text, 1, 50) || chr(0)) NOT IN (SELECT sha256('v1' || chr(0) || coalesce(lang, '') || chr(0) || substr(text, 1, 50) || chr(0)) FROM documents WHERE doc_id % 3 = 0)""")
+SELECT doc_id FROM documents WHERE sha256('v1' || chr(0) || coalesce(lang, '') || chr(0) || text || chr(0)) NOT IN (SELECT sha256('v1' || chr(0) || coalesce(lang, '') || chr(0) || text || chr(0)) FROM documents WHERE doc_id % 3 = 0)""")
 def cache_misses(spark, d):
-    jobs = read(spark, d, "documents").select("doc_id", E.fingerprint(F.lit("v1"), F.col("lang"), F.substring("text", 1, 50)).alias("fingerprint"))
+    jobs = read(spark, d, "documents").select("doc_id", E.fingerprint(F.lit("v1"), F.col("lang"), F.col("text")).alias("fingerprint"))
     return E.cache_misses(jobs, jobs.filter("doc_id % 3 = 0").select("fingerprint", F.lit("{}").alias("payload"))).select("doc_id")

@@ -142,7 +142,7 @@ def general_search(spark, d):
 @query("people_search", f"""
 WITH {PART_TERMS},
 x AS (SELECT DISTINCT l_suppkey AS person_id, p_name AS topic, CASE WHEN p_size >= 35 THEN 'strong' WHEN p_size >= 15 THEN 'moderate' ELSE 'mentioned' END AS strength
-      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+      FROM lineitem JOIN part ON l_partkey = p_partkey),
 e AS (SELECT person_id, topic, strength, qid, sum(n) AS m FROM x JOIN terms ON {first_word_sql('lower(topic)', 'term')} GROUP BY ALL),
 k AS (SELECT s_suppkey AS person_id, s_name AS known_for FROM supplier),
 km AS (SELECT qid, person_id, sum(n) AS m FROM k JOIN terms ON {first_word_sql('lower(known_for)', 'term')} GROUP BY ALL),
@@ -154,7 +154,7 @@ r AS (SELECT *, {RANK.format('matched DESC, coverage DESC, strength DESC, person
 SELECT qid, person_id, matched, coverage, strength, rank FROM r WHERE rank <= 4""")
 def people_search(spark, d):
     strength = F.when(F.col("p_size") >= 35, "strong").when(F.col("p_size") >= 15, "moderate").otherwise("mentioned")
-    lines = read(spark, d, "lineitem").filter("l_linenumber = 1").select("l_suppkey", "l_partkey")
+    lines = read(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     x = lines.join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("person_id"), F.col("p_name").alias("topic"), strength.alias("strength")).distinct()
     known = read(spark, d, "supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("known_for"))
     return R.search_people(x, known, part_terms(spark))
@@ -195,19 +195,25 @@ def vector_health(spark, d):
 
 
 @query("vector_floor_union", """
-WITH l AS (SELECT label AS qid, vec_id AS id, 10.0 - row_number() OVER (PARTITION BY label ORDER BY vec_id) AS score FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3),
-n AS (SELECT label AS qid, vec_id AS id, round(embedding[1]::DOUBLE, 6) AS similarity FROM embeddings),
+WITH q AS (SELECT vec_id AS qid, embedding AS query, label FROM embeddings WHERE vec_id % 50 = 0),
+l AS (SELECT qid, vec_id AS id, (100 - row_number() OVER (PARTITION BY qid ORDER BY vec_id))::DOUBLE AS score FROM q JOIN embeddings e ON e.label = q.label AND vec_id <> qid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY vec_id) <= 3),
+s AS (SELECT qid, vec_id AS id, round(list_sum(list_transform(list_zip(embedding, query), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))
+        / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(query, lambda x: x::DOUBLE * x)))), 6) AS similarity FROM embeddings JOIN q ON vec_id <> qid),
+n AS (SELECT * FROM s WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) <= 10),
 f AS (SELECT * FROM n WHERE NOT EXISTS (FROM l WHERE l.qid = n.qid AND l.id = n.id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) <= 2),
-u AS (SELECT qid, id, 0 AS tier, score::DOUBLE AS weight FROM l UNION ALL SELECT qid, id, 1, similarity FROM f)
+u AS (SELECT qid, id, 0 AS tier, score AS weight FROM l UNION ALL SELECT qid, id, 1, similarity FROM f)
 SELECT qid, id, tier, weight, row_number() OVER (PARTITION BY qid ORDER BY tier, weight DESC, id)::INT AS place FROM u""")
 def vector_floor_union(spark, d):
+    """Rows found by label first, then the nearest by cosine that aren't among them."""
     from pyspark.sql import Window
 
     e = read(spark, d, "embeddings")
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    lexical = e.select(F.col("label").alias("qid"), F.col("vec_id").alias("id"), n.alias("n")).filter("n <= 3").select("qid", "id", (10.0 - F.col("n")).alias("score"))
-    near = e.select(F.col("label").alias("qid"), F.col("vec_id").alias("id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("similarity"))
-    return V.with_semantic(lexical, near)
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"), "label")
+    same = e.select(F.col("vec_id").alias("id"), "label").join(q.select("qid", "label"), "label").filter("id <> qid")
+    n = F.row_number().over(Window.partitionBy("qid").orderBy("id"))
+    lexical = same.withColumn("n", n).filter("n <= 3").select("qid", "id", (100 - F.col("n")).cast("double").alias("score"))
+    near = V.nearest(e.select("vec_id", "embedding"), q.select("qid", "query"), 10, floor=0.2)
+    return V.with_semantic(lexical, near.select("qid", F.col("vec_id").alias("id"), "similarity"))
 
 
 @query("vector_percentiles", """
@@ -239,7 +245,6 @@ def recency_weights(spark, d):
 
 @query("passages")
 def passages(spark, d):
-    """The densest readable window of each found document."""
-    found = doc_search_topk(spark, d).join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    per = terms(spark).groupBy("qid").agg(F.sort_array(F.collect_list("term")).alias("terms"))
-    return found.join(F.broadcast(per), "qid").select("qid", "doc_id", R.passage(F.col("text"), F.col("terms")).alias("passage"))
+    """The densest readable window of each document found; documents without one are skipped before places are given."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return R.search_documents(docs, terms(spark), readable=True).select("qid", "doc_id", "rank", R.clean_lead(F.col("passage")).alias("passage"))

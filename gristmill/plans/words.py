@@ -93,25 +93,31 @@ def duplicate_names(spark, d):
 
 
 @query("components", """
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 100000 AS b FROM lineitem WHERE l_quantity > 49 AND l_linenumber <= 2),
+WITH RECURSIVE e AS (SELECT n_nationkey + 100 AS a, c_custkey + 1000 AS b FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_regionkey, n_nationkey + 100 FROM nation UNION ALL SELECT s_nationkey + 100, s_suppkey + 10000000 FROM supplier),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node WHERE r.root < s.b)
-SELECT node, min(root) AS root FROM r GROUP BY node""")
+r(node, root) AS (SELECT b, a FROM e WHERE a < 100 UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node WHERE s.b >= 100)
+SELECT node::BIGINT AS node, min(root)::BIGINT AS root FROM r GROUP BY node UNION ALL SELECT DISTINCT a, a FROM e WHERE a < 100""")
 def components(spark, d):
+    """Regions, nations, customers and suppliers, linked from each to the next."""
     from gristmill.functions.shared import shared_dir
 
-    e = read(spark, d, "lineitem").filter("l_quantity > 49 and l_linenumber <= 2").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b")).distinct()
+    nation, long = read(spark, d, "nation"), lambda c, n=0: (F.col(c) + n).cast("long")
+    e = read(spark, d, "customer").select(long("c_nationkey", 100).alias("a"), long("c_custkey", 1000).alias("b"))
+    e = e.unionByName(nation.select(long("n_regionkey").alias("a"), long("n_nationkey", 100).alias("b")))
+    e = e.unionByName(read(spark, d, "supplier").select(long("s_nationkey", 100).alias("a"), long("s_suppkey", 10000000).alias("b")))
     return P.connected(e, shared_dir(spark))
 
 
 @query("jaccard_pairs", r"""
-WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) >= 9)) AS ws FROM documents WHERE n_chars < 1200),
-x AS (SELECT doc_id, unnest(ws) AS term FROM w),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, round(common::DOUBLE / (len(wa.ws) + len(wb.ws) - common), 6) AS jaccard FROM c JOIN w wa ON wa.doc_id = a JOIN w wb ON wb.doc_id = b WHERE common::DOUBLE / (len(wa.ws) + len(wb.ws) - common) >= 0.5""")
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS ws FROM documents),
+t AS (SELECT ws, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(ws) AS ws FROM w) GROUP BY ws),
+x AS (SELECT rep, unnest(ws) AS term FROM t),
+c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common FROM x a JOIN x b ON a.term = b.term AND a.rep < b.rep GROUP BY ALL)
+SELECT a, b, round(common::DOUBLE / (len(wa.ws) + len(wb.ws) - common), 6) AS jaccard FROM c JOIN t wa ON wa.rep = a JOIN t wb ON wb.rep = b WHERE common::DOUBLE / (len(wa.ws) + len(wb.ws) - common) >= 0.8""")
 def jaccard_pairs(spark, d):
-    w = read(spark, d, "documents").filter("n_chars < 1200").select("doc_id", F.array_distinct(F.filter(T.words(F.col("text")), lambda x: F.length(x) >= 9)).alias("ws"))
-    return C.jaccard_pairs(w, "doc_id", "ws", 0.5)
+    """Pairs of different word sets of whole documents; equal sets stand once, under their smallest id."""
+    w = read(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(T.words(F.col("text")))).alias("ws"))
+    return C.jaccard_pairs(w.groupBy("ws").agg(F.min("doc_id").alias("doc_id")), "doc_id", "ws", 0.8)
 
 
 @query("ngram_copied", r"""
@@ -167,9 +173,12 @@ def sentence_counts(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"))
 
 
-@query("skeletons", r"SELECT p_partkey, regexp_replace(lower(p_name), '[aeiouy]', '', 'g') AS consonants, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM part")
+@query("skeletons", r"""
+WITH v AS (SELECT p_partkey, p_name, string_split(regexp_replace(lower(p_name), '[aeiouy]', '', 'g'), '') AS cs FROM part)
+SELECT p_partkey, array_to_string(list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN i > 1 AND cs[i] = cs[i - 1] THEN '' ELSE cs[i] END), '') AS consonants,
+  trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM v""")
 def skeletons(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.regexp_replace(F.lower("p_name"), "[aeiouy]", "").alias("consonants"), T.slug(F.col("p_name")).alias("slug"))
+    return read(spark, d, "part").select("p_partkey", T.skeleton(F.col("p_name")).alias("consonants"), T.slug(F.col("p_name")).alias("slug"))
 
 
 @query("term_counter", r"""

@@ -110,5 +110,17 @@ def head_counts(appearances: DataFrame) -> DataFrame:
 
 def replace_file(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """Writes rows partitioned by file; a file's partition is replaced, the others stay."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    rows.write.partitionBy("file").mode("overwrite").parquet(path)
+    rows.write.partitionBy("file").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def shift_rows(rows: DataFrame) -> DataFrame:
+    """(day, role, person) of an older sheet's rows: names in one cell part at commas; rows with neither day nor role go."""
+    kept = rows.filter((F.trim(F.coalesce("day", F.lit(""))) != "") | (F.trim(F.coalesce("role", F.lit(""))) != ""))
+    each = kept.select(F.trim("day").alias("day"), F.trim("role").alias("role"), F.explode(F.split("people", ",")).alias("person")).withColumn("person", F.trim("person"))
+    return each.filter((F.col("person") != "") & ~F.col("person").rlike(NOT_A_NAME))
+
+
+def write_summary(rows: DataFrame, path: str, kind: str = "json") -> None:
+    """Small results as JSON lines or CSV with a header."""
+    w = rows.coalesce(1).write.mode("overwrite")
+    w.json(path) if kind == "json" else w.option("header", True).csv(path)

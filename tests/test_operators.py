@@ -86,7 +86,7 @@ def test_duplicates_and_references(spark):
 
 def test_statuses_and_commitments(spark):
     s = lambda t: value(spark, P.status_of(L(t), "listed"))
-    assert [s(x) for x in ("Yesssss!", "not coming", "yes/hopefully", "", "Unlikely because")] == ["attending", "not", "maybe", "listed", "not"]
+    assert [s(x) for x in ("Yesssss!", "not attending", "no", "yes/hopefully", "", "Unlikely because", "50/50", "I said no", "100%")] == ["attending", "not", "not", "maybe", "listed", "maybe", "maybe", "listed", "attending"]
     c = lambda t: value(spark, P.confirms(L(t)))
     assert [c(x) for x in ("420", "0", "NO DUES", "Refunded", "paid", "✓", "")] == [True, False, False, False, True, True, False]
     n = value(spark, P.split_name(L("~ Jen 'Comet' Calder Ray")))
@@ -112,6 +112,9 @@ def test_redaction_both_ways(spark):
     for k, t in enumerate(SURVIVE, len(VANISH)):
         assert got[k] == t
     assert got[len(VANISH) + len(SURVIVE)] is None
+    long = spark.createDataFrame([(1, "x " * 60 + "Ana Stone's cell number is +1 415 555 0199 " + "y " * 60 + "call the yard on 775-555-0100 Billing address 12 Main Street " + "z " * 300 + "14 Main Street")], "id int, text string")
+    t = X.redact(long, "text", ["Ana Stone"]).first().text
+    assert "+1 415" not in t and "775-555-0100" in t and "12 Main" not in t and "14 Main Street" in t
 
 
 def test_gate_and_leaks(spark):
@@ -135,10 +138,29 @@ def test_evidence(spark):
     assert {r.claim_id: r.reason for r in E.check_citations(cited, shown, docs.toDF("source_id", "text")).collect()} == {1: None, 2: "quote not in source", 3: "id not shown"}
 
 
-def test_contradictions_keep_both_sides(spark):
+def test_first_contradiction(spark):
+    import random
+
     f = [(1, 1, "a", "2023-01-01", "There is water"), (1, 2, "a", "2024-01-01", "There is no water"), (1, 3, "b", "2024-01-01", "never"), (2, 4, "a", "2024-01-01", "not here"), (1, 5, None, "2020-01-01", "not")]
+    rng = random.Random(2)
+    f += [(k, 10 + n, "c", f"2024-01-0{rng.randint(1, 3)}", rng.choice(("no water", "water"))) for n, k in enumerate(rng.choices(range(3, 30), k=200))]
     df = spark.createDataFrame(f, "entity_id int, fact_id int, category string, asserted_on string, fact string")
-    assert [(r.earlier, r.later) for r in E.contradictions(df).collect()] == [(1, 2)]
+    want = {}
+    for a in sorted(f, key=lambda x: x[1]):
+        for b in sorted(f, key=lambda x: x[1]):
+            if a[1] < b[1] and a[2] and a[0] == b[0] and a[2] == b[2] and a[3] != b[3] and ("no" in a[4]) != ("no" in b[4]):
+                want.setdefault((a[0], a[2]), (a[1], b[1]) if a[3] < b[3] else (b[1], a[1]))
+    assert {(r.entity_id, r.category): (r.earlier, r.later) for r in E.contradictions(df).collect()} == want
+
+
+def test_numbers_have_no_gap(spark):
+    rows = spark.range(300_000).select((F.col("id") % 1000).alias("k"), "id", F.rand(3).alias("x"))
+    for on in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", on)
+        got = G.assign_sequence(rows, 500, "x", "id")
+        r = got.agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.countDistinct("seq").alias("n"), F.count("*").alias("m")).first()
+        assert (r.a, r.b, r.n, r.m) == (501, 300_500, 300_000, 300_000)
+    spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def test_budget_stops_at_the_first_overflow(spark):
@@ -172,10 +194,15 @@ def test_gap_rollup_and_review(spark):
 
 def test_passages(spark):
     body = "Intro words. " * 40 + "The pump is by the tank. Prime the pump before use. " + "After words here. " * 40
-    p = value(spark, R.passage(L(body), F.array(L("pump"), L("prime"))))
-    assert "Prime the pump" in p and p.endswith(" …") and len(p) < 460
-    assert value(spark, R.passage(L("nothing of the kind"), F.array(L("pump")))) is None
-    assert value(spark, R.passage(L("the pump"), F.array(L("pump")))) == "the pump"
+    many = "pump here " * 3000 + "x " * 400 + "pump pump pump prime"  # beyond any fixed number of places
+    found = spark.createDataFrame([(1, 1, body), (1, 2, "nothing of the kind"), (1, 3, "the pump"), (1, 4, "{}[]" * 30 + " pump"), (1, 5, many)], "qid int, doc_id int, text string")
+    terms = spark.createDataFrame([(1, "pump", 1), (1, "prime", 1)], "qid int, term string, n long")
+    got = {r.doc_id: r.passage for r in R.passages(found, terms).collect()}
+    assert set(got) == {1, 3, 5} and got[3] == "the pump"
+    assert "Prime the pump" in got[1] and got[1].endswith(" …") and len(got[1]) < 460
+    docs = spark.createDataFrame([(k, "pump " * n + tail) for k, (n, tail) in enumerate(((30, "{}[] " * 200), (20, "is here now"), (15, "is there too")))], "doc_id int, text string")
+    assert sorted(r.doc_id for r in R.search_documents(docs, terms, k=2).collect()) == [0, 1]
+    assert [(r.doc_id, r["rank"]) for r in R.search_documents(docs, terms, k=2, readable=True).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
 def test_search_borrows_and_widens(spark):
