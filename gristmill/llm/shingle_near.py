@@ -10,9 +10,9 @@ finds what they can't, and no pair is missed. Every link is confirmed by the who
 2. ``prefixes``: a set's shingles in the order of (bucket's count, hash); any two sets that link share one of the first
    n - ceil(4/5 n) + 1. Shingles in many documents come last, so they nominate next to nothing. ``SKETCH`` * 64 parity bits
    of the whole set go along: two sets differ in as many shingles at least as their sketches differ in bits.
-3. The index's pairs are confirmed first. Then, per shared shingle, the set with the fewest rarer shingles is compared with
-   all others outside its component; then each set with all sets of other components. What a pair's places, sizes and
-   sketches rule out leaves no row.
+3. The index's pairs are confirmed, and per shared shingle those of the set with the fewest rarer shingles with all others;
+   what is linked so is one component. Then each set is compared with all sets of other components. What a pair's places,
+   sizes and sketches rule out leaves no row.
 4. ``confirmed``: whole sets, computed anew and written for the sets that are in pairs.
 
 Defined results: null or empty text, or one without words, is the empty set, and empty sets are equal; fewer words than
@@ -183,7 +183,9 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     sets = materialise(map_texts(docs.select("text"), "node long, s array<long>", start).filter("s is not null").join(ends, "node", "left_semi"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return materialise(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    found = materialise(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    shared.destroy()
+    return found
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -198,7 +200,7 @@ def index_pairs(fps: DataFrame) -> DataFrame:
     linked = near.join(stands, near["a"] == stands["sim"]).select(stands["a"].alias("x"), near["b"].alias("sim")).join(stands, "sim").select("x", F.col("a").alias("y"))
     equal = own.join(stands, "sim").select(F.col("a").alias("x"), F.col("fp").alias("y"))
     both = equal.unionByName(linked).filter("x <> y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def links(docs: DataFrame, fps: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -214,13 +216,11 @@ def links(docs: DataFrame, fps: DataFrame, counts: np.ndarray) -> DataFrame:
         several = each.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
         return materialise(each.join(several, "h"))
 
-    apart = (F.col("x.root") != F.col("y.root")) & _can_link("x", "y")
-    edges = confirmed(docs, index_pairs(fps))
-    now = named(components(edges))
-    centre = now.groupBy("h").agg(F.min(F.struct("at", "node", "n", "root")).alias("c")).select("h", "c.*")
-    star = now.alias("x").join(centre.alias("y"), "h").filter(apart).select(*_pair("x", "y")).distinct()
-    edges = edges.unionByName(confirmed(docs, star))
+    centre = rows.groupBy("h").agg(F.min(F.struct("at", "node", "n")).alias("c")).select("h", "c.*")
+    star = rows.alias("x").join(centre.alias("y"), "h").filter((F.col("x.node") != F.col("y.node")) & _can_link("x", "y")).select(*_pair("x", "y"))
+    edges = confirmed(docs, star.unionByName(index_pairs(fps)).distinct())
     now = named(components(edges)).join(first.select("node", *_SKETCHES), "node")
+    apart = (F.col("x.root") != F.col("y.root")) & _can_link("x", "y")
     left = now.alias("x").join(now.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & apart & _close("x", "y"))
     left = left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return components(edges.unionByName(confirmed(docs, left)))
