@@ -167,11 +167,11 @@ def token_table(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -
             upto += int(n.sum())
             return {"part": [part] * len(got), "start": before, "n": n, "ids": got}
 
-        def end():
+        def done():
             ids._reset()  # the tokenizer stays, the words go with the task
             return ()
 
-        return of, end
+        return of, done
 
     return materialise(map_texts(docs.select("doc_id", "text"), "part int, start long, n long, ids binary", start))
 
