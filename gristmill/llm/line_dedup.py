@@ -5,17 +5,20 @@ Keys of ``min_chars`` code points or more that are found in ``min_docs``
 documents or more lose all their lines, except in the largest doc_id that
 holds them. Everything is DataFrame expressions.
 
-1. Each text becomes the array of its distinct 128-bit key hashes; exploded,
-   they are summed per (hash, salt) with map-side combine, so that a line
+1. Texts are split and hashed once: each line whose key counts becomes a row of
+   hashes, document and position in a table in the shared folder; the first line
+   of a key in its document is marked.
+2. Marked rows are summed per (hash, salt) with map-side combine, so that a line
    found in a third of all documents reaches the range exchange as ``SALTS``
-   rows at most.
-2. Those partial sums are range-partitioned by hash, with a secondary sort by
-   document, largest first: the first row of a hash, in stream order, is the
-   occurrence that stays; a running sum over the same order gives the count of
-   documents. One row per repeated hash is left.
-3. Line occurrences (document, position, hash) join those rows; a position is
-   dropped where its document isn't the one that stays. Per document the
-   dropped positions become a sparse bitmap: 64-bit words, the zero ones left out.
+   rows at most. Those partial sums are range-partitioned by hash, with a
+   secondary sort by document, largest first, and position: the first row of a
+   hash, in stream order, is the occurrence that stays; a running sum over the
+   same order gives the count of documents. One row per repeated hash is left.
+3. Line rows meet those keys; a line goes where its document isn't the one that
+   stays. Keys that hold more than one in ``SHARE`` of all line rows, ``SHARE``
+   keys at most, are broadcast, so that no task gets all rows of a frequent line;
+   the others meet by hash. Per document the positions become a sparse bitmap:
+   64-bit words, the zero ones left out.
 4. ``apply_bitmaps`` cuts texts by their bitmaps.
 
 Defined results: a null or empty text is one empty line and keeps it; a line
@@ -31,52 +34,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import SPACE, ascii_lower
+from gristmill.functions.text import let
+from gristmill.llm.common import SPACE, ascii_lower, materialise
 
 SALTS = 64
+SHARE = 1000
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _key_hash(line: Column, min_chars: int) -> Column:
-    """128 bits of the key; null where the key is too short to count."""
-    key = ascii_lower(F.trim(line, F.lit(SPACE)))
-    return F.when(
-        F.length(F.trim(line, F.lit(SPACE))) >= min_chars,
-        F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")),
-    )
+def line_rows(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+    """(doc_id, text_key, h1, h2, at, marked): one row per line whose key counts, with 128 bits of the key; the first of a key in its text is marked."""
 
+    def hashed(line: Column, at: Column) -> Column:
+        bare = F.trim(line, F.lit(SPACE))
+        key = ascii_lower(bare)
+        return F.when(F.length(bare) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), at.alias("at")))
 
-def repeated_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """(h1, h2, stays): one row per key found in ``min_docs`` documents, with the largest doc_id that holds it."""
-    hashes = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), lambda x: _key_hash(x, min_chars)), lambda h: h.isNotNull()))
-    sums = (
-        docs.select("doc_id", F.explode(hashes).alias("h"))
-        .groupBy("h.h1", "h.h2", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
-        .agg(F.max("doc_id").alias("doc"), F.count("*").alias("n"))
-    )
+    def mark(rows: Column) -> Column:
+        before = lambda k: F.get(rows, k - 1)  # noqa: E731  null for the first
+        new = lambda x, k: ~(x["h1"].eqNullSafe(before(k)["h1"]) & x["h2"].eqNullSafe(before(k)["h2"]))
+        return F.transform(rows, lambda x, k: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["at"].alias("at"), new(x, k).alias("marked")))
+
+    found = F.filter(F.transform(_lines(F.col("text")), hashed), lambda h: h.isNotNull())
+    per = docs.select("doc_id", F.xxhash64("text").alias("text_key"), let(F.sort_array(found), mark).alias("lines"))  # before the explode: the text isn't hashed per line
+    return per.select("doc_id", "text_key", F.explode("lines").alias("l")).select("doc_id", "text_key", "l.*")
+
+
+def repeated_keys(rows: DataFrame, min_docs: int = 3) -> DataFrame:
+    """(h1, h2, stays, docs): one row per key found in ``min_docs`` documents, with the largest doc_id that holds it."""
+    place = F.struct("doc_id", (-F.col("at")).alias("back"))
+    sums = rows.filter("marked").groupBy("h1", "h2", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.max(place).alias("first"), F.count("*").alias("n"))
     ranged = sums.repartitionByRange(F.col("h1"), F.col("h2"))
-    stream = Window.partitionBy("h1", "h2").orderBy(F.desc("doc"), "salt")
+    stream = Window.partitionBy("h1", "h2").orderBy(F.desc("first"), "salt")
     whole = stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        ranged.select("h1", "h2", F.col("doc").alias("stays"), F.row_number().over(stream).alias("nth"), F.sum("n").over(whole).alias("docs"))
+        ranged.select("h1", "h2", F.col("first.doc_id").alias("stays"), F.row_number().over(stream).alias("nth"), F.sum("n").over(whole).alias("docs"))
         .filter((F.col("nth") == 1) & (F.col("docs") >= min_docs))
-        .drop("nth", "docs")
+        .drop("nth")
     )
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """(doc_id, text_key, bitmap): for each document that loses lines, a bit per lost line in sparse 64-bit words."""
-    keys = repeated_keys(docs, min_docs, min_chars)
-    hashes = F.transform(_lines(F.col("text")), lambda x: _key_hash(x, min_chars))
-    occurrences = (
-        docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(hashes).alias("at", "h"))
-        .filter(F.col("h").isNotNull())
-        .select("doc_id", "text_key", "at", "h.h1", "h.h2")
-    )
-    lost = occurrences.join(keys, ["h1", "h2"]).filter(F.col("doc_id") < F.col("stays"))
+    rows = materialise(line_rows(docs, min_chars))
+    keys = materialise(repeated_keys(rows, min_docs))
+    often = F.col("docs") * SHARE > rows.count()
+    hot, rest = F.broadcast(keys.filter(often).drop("docs")), keys.filter(~often).drop("docs")  # docs add up to all rows at most
+    at = rows.drop("marked")
+    met = at.join(hot, ["h1", "h2"]).unionByName(at.join(hot, ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"]))
+    lost = met.filter(F.col("doc_id") < F.col("stays"))
     words = (
         lost.groupBy("doc_id", "text_key", (F.col("at") / 64).cast("int").alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % 64)).alias("bits"))

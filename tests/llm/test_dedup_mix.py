@@ -1,6 +1,7 @@
 """Line dedup, SimHash near-dedup and mixing against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -41,6 +42,21 @@ def test_line_dedup_hot_line(spark):
     assert got == brute_lines(docs)
 
 
+def test_line_dedup_long_texts(spark):
+    own = "\n".join(f"one of many lines number {k}" for k in range(60000))
+    docs = [(1, own + "\nq" * 3), (2, "\n".join(["a line that one text repeats"] * 5000)), (3, own), (4, own), (5, "a line that one text repeats")]
+    began = time.time()
+    got = {r.doc_id: r.text for r in L.dedup_lines(frame(spark, docs)).collect()}
+    assert time.time() - began < 60  # texts are hashed once, not once per line
+    assert got == brute_lines(docs)
+
+
+def test_line_rows_mark_a_key_once(spark):
+    text = "the first line of the text\nshort\nThe First Line of the text \nanother line of the text"
+    rows = sorted((r.at, r.marked) for r in L.line_rows(frame(spark, [(1, text)])).collect())
+    assert rows == [(0, True), (2, False), (3, True)]
+
+
 @pytest.mark.parametrize("group", [512, 3])
 def test_links_find_every_component(spark, group):
     rng = random.Random(2)
