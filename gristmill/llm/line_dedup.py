@@ -49,9 +49,8 @@ def line_rows(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """(doc_id, text_key, h1, h2, at, marked): one row per line whose key counts, with 128 bits of the key; the first of a key in its text is marked."""
 
     def hashed(line: Column, at: Column) -> Column:
-        bare = F.trim(line, F.lit(SPACE))
-        key = ascii_lower(bare)
-        return F.when(F.length(bare) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), at.alias("at")))
+        row = lambda key: F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), at.alias("at"))
+        return let(F.trim(line, F.lit(SPACE)), lambda bare: F.when(F.length(bare) >= min_chars, let(ascii_lower(bare), row)))
 
     def mark(rows: Column) -> Column:
         before = lambda k: F.get(rows, k - 1)  # noqa: E731  null for the first
