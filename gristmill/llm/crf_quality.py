@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import map_texts
+from gristmill.llm.common import map_texts, release
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 3
@@ -216,7 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Crf:
     rows = map_texts(docs.select("doc_id", "text").join(some, "doc_id").select("text", F.col("quality").cast("int").alias("quality")), "features array<float>, sizes array<long>", start)
     found = [(np.asarray(r.features, np.float64).reshape(-1, len(FEATURES)), np.asarray(r.sizes), int(r.quality)) for r in rows.toPandas().itertuples()]
     found.sort(key=lambda d: (d[2], len(d[0]), d[0].sum()))  # an order that doesn't depend on the layout
-    return fit(found)
+    crf = fit(found)
+    del rows, found
+    release()
+    return crf
 
 
 JUDGED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean"

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import simhash_gray
-from gristmill.llm.common import chosen_rows, map_texts, materialise, rows_with_ids
+from gristmill.llm.common import chosen_rows, map_texts, materialise, release, rows_with_ids
 from gristmill.llm.simhash_gray import MAX_DIFF, SEED, components, keep_one, name_components
 from gristmill.llm.wordhash import hashes, split
 
@@ -115,6 +115,7 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     counts = np.zeros(BUCKETS, np.int64)
     for r in parts.repartition(4).mapInPandas(add, "counts binary").collect():  # 4 arrays of BUCKETS counts at most
         counts += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    release()
     return found.filter("counts is null").drop("counts"), np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
@@ -185,6 +186,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     found = materialise(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
     shared.destroy()
+    release()
     return found
 
 
