@@ -5,6 +5,7 @@ from __future__ import annotations
 from gristmill.llm.attention_lm import op4_attention_lm
 from gristmill.llm.centroids import OP11_SQL, op11_centroids
 from gristmill.llm.crf_quality import op8_crf_quality
+from gristmill.llm.funnels import OP12_SQL, op12_funnels
 from gristmill.llm.gif_media import op1_gif_media
 from gristmill.llm.lang_mixture import op9_lang_mixture
 from gristmill.llm.line_dedup import OP6_SQL, op6_line_dedup
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_lang_mixture": op9_lang_mixture,
     "op10_pareto_mix": op10_pareto_mix,
     "op11_centroids": op11_centroids,
+    "op12_funnels": op12_funnels,
 }
 
 ORACLE_SQL = {
     "op6_line_dedup": OP6_SQL,
     "op10_pareto_mix": OP10_SQL,
     "op11_centroids": OP11_SQL,
+    "op12_funnels": OP12_SQL,
 }
