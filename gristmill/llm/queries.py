@@ -10,6 +10,7 @@ from gristmill.llm.gif_media import op1_gif_media
 from gristmill.llm.lang_mixture import op9_lang_mixture
 from gristmill.llm.line_dedup import OP6_SQL, op6_line_dedup
 from gristmill.llm.packing import op7_packing
+from gristmill.llm.parity_join import op13_parity_join
 from gristmill.llm.pareto_mix import OP10_SQL, op10_pareto_mix
 from gristmill.llm.secret_markov import op3_secret_markov
 from gristmill.llm.simhash_gray import op2_simhash_gray
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_pareto_mix": op10_pareto_mix,
     "op11_centroids": op11_centroids,
     "op12_funnels": op12_funnels,
+    "op13_parity_join": op13_parity_join,
 }
 
 ORACLE_SQL = {

@@ -44,16 +44,16 @@ U = np.uint64
 _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The sorted 64-bit hashes of each text's different shingles."""
-    begin = size = 0
+def shingle_sets(texts: list[str | None], size: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted 64-bit hashes of each text's different shingles of ``size`` words."""
+    begin = held = 0
     for k, t in enumerate(texts):
-        size += len(t or "")
-        if size > BYTES or k + 1 == len(texts):
+        held += len(t or "")
+        if held > BYTES or k + 1 == len(texts):
             buffer, start, end, per_text = split([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts[begin : k + 1]])
             words = hashes(buffer, start, end)
             for w in np.split(words, np.cumsum(per_text)[:-1]):
-                n = min(WORDS, len(w))
+                n = min(size, len(w))
                 h = np.full(len(w) - n + 1 if n else 0, n, np.uint64)
                 for i in range(n):
                     h = (h ^ w[i : len(w) - n + 1 + i]) * _M1
@@ -61,10 +61,10 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
                     h *= _M2
                     h ^= h >> U(32)
                 yield np.unique(h)
-            begin, size = k + 1, 0
+            begin, held = k + 1, 0
 
 
-def _node(s: np.ndarray) -> int:
+def node_name(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
 
 
@@ -92,7 +92,7 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             fp, sim = [], []
             for s in shingle_sets(texts):
                 np.add.at(counts, s >> U(44), 1)
-                fp.append(_node(s))
+                fp.append(node_name(s))
                 sim.append(simhash(s))
             return {"fp": fp, "sim": sim, "counts": [None] * len(fp)}
 
@@ -133,7 +133,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             node, size, first, bits = [], [], [], []
             for s in shingle_sets(texts):
                 n = len(s)
-                node.append(_node(s))
+                node.append(node_name(s))
                 size.append(n)
                 first.append(s[np.argsort(counts[s >> U(44)], kind="stable")[: n - (4 * n + 4) // 5 + 1]].view(np.int64) if n else [])
                 bits.append(sketch(s))
@@ -156,8 +156,9 @@ def _close(a: str, b: str) -> Column:
     return 9 * apart <= F.col(f"{a}.n") + F.col(f"{b}.n")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets have a Jaccard similarity of 4/5 or more, written once.
+def confirmed(docs: DataFrame, pairs: DataFrame, size: int = WORDS, share: tuple[int, int] = (4, 9)) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets of ``size``-word shingles have ``share`` of their sizes' sum in common, written once.
+    4/9 of it is a Jaccard similarity of 4/5.
 
     Sets are computed anew for the nodes in pairs: a bitmap of 2 ** 24 bits keeps most others out, the join does the rest.
     """
@@ -174,8 +175,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
         def of(texts: list[str | None], _):
             node, sets = [], []
-            for s in shingle_sets(texts):
-                k = _node(s)
+            for s in shingle_sets(texts, size):
+                k = node_name(s)
                 node.append(k)
                 sets.append(s.view(np.int64) if int(bitmap[(k >> 46) & 0x3FFFF]) >> ((k >> 40) & 63) & 1 else None)
             return {"node": node, "s": sets}
@@ -184,7 +185,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     sets = materialise(map_texts(docs.select("text"), "node long, s array<long>", start).filter("s is not null").join(ends, "node", "left_semi"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    found = materialise(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    found = materialise(both.filter(share[1] * F.size(F.array_intersect("sa", "sb")) >= share[0] * (F.size("sa") + F.size("sb"))).select("a", "b"))
     shared.destroy()
     release()
     return found
