@@ -14,8 +14,9 @@ excluded row lies after the previous step and not after the next.
    first client, for each funnel and step, where one that comes in looking for that step gets to (nine short lists), and
    ``_landings`` chains those lists backwards over the chunks that begin within ``STEPS - 1`` gaps of an end. Only these lists
    meet, grouped by client and hour: about one per ``CHUNK`` rows.
-4. ``_resolve`` adds what was still open. Such clients' times are counted by value, then by their upper bits, and the
-   percentile is looked for in one bin of 2^16 values at most; no group holds more rows than there are bins.
+4. ``_resolve`` adds what was still open and counts each chunk's times by their upper bits (``numpy.unique``). The bins of all
+   chunks of a client add up, the percentile's bin is opened by the next bits and then by the last; no group holds more rows than
+   there are bins, 2^``BITS``.
 
 Defined results: a row with a null client, kind or time doesn't count, and neither do repeats; rows of one time are not later
 than each other; a funnel and client without a first step has no row; a step that no attempt reaches has a null percentile; an
@@ -25,6 +26,7 @@ empty table gives an empty result; other columns of the table are not looked at.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +43,7 @@ STEPS = 4
 GAP = 60 * 60 * 1_000_000
 SHARE = 90
 CHUNK = 1 << 17
-LOW = 16
+BITS = 11
 
 _INSIDE, _BORDER, _ENTRY, _ASKS = range(4)
 _NONE = np.iinfo(np.int64).max
@@ -49,6 +51,7 @@ _TIMES = [f"d{s}" for s in range(2, STEPS + 1)]
 _OPEN = [f"p{s}" for s in range(2, STEPS + 1)]
 _N = [f"n{s}" for s in range(1, STEPS + 1)]
 _T = [f"t{s}" for s in range(2, STEPS + 1)]
+_BINS = [f"{c}{s}" for s in range(2, STEPS + 1) for c in "bc"]
 
 Funnels = dict[str, tuple[tuple[str, ...], str]]
 
@@ -196,26 +199,37 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
             for j, d in enumerate([first, *[np.full(len(first), b - a) for a, b in zip(lands[:-1], lands[1:], strict=True)]]):
                 n[k + 1 + j] += len(first)
                 times[k + j].append(d)
-        out.append((row["client"], row["funnel"], *n, *[np.concatenate([np.asarray(x, np.int64) for x in d]) for d in times]))
-    return pd.DataFrame(out, columns=["client", "funnel", *_N, *_TIMES])
+        whole = [np.concatenate([np.asarray(x, np.int64) for x in d]) for d in times]
+        bins = [np.unique(d >> 2 * BITS, return_counts=True) for d in whole]
+        out.append((row["client"], row["chunk"], row["funnel"], *n, *whole, *[x for pair in bins for x in pair]))
+    return pd.DataFrame(out, columns=["client", "chunk", "funnel", *_N, *_TIMES, *_BINS])
 
 
 def percentiles(resolved: DataFrame, totals: DataFrame) -> DataFrame:
-    """(client, funnel, t2, t3, t4): the rank_of(n)-th smallest of each step's times, by counts of their upper bits and then the lower."""
-    step = F.explode(F.array(*[F.struct(F.lit(s + 2).alias("step"), F.col(c).alias("d")) for s, c in enumerate(_TIMES)])).alias("x")
-    times = resolved.select("client", "funnel", step).select("client", "funnel", "x.step", F.explode("x.d").alias("d"))
-    counted = materialise(times.groupBy("client", "funnel", "step", "d").agg(F.count("*").alias("n")).withColumn("bin", F.shiftright("d", LOW)))
+    """(client, funnel, t2, t3, t4): the rank_of(n)-th smallest of each step's times, by counts of their upper bits, then of the next and the last."""
     key = ["client", "funnel", "step"]
 
-    def holding(rows: DataFrame, by: str) -> DataFrame:
-        """Of each key's rows (by, n, place) the first whose running sum of n reaches place, and the place within it."""
-        upto = F.sum("n").over(Window.partitionBy(*key).orderBy(by))
-        return rows.withColumn("upto", upto).filter((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place"))).select(*key, by, (F.col("place") - F.col("upto") + F.col("n")).alias("place"))
+    def by_step(*columns: Callable[[int], Column]) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(s + 2).alias("step"), *[c(s + 2) for c in columns]) for s in range(STEPS - 1)])).alias("x")
 
-    wanted = totals.select("client", "funnel", F.explode(F.array(*[F.struct(F.lit(s + 2).alias("step"), rank_of(F.col(f"n{s + 2}")).alias("place")) for s in range(STEPS - 1)])).alias("x")).select("client", "funnel", "x.*")
-    bins = holding(counted.groupBy(*key, "bin").agg(F.sum("n").alias("n")).join(wanted, key), "bin")
-    found = holding(counted.join(bins, [*key, "bin"]), "d")
-    return found.groupBy("client", "funnel").agg(*[F.max(F.when(F.col("step") == s, F.col("d"))).alias(f"t{s}") for s in range(2, STEPS + 1)])
+    def holding(rows: DataFrame) -> DataFrame:
+        """Of each key's rows (bin, n, place) the first whose running sum of n reaches place, and the place within it."""
+        rows = rows.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("bin")))
+        return rows.filter((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place"))).select(*key, "bin", (F.col("place") - F.col("upto") + F.col("n")).alias("place"))
+
+    place = totals.select("client", "funnel", by_step(lambda s: rank_of(F.col(f"n{s}")).alias("place"))).select("client", "funnel", "x.*")
+    bins = resolved.select("client", "funnel", by_step(lambda s: F.arrays_zip(F.col(f"b{s}").alias("bin"), F.col(f"c{s}").alias("n")).alias("of"))).select("client", "funnel", "x.step", F.inline("x.of"))
+    chosen = materialise(holding(bins.groupBy(*key, "bin").agg(F.sum("n").alias("n")).join(place, key)))
+
+    wide = chosen.groupBy("client", "funnel").agg(*[F.max(F.when(F.col("step") == s, F.col("bin"))).alias(f"o{s}") for s in range(2, STEPS + 1)])
+    where = resolved.select("client", "chunk", "funnel").join(wide, ["client", "funnel"])  # short rows; the times meet them by chunk
+    inside = lambda s: F.filter(f"d{s}", lambda d: F.shiftright(d, 2 * BITS) == F.col(f"o{s}")).alias("d")
+    times = resolved.join(where, ["client", "chunk", "funnel"]).select("client", "funnel", by_step(inside)).select("client", "funnel", "x.step", F.explode("x.d").alias("d"))
+    counted = materialise(times.groupBy(*key, "d").agg(F.count("*").alias("n")))
+    middle = counted.groupBy(*key, F.shiftright("d", BITS).alias("bin")).agg(F.sum("n").alias("n"))
+    middle = holding(middle.join(chosen.drop("bin"), key))
+    last = counted.withColumn("high", F.shiftright("d", BITS)).join(middle.withColumnRenamed("bin", "high"), [*key, "high"]).withColumnRenamed("d", "bin")
+    return holding(last).groupBy("client", "funnel").agg(*[F.max(F.when(F.col("step") == s, F.col("bin"))).alias(f"t{s}") for s in range(2, STEPS + 1)])
 
 
 def funnel_counts(rows: DataFrame, funnels: Funnels | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -233,7 +247,7 @@ def funnel_counts(rows: DataFrame, funnels: Funnels | None = None, chunk: int =
     tells = chunks.filter(F.col("role").isin(_ENTRY, _ASKS)).select("client", F.explode("hours").alias("hour"), "role", "chunk", "entry")
     lands = tells.groupBy("client", "hour").applyInPandas(_landings, f"client {kind_of}, chunk int, lands array<array<long>>")
     borders = chunks.filter(F.col("role") == _BORDER).select("client", "chunk", "funnel", *_N, *_TIMES, *_OPEN)
-    resolved = borders.join(lands, ["client", "chunk"], "left").groupBy("client", "chunk").applyInPandas(_resolve, f"client {kind_of}, funnel int, {longs(_N)}, {longs(_TIMES, 'array<long>')}")
+    resolved = borders.join(lands, ["client", "chunk"], "left").groupBy("client", "chunk").applyInPandas(_resolve, f"client {kind_of}, chunk int, funnel int, {longs(_N)}, {longs([*_TIMES, *_BINS], 'array<long>')}")
     resolved = materialise(resolved)
     totals = resolved.groupBy("client", "funnel").agg(*[F.sum(c).alias(c) for c in _N])
     split = totals.join(percentiles(resolved, totals), ["client", "funnel"], "left")
