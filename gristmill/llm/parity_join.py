@@ -9,8 +9,9 @@ words). With sizes a and b that allows a symmetric difference of (a + b) * (DEN
    into one of d + 1 symbols, where d is the largest difference that links in the sets' size band; so of two sets that link at
    least one symbol agrees, and the symbols are the keys of an equi-join (pigeonhole). Bands grow by a quarter; a set that a larger
    one could link with from the next band joins that band, too.
-3. ``links``: of each shared symbol the smallest node meets all others; what sizes and parity bits don't rule out is verified by
-   whole sets, and what links is one component. Then only pairs of different components meet. Symbols that would still give over
+3. ``links``: of each shared symbol one node meets all others; what sizes and parity bits don't rule out is verified by whole sets,
+   written once, and what links is one component. That repeats with nodes of more orders for the symbols that several components share, until
+   their pairs are as few as the rows. Then all pairs of different components meet. Symbols that would still give over
    ``CROSS`` such pairs - few shingles, or ones that a passage in many documents brings along - are joined with a second,
    independent deal of the shingles: a pair that links agrees on a symbol of that as well.
 4. Components are named by their smallest doc_id.
@@ -29,13 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import chosen_rows, map_texts, materialise, rows_with_ids
-from gristmill.llm.shingle_near import SKETCH, confirmed, node_name, shingle_sets, sketch
+from gristmill.llm.shingle_near import SKETCH, node_name, overlapping, sets_of, shingle_sets, sketch
 from gristmill.llm.simhash_gray import components, name_components
 
 WORDS = 3
 NUM, DEN = 9, 10
 BITS = SKETCH * 64
 CROSS = 1 << 17
+ORDERS = 4
 U = np.uint64
 _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _SKETCHES = [f"k{i}" for i in range(SKETCH)]
@@ -123,6 +125,24 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(f"{a}.node", f"{b}.node").alias("a"), F.greatest(f"{a}.node", f"{b}.node").alias("b")]
 
 
+def _open(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
+    """``rows`` with their components, and pairs, of the keys that several components share; the number of pairs of different components."""
+    each = materialise(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    by_root = each.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
+    pairs = materialise(by_root.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0"))
+    return each.join(pairs, "key"), pairs.agg(F.sum("pairs")).first()[0] or 0.0
+
+
+def _star(rows: DataFrame, orders: int) -> DataFrame:
+    """(a, b): of each key one node with all others of other components that it may link with. Keys take their node by one of ``orders``
+    random orders, so a cluster whose members don't all link with each other is met from several of them."""
+    way = F.pmod(F.xxhash64("key", F.lit(orders)), F.lit(orders))
+    first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", way), "node", "root", "n", *_SKETCHES)).alias("c"))
+    centre = first.select("key", *[F.col(f"c.{x}").alias(x) for x in ("node", "root", "n", *_SKETCHES)])
+    other = rows.alias("x").join(centre.alias("y"), "key").filter((F.col("x.root") != F.col("y.root")) & _may_link("x", "y"))
+    return other.select(*_pair("x", "y")).distinct()
+
+
 def links(texts: DataFrame, cross: int = CROSS) -> DataFrame:
     """(node, root) of every linked node. texts: one text of each node."""
     first = materialise(sketches(texts))
@@ -130,21 +150,27 @@ def links(texts: DataFrame, cross: int = CROSS) -> DataFrame:
     rows = first.select("node", F.posexplode("keys").alias("slot", "own")).select("node", "slot", F.explode("own").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     rows = materialise(rows.join(shared, "key").join(about, "node"))
+    whole = sets_of(texts, rows.select("node").distinct(), WORDS)
+    share, n = (NUM, DEN + NUM), rows.count()
+
+    each, edges, roots, orders = rows.withColumn("root", F.col("node")), None, None, ORDERS
+    while True:
+        found = overlapping(_star(each, orders), whole, share)
+        fresh = not found.isEmpty()
+        edges = found if edges is None else edges.unionByName(found)
+        roots = components(edges) if fresh or roots is None else roots
+        each, pairs = _open(rows, roots)
+        if pairs <= n or not fresh or orders >= ORDERS**4:
+            break
+        orders *= ORDERS
 
-    centre = rows.groupBy("key").agg(F.min(F.struct("node", "n", *_SKETCHES)).alias("c")).select("key", "c.*")
-    star = rows.alias("x").join(centre.alias("y"), "key").filter((F.col("x.node") != F.col("y.node")) & _may_link("x", "y")).select(*_pair("x", "y")).distinct()
-    edges = confirmed(texts, star, WORDS, (NUM, DEN + NUM))
-
-    each = materialise(rows.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    by_root = each.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
-    pairs = by_root.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
-    each = materialise(each.join(pairs, "key"))
     again = each.filter(F.col("pairs") > cross).join(first.select("node", "more"), "node")
     again = again.select(*[c for c in each.columns if c != "key"], F.posexplode(F.get("more", F.col("slot"))).alias("at", "other"), "key").withColumn("key", F.xxhash64("key", "other"))
     left = each.filter(F.col("pairs") <= cross).unionByName(again.select(*each.columns))
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y")
     pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & apart).select(*_pair("x", "y")).distinct()
-    return components(edges.unionByName(confirmed(texts, pairs, WORDS, (NUM, DEN + NUM))))
+    found = overlapping(pairs, whole, share)
+    return roots if found.isEmpty() else components(edges.unionByName(found))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -156,14 +156,8 @@ def _close(a: str, b: str) -> Column:
     return 9 * apart <= F.col(f"{a}.n") + F.col(f"{b}.n")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int = WORDS, share: tuple[int, int] = (4, 9)) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets of ``size``-word shingles have ``share`` of their sizes' sum in common, written once.
-    4/9 of it is a Jaccard similarity of 4/5.
-
-    Sets are computed anew for the nodes in pairs: a bitmap of 2 ** 24 bits keeps most others out, the join does the rest.
-    """
-    pairs = materialise(pairs)
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+def sets_of(docs: DataFrame, ends: DataFrame, size: int = WORDS) -> DataFrame:
+    """(node, s) for the nodes in ``ends``: sets computed anew and written. A bitmap of 2 ** 24 bits keeps most others out, the join does the rest."""
     word, bit = F.shiftrightunsigned("node", 46), F.shiftrightunsigned("node", 40).bitwiseAND(F.lit(63).cast("long"))
     got = ends.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("m")).toPandas()  # 2 ** 18 rows at most
     bitmap = np.zeros(1 << 18, np.uint64)
@@ -184,11 +178,22 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int = WORDS, share: tuple
         return of
 
     sets = materialise(map_texts(docs.select("text"), "node long, s array<long>", start).filter("s is not null").join(ends, "node", "left_semi"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    found = materialise(both.filter(share[1] * F.size(F.array_intersect("sa", "sb")) >= share[0] * (F.size("sa") + F.size("sb"))).select("a", "b"))
     shared.destroy()
     release()
-    return found
+    return sets
+
+
+def overlapping(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets have ``share`` of their sizes' sum in common, written once."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return materialise(both.filter(share[1] * F.size(F.array_intersect("sa", "sb")) >= share[0] * (F.size("sa") + F.size("sb"))).select("a", "b"))
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets have a Jaccard similarity of 4/5 or more, 4/9 of their sizes' sum in common."""
+    pairs = materialise(pairs)
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    return overlapping(pairs, sets_of(docs, ends), (4, 9))
 
 
 def _pair(a: str, b: str) -> list[Column]:
