@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
             conf = sc._gristmill_own = tempfile.mkdtemp(prefix="gristmill-")
             atexit.register(shutil.rmtree, conf, ignore_errors=True)
     return f"{conf.rstrip('/')}/gristmill/{sc.applicationId}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: what is used again is computed once, and lineage ends at files that outlive any executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

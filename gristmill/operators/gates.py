@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def table_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The table, or none of its rows where it isn't there: builds older than the table still answer."""
     try:
         return spark.read.schema(schema).parquet(path)

@@ -189,20 +189,6 @@ def identity_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return named.select("id", F.coalesce(F.min("id").over(Window.partitionBy("group")), F.col("id")).alias("grouped"), "group").select("id", F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("grouped")).alias("person"))
 
 
-def one_to_one(candidates: DataFrame, max_rows: int = 1_000_000) -> list[tuple[int, int]]:
-    """Best candidates first, each side once. Sequential by nature, so candidates are counted before they are taken in."""
-    n = candidates.count()
-    if n > max_rows:
-        raise ValueError(f"{n} candidates; {max_rows} at most")
-    a, b, out = set(), set(), []
-    for r in candidates.orderBy(F.desc("score"), "a_id", "b_id").collect():
-        if r["a_id"] not in a and r["b_id"] not in b:
-            a.add(r["a_id"])
-            b.add(r["b_id"])
-            out.append((r["a_id"], r["b_id"]))
-    return out
-
-
 # --- stories ---
 
 

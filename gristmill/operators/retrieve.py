@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions.dates import recency
+from gristmill.operators import vectors as V
 
 #: Fixed lists: titles that mark a document as authoritative, and as paperwork.
 MANUALS = ("manual", "potentially useful info", "binder", "handbook", "survival guide")
@@ -133,8 +134,30 @@ def search_entities(entities: DataFrame, facts: DataFrame, terms: DataFrame, k:
     return top(both.filter("score > 0"), k, "entity_id")
 
 
-def search_facts(facts: DataFrame, synonyms: DataFrame, terms: DataFrame, now: int, k: int = 5) -> DataFrame:
-    """(qid, fact_id, score, rank). Facts (fact_id, topic, fact, year), synonyms (fact_id, word): topic 8, text 3, else synonym 2; times recency."""
+def with_near(found: DataFrame, near: DataFrame, key: str, k: int, topics: DataFrame | None = None) -> DataFrame:
+    """(qid, key, score, rank, similarity): ``found`` by words (qid, key, score, rank), then rows that are near by meaning alone.
+
+    near (qid, id, similarity) are a vector search's hits for the same questions: their best 4 * k count. Those that words found, too, lend
+    them their similarity; of the others the nearest two follow, but none whose topic is excluded where ``topics`` (id, topic) are given.
+    """
+    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
+    close = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 4 * k).select(F.col("qid").cast("long").alias("qid"), F.col("id").alias(key), "similarity")
+    lexical = found.withColumn("qid", F.col("qid").cast("long")).join(close, ["qid", key], "left").select("qid", key, "score", "rank", "similarity")
+    fresh = close.join(lexical.select("qid", key), ["qid", key], "left_anti")
+    if topics is not None:
+        fresh = V.outside_topics(fresh.withColumnRenamed(key, "id"), topics).withColumnRenamed("id", key)
+    held = lexical.groupBy("qid").agg(F.max("rank").alias("last"))
+    n = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), key))
+    more = fresh.withColumn("n", n).filter(F.col("n") <= V.SEMANTIC_LIMIT).join(held, "qid", "left")
+    more = more.select("qid", key, F.lit(None).cast("double").alias("score"), (F.coalesce("last", F.lit(0)) + F.col("n")).cast("int").alias("rank"), "similarity")
+    return lexical.unionByName(more)
+
+
+def search_facts(facts: DataFrame, synonyms: DataFrame, terms: DataFrame, now: int, k: int = 5, near: DataFrame | None = None) -> DataFrame:
+    """(qid, fact_id, score, rank). Facts (fact_id, topic, fact, year), synonyms (fact_id, word): topic 8, text 3, else synonym 2; times recency.
+
+    With ``near`` (qid, id, similarity), facts of like meaning follow, and similarity is a column (``with_near``).
+    """
     small = _small(terms)
     topic = facts.select("fact_id", F.lower("topic").alias("term")).join(small, "term").select("qid", "fact_id", (F.col("n") * 8.0).alias("p"))
     in_text = first_word_hits(facts, terms, "fact_id", "fact")
@@ -142,7 +165,8 @@ def search_facts(facts: DataFrame, synonyms: DataFrame, terms: DataFrame, now: i
     asked = asked.join(in_text.select("qid", "fact_id", "term"), ["qid", "fact_id", "term"], "left_anti").select("qid", "fact_id", (F.col("n") * 2.0).alias("p"))
     total = topic.unionByName(in_text.select("qid", "fact_id", (F.col("n") * 3.0).alias("p"))).unionByName(asked).groupBy("qid", "fact_id").agg(F.sum("p").alias("p"))
     scored = total.join(facts.select("fact_id", "year"), "fact_id").select("qid", "fact_id", F.round(F.col("p") * recency(F.col("year"), now), 6).alias("score"))
-    return top(scored, k, "fact_id")
+    found = top(scored, k, "fact_id")
+    return found if near is None else with_near(found, near, "fact_id", k, facts.select(F.col("fact_id").alias("id"), "topic"))
 
 
 def search_general(rows: DataFrame, terms: DataFrame, k: int = 2) -> DataFrame:
@@ -166,12 +190,13 @@ def search_people(expertise: DataFrame, profiles: DataFrame, terms: DataFrame, k
     return top(sums, k, "person_id", F.desc("matched"), F.desc("coverage"), F.desc("strength"))
 
 
-def search_stories(stories: DataFrame, terms: DataFrame, k: int = 2, floor: float = 2.0) -> DataFrame:
-    """(qid, id, score, rank). Stories (id, title, story, people): title 3, people 2, body one per occurrence up to 3."""
+def search_stories(stories: DataFrame, terms: DataFrame, k: int = 2, floor: float = 2.0, near: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score, rank). Stories (id, title, story, people): title 3, people 2, body one per occurrence up to 3. ``near`` as for facts."""
     parts = [first_word_hits(stories, terms, "id", c).select("qid", "id", (F.col("n") * p).alias("p")) for c, p in (("title", 3.0), ("people", 2.0))]
     body = term_hits(stories, terms, "story", "id").join(_small(terms), "term").select("qid", "id", (F.least(F.col("hits"), F.lit(3)) * F.col("n")).cast("double").alias("p"))
     total = parts[0].unionByName(parts[1]).unionByName(body).groupBy("qid", "id").agg(F.sum("p").alias("score"))
-    return top(total.filter(F.col("score") >= floor), k, "id")
+    found = top(total.filter(F.col("score") >= floor), k, "id")
+    return found if near is None else with_near(found, near, "id", k)
 
 
 def answers_first(answers: DataFrame, facts: DataFrame) -> DataFrame:

@@ -97,10 +97,17 @@ def case_verdict(answer: Column, must: Column, must_not: Column, may_refuse: Col
     )
 
 
-def training_rows(pairs: DataFrame) -> DataFrame:
-    """Prompt and completion pairs as one JSON text each."""
-    turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.array(F.struct(F.col(c).alias("text"))).alias("parts"))
-    return pairs.select(F.to_json(F.struct(F.array(turn("user", "prompt"), turn("model", "completion")).alias("contents"))).alias("row"))
+def training_rows(pairs: DataFrame, form: str = "contents") -> DataFrame:
+    """``pairs`` without prompt and completion and with row, the pair as one JSON text: ``contents``, turns of user and model, or
+    ``pair``, the two by their names."""
+    if form == "contents":
+        turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.array(F.struct(F.col(c).alias("text"))).alias("parts"))
+        row = F.to_json(F.struct(F.array(turn("user", "prompt"), turn("model", "completion")).alias("contents")))
+    elif form == "pair":
+        row = F.to_json(F.struct("prompt", "completion"))
+    else:
+        raise ValueError(form)
+    return pairs.withColumn("row", row).drop("prompt", "completion")
 
 
 def drop_reasons(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:

@@ -119,3 +119,22 @@ def alive(rows: DataFrame, deleted: str = "deleted_at") -> DataFrame:
 
 def histogram(rows: DataFrame, label: str, missing: str = "?") -> DataFrame:
     return rows.groupBy(F.coalesce(F.col(label), F.lit(missing)).alias(label)).agg(F.count("*").alias("n"))
+
+
+def page_at(rows: DataFrame, offset: int, limit: int, *order: str) -> DataFrame:
+    """``limit`` rows behind the first ``offset`` in the order of columns, with their place: rows are numbered by the sizes of ranges, so the
+    last page costs what the first does, and no task sorts more than its range."""
+    from gristmill.operators.gaps import assign_sequence
+
+    return assign_sequence(rows, 0, *order).withColumnRenamed("seq", "place").filter(F.col("place").between(offset + 1, offset + limit))
+
+
+def recall(turns: DataFrame, terms: DataFrame, limit: int = 4, skip: int = 3, within: int = 400) -> DataFrame:
+    """(qid, id, hits, r) of turns (id, text): those that have most of a question's terms as whole words, newest first among equals, from the
+    last ``within`` but not the last ``skip`` of them."""
+    from gristmill.operators.retrieve import first_word_hits
+
+    last = turns.orderBy(F.desc("id")).limit(within)  # bounded: what one may remember
+    newest = turns.orderBy(F.desc("id")).limit(skip).select("id")
+    hits = first_word_hits(last.join(newest, "id", "left_anti"), terms, "id", "text").groupBy("qid", "id").agg(F.countDistinct("term").alias("hits"))
+    return hits.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hits"), F.desc("id")))).filter(F.col("r") <= limit)

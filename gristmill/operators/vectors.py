@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import let
 from gristmill.functions.workers import importable
 
 SIMILARITY_FLOOR = 0.45
 SEMANTIC_LIMIT = 2
+#: Fixed list: topics that only an exact word reaches.
+EXCLUDED_TOPICS = ("roster",)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,8 +28,7 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
+    return let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))
 
 
 def finite(v: Column) -> Column:
@@ -36,33 +38,31 @@ def finite(v: Column) -> Column:
 def nearest(base: DataFrame, queries: DataFrame, k: int, floor: float = SIMILARITY_FLOOR, dim: int | None = None) -> DataFrame:
     """(qid, vec_id, similarity, rank): each query's k rows of highest cosine at ``floor`` or above, itself left out.
 
-    Queries (qid, query [, model]) are few by contract and checked: beyond 10,000 they come in blocks. Where both sides name a
-    model only vectors of the same one meet; vectors of another length than ``dim`` or with values that aren't finite are skipped.
+    Goes through a partitioned index (``vector_index``), which prunes and stays exact. Queries (qid, query [, model]). Where both sides
+    name a model only vectors of the same one meet; vectors of another length than ``dim``, or than the queries' where that isn't
+    given, or with values that aren't finite are skipped.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // 10_000))
-    rows = base.filter(finite(F.col("embedding")) & ((F.size("embedding") == dim) if dim else F.lit(True))).withColumn("embedding", normalise(F.col("embedding")))
-    queries = queries.withColumn("query", normalise(F.col("query")))  # once per vector, not per pair
-    out = None
-    for b in range(blocks):
-        some = F.broadcast(queries.filter(F.pmod(F.hash("qid"), F.lit(blocks)) == b) if blocks > 1 else queries)
-        on = F.col("vec_id") != F.col("qid")
-        if "model" in base.columns and "model" in queries.columns:
-            on = on & (rows["model"] == some["model"])
-        scored = rows.join(some, on).select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("similarity"))
-        part = scored.filter(F.col("similarity") >= floor).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "vec_id"))).filter(F.col("rank") <= k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    from gristmill.operators import vector_index
+
+    return vector_index.build(base, dim).nearest(queries, k, floor)
 
 
 def with_semantic(lexical: DataFrame, near: DataFrame, limit: int = SEMANTIC_LIMIT) -> DataFrame:
-    """Lexical rows (qid, id, score) first, then up to ``limit`` near ones (qid, id, similarity) that aren't among them."""
+    """Lexical rows (qid, id, score) first, then up to ``limit`` near ones (qid, id, similarity) that aren't among them.
+
+    Near rows of an excluded topic are kept out by ``outside_topics`` before they get here: formulaic rows lie close to any question.
+    """
     fresh = near.join(lexical.select("qid", "id"), ["qid", "id"], "left_anti")
     fresh = fresh.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))).filter(F.col("r") <= limit)
     both = lexical.select("qid", "id", F.lit(0).alias("tier"), F.col("score").alias("weight")).unionByName(fresh.select("qid", "id", F.lit(1).alias("tier"), F.col("similarity").alias("weight")))
     return both.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("tier", F.desc("weight"), "id")))
 
 
+def outside_topics(near: DataFrame, topics: DataFrame, excluded: tuple[str, ...] = EXCLUDED_TOPICS) -> DataFrame:
+    """Near rows (qid, id, similarity) but those whose topic by ``topics`` (id, topic) is excluded; those that have no row there go, too."""
+    return near.join(topics.filter(~F.coalesce("topic", F.lit("")).isin(*excluded)).select("id"), "id", "left_semi")
+
+
 def health(vectors: DataFrame) -> DataFrame:
     """One row: vectors, different lengths, those not finite, those not of unit length."""
     return vectors.agg(

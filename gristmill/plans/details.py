@@ -306,11 +306,18 @@ def rewrites_judged(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", C.rewrite_rejection(b, after).alias("reason"))
 
 
-@query("training_rows", """SELECT conv_id, '{"contents":[{"role":"user","parts":[{"text":' || to_json(q) || '}]},{"role":"model","parts":[{"text":' || to_json(a) || '}]}]}' AS row FROM (SELECT conv_id, min(role) AS q, max(role) AS a FROM conversations GROUP BY conv_id)""")
+@query("training_rows", """
+WITH p AS (SELECT conv_id, turn, text AS q, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS a, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT conv_id, turn, to_json(q) AS q, to_json(a) AS a FROM p WHERE role = 'user' AND a IS NOT NULL)
+SELECT conv_id, turn, sha256('{"contents":[{"role":"user","parts":[{"text":' || q || '}]},{"role":"model","parts":[{"text":' || a || '}]}]}') AS contents, sha256('{"prompt":' || q || ',"completion":' || a || '}') AS pair FROM r""")
 def training_rows(spark, d):
-    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.min("role").alias("prompt"), F.max("role").alias("completion"))
-    one = C.training_rows(c.select("prompt", "completion").distinct())
-    return c.crossJoin(F.broadcast(one)).filter(F.col("row").contains(F.concat(F.lit('"text":"'), "prompt")) & F.col("row").contains(F.concat(F.lit('"text":"'), "completion"))).select("conv_id", "row")
+    """Every question that was answered, in both forms."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = read(spark, d, "conversations").withColumn("completion", F.when(F.lead("role").over(w) == "assistant", F.lead("text").over(w)))
+    c = c.filter("role = 'user' and completion is not null").select("conv_id", "turn", F.col("text").alias("prompt"), "completion")
+    both = C.training_rows(c.withColumn("p", F.col("prompt")).withColumn("c", F.col("completion"))).withColumnRenamed("row", "contents")
+    both = C.training_rows(both.withColumnRenamed("p", "prompt").withColumnRenamed("c", "completion"), "pair")
+    return both.select("conv_id", "turn", F.sha2("contents", 256).alias("contents"), F.sha2("row", 256).alias("pair"))
 
 
 # --- sheets, chats, cards ---
@@ -422,11 +429,12 @@ def answers_first(spark, d):
     return first(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"))
 
 
-@query("sanitized", r"SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS t FROM conversations WHERE false")
+@query("sanitized", r"""SELECT conv_id, turn, 0 AS left_over, CASE WHEN NOT regexp_matches(text, '[@0-9\p{Cf}]') THEN sha256(trim(regexp_replace(text || ' mail [email] or [phone]', '\s+', ' ', 'g'))) END AS digest FROM conversations""")
 def sanitized(spark, d):
-    """Turns in which nothing personal should be left, and is: none, for whatever the table holds."""
-    t = X.sanitize(F.concat("text", F.lit(" mail a.b@gmail.com or +1 415 555 0199 @someone")))
-    return read(spark, d, "conversations").select("conv_id", "turn", t.alias("t")).filter(F.size(X.pii_classes(F.col("t"))) > 0)
+    """All turns with an address, a number and a handle added and taken out again: what is left of them, and what became of texts that had none."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", "text", X.sanitize(F.concat("text", F.lit(" mail a.b@gmail.com or +1 415 555 0199 @someone"))).alias("t"))
+    plain = ~F.col("text").rlike(r"[@0-9\p{Cf}]")
+    return c.select("conv_id", "turn", F.size(X.pii_classes(F.col("t"))).alias("left_over"), F.when(plain, F.sha2("t", 256)).alias("digest"))
 
 
 @query("contradiction_notes", """

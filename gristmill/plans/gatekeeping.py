@@ -30,9 +30,12 @@ def structural_gate(spark, d):
     return G.structural(tables, ("part", "ghost"), ("nation", "none"))
 
 
-@query("absent_table", "SELECT 1::BIGINT AS id, 'x' AS name WHERE false")
+@query("absent_table", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, 'there' AS found FROM nation")
 def absent_table(spark, d):
-    return G.table_or_empty(spark, f"{d}/no_such_table.parquet", "id long, name string")
+    """One table that is there and one that isn't, read alike."""
+    there, not_there = (G.table_or_empty(spark, f"{d}/{t}.parquet", read(spark, d, "nation").schema) for t in ("nation", "no_such_table"))
+    rows = there.withColumn("found", F.lit("there")).unionByName(not_there.withColumn("found", F.lit("made up")))
+    return rows.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", "found")
 
 
 @query("vector_manifest", "SELECT 'm' || label % 2 AS model, count(*) AS vectors, min(len(embedding))::INT AS shortest, max(len(embedding))::INT AS longest, false AS sound FROM embeddings GROUP BY label % 2")

@@ -10,12 +10,12 @@ from gristmill.functions import text as T
 from gristmill.functions.shared import shared_dir
 from gristmill.operators import compose as K
 from gristmill.plans.registry import query
-from gristmill.plans.search import doc_search_topk, first_word_sql, read, story_search, terms, TERMS_SQL
+from gristmill.plans.search import DOCS_SQL, first_word_sql, read, readable_documents, story_search, terms
 from gristmill.streaming import incremental as I
 
 
 def layers(spark, d):
-    docs = doc_search_topk(spark, d).join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = readable_documents(spark, d).join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
     talk = read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     lore = story_search(spark, d).join(talk, "id")
     line = lambda: F.concat(F.lit("- "), T.clip(T.squeeze(F.col("text"))))
@@ -23,11 +23,8 @@ def layers(spark, d):
 
 
 @query("layer_ranking", f"""
-WITH {TERMS_SQL},
-t AS (SELECT doc_id, length(text) AS n_chars, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents),
-h AS (SELECT qid, doc_id, n_chars, count(*) AS occ, count(DISTINCT term) AS k FROM t JOIN terms USING (term) GROUP BY ALL),
-s AS (SELECT qid, doc_id, round(least(occ::DOUBLE, 40) * 0.6 + least(occ * 1000.0::DOUBLE / greatest(n_chars, 1), 3) + CASE WHEN k >= 2 THEN k ELSE 0 END, 6) AS score FROM h),
-r AS (SELECT qid, doc_id FROM s WHERE score >= 4 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 2),
+WITH {DOCS_SQL.replace("r AS (SELECT f.*, passage", "ra AS (SELECT f.*, passage")},
+r AS (SELECT qid, doc_id FROM ra WHERE rank <= 2),
 c AS (SELECT r.qid, r.doc_id, count(*) FILTER (WHERE {first_word_sql('lower(text)', 'term')}) AS n FROM r JOIN documents USING (doc_id) JOIN terms ON terms.qid = r.qid GROUP BY ALL),
 l AS (SELECT qid, 'docs' AS layer, max(n) AS coverage FROM c GROUP BY qid UNION ALL SELECT DISTINCT qid, 'camp', 0 FROM terms)
 SELECT qid, layer, coverage::INT AS coverage, row_number() OVER (PARTITION BY qid ORDER BY coverage DESC, CASE layer WHEN 'camp' THEN 0 ELSE 1 END)::INT AS place FROM l""")

@@ -93,19 +93,17 @@ def duplicate_names(spark, d):
 
 
 @query("components", """
-WITH RECURSIVE e AS (SELECT n_nationkey + 100 AS a, c_custkey + 1000 AS b FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_regionkey, n_nationkey + 100 FROM nation UNION ALL SELECT s_nationkey + 100, s_suppkey + 10000000 FROM supplier),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, root) AS (SELECT b, a FROM e WHERE a < 100 UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node WHERE s.b >= 100)
-SELECT node::BIGINT AS node, min(root)::BIGINT AS root FROM r GROUP BY node UNION ALL SELECT DISTINCT a, a FROM e WHERE a < 100""")
+WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) USING KEY (node) AS (SELECT a, a FROM e GROUP BY a UNION
+  SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS now ON now.node = e.b WHERE r.root < now.root GROUP BY e.b)
+SELECT node::BIGINT AS node, root::BIGINT AS root FROM r""")
 def components(spark, d):
-    """Regions, nations, customers and suppliers, linked from each to the next."""
+    """Orders and parts, linked by all lines."""
     from gristmill.functions.shared import shared_dir
 
-    nation, long = read(spark, d, "nation"), lambda c, n=0: (F.col(c) + n).cast("long")
-    e = read(spark, d, "customer").select(long("c_nationkey", 100).alias("a"), long("c_custkey", 1000).alias("b"))
-    e = e.unionByName(nation.select(long("n_regionkey").alias("a"), long("n_nationkey", 100).alias("b")))
-    e = e.unionByName(read(spark, d, "supplier").select(long("s_nationkey", 100).alias("a"), long("s_suppkey", 10000000).alias("b")))
-    return P.connected(e, shared_dir(spark))
+    lines = read(spark, d, "lineitem").filter("l_orderkey is not null and l_partkey is not null")
+    return P.connected(lines.select((F.col("l_orderkey") * 2).cast("long").alias("a"), (F.col("l_partkey") * 2 + 1).cast("long").alias("b")), shared_dir(spark))
 
 
 @query("jaccard_pairs", r"""
