@@ -10,8 +10,8 @@ words). With sizes a and b that allows a symmetric difference of (a + b) * (DEN
    least one symbol agrees, and the symbols are the keys of an equi-join (pigeonhole). Bands grow by a quarter; a set that a larger
    one could link with from the next band joins that band, too.
 3. ``links``: of each shared symbol one node meets all others; what sizes and parity bits don't rule out is verified by whole sets,
-   written once, and what links is one component. That repeats with nodes of more orders for the symbols that several components share, until
-   their pairs are as few as the rows. Then all pairs of different components meet. Symbols that would still give over
+   written once, and what links is one component. That repeats, with nodes by more orders, while the symbols that several components share
+   still hold over ``PER_ROW`` pairs for each of their rows. Then all pairs of different components meet. Symbols that would still give over
    ``CROSS`` such pairs - few shingles, or ones that a passage in many documents brings along - are joined with a second,
    independent deal of the shingles: a pair that links agrees on a symbol of that as well.
 4. Components are named by their smallest doc_id.
@@ -36,8 +36,9 @@ from gristmill.llm.simhash_gray import components, name_components
 WORDS = 3
 NUM, DEN = 9, 10
 BITS = SKETCH * 64
-CROSS = 1 << 17
+CROSS = 1 << 21
 ORDERS = 4
+PER_ROW = 256
 U = np.uint64
 _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _SKETCHES = [f"k{i}" for i in range(SKETCH)]
@@ -160,7 +161,7 @@ def links(texts: DataFrame, cross: int = CROSS) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges) if fresh or roots is None else roots
         each, pairs = _open(rows, roots)
-        if pairs <= n or not fresh or orders >= ORDERS**4:
+        if pairs <= PER_ROW * n or not fresh or orders >= ORDERS**4:
             break
         orders *= ORDERS
 
