@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions.dates import gap_phrase, human_date
+from gristmill.operators.gaps import assign_sequence
 from gristmill.operators.sequences import within_budget
 
 BUDGET = 4000
@@ -100,7 +101,7 @@ def people_cards(roster: DataFrame, chat: DataFrame) -> DataFrame:
     rest = rest.withColumn("_k", T.letter_norm(F.col("name"))).join(roster.select(T.letter_norm(F.col("name")).alias("_k")).distinct(), "_k", "left_anti")
     both = cards.select("person_id", "name", "role", "portrait", F.lit(1).alias("on_roster")).unionByName(rest.select("person_id", "name", F.lit(None).cast("string").alias("role"), "portrait", F.lit(0).alias("on_roster")))
     score = F.when(F.col("portrait").isNotNull(), 4).otherwise(0) + F.when(F.col("role").isNotNull(), 2).otherwise(0) + F.col("on_roster")
-    return both.withColumn("tier", score).withColumn("place", F.row_number().over(Window.orderBy(F.desc("tier"), "name", "person_id")))
+    return assign_sequence(both.withColumn("tier", score), 0, F.desc("tier"), F.col("name"), F.col("person_id")).withColumn("place", F.col("seq").cast("int")).drop("seq")
 
 
 def asks_to_remember(text: Column) -> Column:

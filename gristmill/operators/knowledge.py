@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
+from gristmill.operators.gaps import assign_sequence
 from gristmill.operators.people import connected
 
 #: Fixed list: words that don't tell one story from another.
@@ -60,7 +61,8 @@ def facts_by_category(facts: DataFrame, categories: tuple[str, ...], rest: str =
 def entity_cards(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """All entities by mentions, each with its sorted aliases, in one plan."""
     names = aliases.groupBy("entity_id").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
-    return entities.join(names, "entity_id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("mention_count"), "entity_id")))
+    cards = entities.join(names, "entity_id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    return assign_sequence(cards, 0, F.desc("mention_count"), F.col("entity_id")).withColumn("place", F.col("seq").cast("int")).drop("seq")
 
 
 def lookup(entities: DataFrame, aliases: DataFrame, queries: DataFrame) -> DataFrame:

@@ -134,6 +134,22 @@ def search_entities(entities: DataFrame, facts: DataFrame, terms: DataFrame, k:
     return top(both.filter("score > 0"), k, "entity_id")
 
 
+def entity_facts(hits: DataFrame, entities: DataFrame, facts: DataFrame, terms: DataFrame, k: int = 5, recent: int = 4) -> DataFrame:
+    """(qid, entity_id, fact_id, overlap, r): the facts behind hits (qid, entity_id): those with most of the terms that no name of the entity
+    holds, ``k`` at most; where none has any, the ``recent`` latest by asserted_on. Facts (entity_id, fact_id, fact, asserted_on)."""
+    own = facts.join(hits.select("entity_id").distinct(), "entity_id", "left_semi")
+    named = entities.join(hits.select("entity_id").distinct(), "entity_id", "left_semi").select("entity_id", F.concat(F.array(F.lower("name")), F.transform("aliases", F.lower)).alias("names"))
+    asked = hits.select("qid", "entity_id").join(terms, "qid").join(named, "entity_id").filter(~F.exists("names", lambda n: F.contains(n, F.col("term")))).select("qid", "entity_id", "term", "n")
+    found = first_word_hits(own, terms, "fact_id", "fact").join(own.select("fact_id", "entity_id"), "fact_id").drop("n").join(asked, ["qid", "entity_id", "term"])
+    overlap = found.groupBy("qid", "entity_id", "fact_id").agg(F.sum("n").alias("overlap"))
+    w = Window.partitionBy("qid", "entity_id")
+    matched = overlap.withColumn("r", F.row_number().over(w.orderBy(F.desc("overlap"), "fact_id"))).filter(F.col("r") <= k)
+    bare = hits.select("qid", "entity_id").join(matched.select("qid", "entity_id").distinct(), ["qid", "entity_id"], "left_anti")
+    latest = bare.join(own.select("entity_id", "fact_id", F.coalesce("asserted_on", F.lit("")).alias("d")), "entity_id")
+    latest = latest.withColumn("r", F.row_number().over(w.orderBy(F.desc("d"), "fact_id"))).filter(F.col("r") <= recent)
+    return matched.unionByName(latest.select("qid", "entity_id", "fact_id", F.lit(0).cast("long").alias("overlap"), "r"))
+
+
 def with_near(found: DataFrame, near: DataFrame, key: str, k: int, topics: DataFrame | None = None) -> DataFrame:
     """(qid, key, score, rank, similarity): ``found`` by words (qid, key, score, rank), then rows that are near by meaning alone.
 

@@ -108,6 +108,26 @@ def not_a_person(name: Column) -> Column:
     return out
 
 
+#: Fixed lists: words of food, and of instructions, that a legacy sheet's rows of "people" hold.
+FOOD = (
+    "chips", "carrots", "pickles", "jerky", "meat", "cheese", "sliced", "onion", "tomato", "vodka", "gin", "whiskey", "tequila", "rum", "beer", "wine",
+    "juice", "water", "soda", "coffee", "tea", "bread", "butter", "eggs", "milk", "cream", "salt", "pepper", "lettuce", "cucumber", "celery", "gazpacho",
+    "soup", "oregano", "bbq", "sauce", "salsa", "dip", "nuts", "crackers", "fruit", "vegetable", "hummus", "guac", "avocado", "lime", "lemon", "olive",
+    "mayo", "mustard", "ketchup", "relish", "ranch",
+)
+FOOD_NOTES = ("fresh", "oz", "similar", "these", "optional", "pitted", "dried", "canned", "frozen")
+
+
+def legacy_garbage(name: Column) -> Column:
+    """Rows of an old list of people that are none: dates, times, numbers, phone numbers, lone addresses, statements, food."""
+    low = F.lower(F.trim(name))
+    bare = F.regexp_replace(name, r"[\u202A\u202C\u200E\u200F\s\-()]", "")
+    phone = bare.rlike(r"^[+\d]+$") & (F.length(F.regexp_replace(bare, r"\D", "")) >= 7)
+    shaped = name.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{1,2}:\d{2})") | name.rlike(r"^\d+(?:\.\d+)?$") | F.trim(name).rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")
+    food = low.rlike("(?:" + "|".join(FOOD) + ")") | low.rlike(r"\((?:" + "|".join(FOOD_NOTES) + r")\)")
+    return F.coalesce((F.length(low) < 2) | shaped | phone | F.contains(low, F.lit("account statement")) | food, F.lit(True))
+
+
 def people_only(people: DataFrame, messages: DataFrame) -> DataFrame:
     """People whose names look like names, and all who have ever written."""
     wrote = messages.select("person_id").distinct().withColumn("_w", F.lit(True))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
+from gristmill.functions.shared import written
 
 #: Fixed pattern: a word that is capitalised, or a number.
 SPECIFIC = r"^(?:[A-Z][a-z]{2,}|\d{1,4})$"
@@ -39,7 +40,7 @@ def jaccard_pairs(rows: DataFrame, key: str, tokens: str, floor: float) -> DataF
     """
     each = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = each.join(rarity, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o")).select(key, F.col("o.token").alias("ws"))
+    ordered = written(each.join(rarity, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o")).select(key, F.col("o.token").alias("ws")))
     n = F.size("ws")
     prefix = ordered.select(key, n.alias("n"), F.posexplode(F.slice("ws", F.lit(1), n - F.ceil(n * F.lit(floor) - 1e-9).cast("int") + 1)).alias("at", "token"))
     a, b = prefix.alias("a"), prefix.alias("b")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.shared import written
+
 
 def sessions(rows: DataFrame, key: str, ts: str, tie: str, gap: str = "90 minutes", cap: int = 30) -> DataFrame:
     """Adds session and part: a new session after a longer gap or a missing time; parts of ``cap`` rows at most."""
@@ -49,9 +51,28 @@ def month_windows(rows: DataFrame, key: str, ts: str, floor: int = 150) -> DataF
     return folded.select(key, F.explode(F.aggregate("months", start, step, close)).alias("w")).select(key, F.col("w.first").alias("first_month"), F.col("w.last").alias("last_month"), F.col("w.n").alias("rows"))
 
 
+def running(rows: DataFrame, key: str, *order: str, cost: Column | None = None) -> DataFrame:
+    """Adds n, each row's place from 1 in its key's order, and with ``cost`` spent, the costs up to and with it.
+
+    Rows are dealt by ranges of key and order and written once; what the ranges before hold of a key is added to what a range counts by itself,
+    so a key of any size is many tasks' work. There is one number for each range and key that meet.
+    """
+    columns = rows.columns
+    dealt = written(rows.withColumn("_cost", cost if cost is not None else F.lit(0)).repartitionByRange(key, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p", F.col(key).alias("_k")).agg(F.count("*").alias("_c"), F.sum("_cost").alias("_s")).withColumnRenamed("_p", "_q")
+    before = Window.partitionBy("_k").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_q", "_k", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    inside = Window.partitionBy("_p", key).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = dealt.withColumn("_n", F.row_number().over(inside)).withColumn("_upto", F.sum("_cost").over(upto))
+    met = own.join(base, (F.col("_p") == F.col("_q")) & F.col(key).eqNullSafe(F.col("_k")))
+    out = met.withColumn("n", F.col("_n") + F.col("_n0")).withColumn("spent", F.col("_upto") + F.col("_s0"))
+    return out.select(*columns, "n", *(["spent"] if cost is not None else []))
+
+
 def chunks(rows: DataFrame, size: int, key: str, *order: str) -> DataFrame:
     """Adds chunk: contiguous runs of ``size`` rows of each key."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size).cast("long"))
+    return running(rows, key, *order).withColumn("chunk", F.floor((F.col("n") - 1) / size).cast("long")).drop("n")
 
 
 def most_recent(rows: DataFrame, n: int, key: str, ts: str, tie: str) -> DataFrame:
@@ -72,8 +93,11 @@ def runs(rows: DataFrame, label: str, key: str, *order: str) -> DataFrame:
     return rows.withColumn("_c", change.cast("int")).withColumn("run", F.sum("_c").over(w).cast("long")).drop("_c")
 
 
-def within_budget(sections: DataFrame, cost: Column, budget: int, key: str, *order: str) -> DataFrame:
-    """Sections in order until one overflows; it and all after it fall. The first is always admitted."""
+def within_budget(sections: DataFrame, cost: Column, budget: int, key: str, *order: str, large: bool = False) -> DataFrame:
+    """Sections in order until one overflows; it and all after it fall. The first is always admitted. ``large``: a key may have any number of them."""
+    if large:
+        out = running(sections, key, *order, cost=cost)
+        return out.filter((F.col("n") == 1) | (F.col("spent") <= budget)).drop("n")
     w = Window.partitionBy(key).orderBy(*order)
     so_far = F.sum("_cost").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = sections.withColumn("_cost", cost).withColumn("_n", F.row_number().over(w)).withColumn("spent", so_far)
@@ -82,9 +106,10 @@ def within_budget(sections: DataFrame, cost: Column, budget: int, key: str, *ord
 
 def stratified_split(rows: DataFrame, key: str, row_id: str, share: float, seed: str) -> DataFrame:
     """Adds held_out: in each stratum the first floor(n * share) rows by a seeded hash."""
-    order = F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{seed}")))
-    n = F.count("*").over(Window.partitionBy(key))
-    return rows.withColumn("held_out", F.row_number().over(Window.partitionBy(key).orderBy(order, row_id)) <= F.floor(n * share))
+    columns = rows.columns
+    placed = running(rows.withColumn("_order", F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{seed}")))), key, "_order", row_id)
+    total = rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_of"))
+    return placed.join(total, F.col(key).eqNullSafe(F.col("_k"))).withColumn("held_out", F.col("n") <= F.floor(F.col("_of") * share)).select(*columns, "held_out")
 
 
 def page(rows: DataFrame, cursor: str, since: int, limit: int, least: int = 1, most: int = 500) -> DataFrame:

@@ -78,7 +78,7 @@ r AS (SELECT *, sum(cost) OVER w::BIGINT AS spent, row_number() OVER w AS n FROM
 SELECT source, doc_id, spent FROM r WHERE n = 1 OR spent <= 4000""")
 def char_budget(spark, d):
     docs = read(spark, d, "documents").select("source", "doc_id", "n_chars")
-    return S.within_budget(docs, F.col("n_chars") + 1, 4000, "source", "doc_id").select("source", "doc_id", "spent")
+    return S.within_budget(docs, F.col("n_chars") + 1, 4000, "source", "doc_id", large=True).select("source", "doc_id", "spent")
 
 
 @query("stratified_split", """
