@@ -239,9 +239,14 @@ def initials(name: Column) -> Column:
 
 
 def hue(name: Column) -> Column:
-    """A stable angle of a name: h = 33 h + code over its UTF-8 bytes, from 5381, modulo 360; remainders keep it small."""
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(name)), lambda i: F.conv(F.hex(F.call_function("substring", F.encode(name, "utf-8"), i, F.lit(1))), 16, 10).cast("int"))
-    return F.when(F.octet_length(name) == 0, 5381 % 360).otherwise(F.aggregate(codes, F.lit(5381 % 360), lambda h, b: (h * 33 + b) % 360)).cast("int")
+    """A stable hue of a name, case aside: h = 33 h + byte over its UTF-8 bytes, from 5381, in 64 bits that wrap; h modulo 1000 is laid into the
+    band from 0.02 to 0.55. Decimals hold what 64 bits times 33 needs, and remainders are what wrapping leaves."""
+    low = F.encode(F.lower(name), "utf-8")
+    codes = F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.conv(F.hex(F.call_function("substring", low, i, F.lit(1))), 16, 10).cast("decimal(20,0)"))
+    start, wrap = F.lit(5381).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")
+    h = F.aggregate(codes, start, lambda h, c: F.pmod((h * 33).cast("decimal(38,0)") + c, wrap).cast("decimal(20,0)"))
+    h = F.when(F.length(low) == 0, start).otherwise(h)
+    return F.round(0.02 + F.pmod(h, F.lit(1000)).cast("double") / 1000 * 0.53, 6)
 
 
 def plain_document(text: Column) -> Column:

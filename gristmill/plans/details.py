@@ -115,7 +115,9 @@ def people_filter(spark, d):
     return U.filter_people(read(spark, d, "customer"), " BUILD ", ("c_name", "c_mktsegment")).select("c_custkey")
 
 
-@query("initials_and_hues", "SELECT p_partkey, upper(left(p_name, 1)) || upper(left(split_part(p_name, ' ', 2), 1)) AS initials, list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (h * 33 + b) % 360)::INT AS hue FROM part")
+@query("initials_and_hues", """
+WITH h AS (SELECT p_partkey, p_name, list_reduce(list_prepend(5381::HUGEINT, list_transform(string_split(lower(p_name), ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT) AS h FROM part)
+SELECT p_partkey, upper(left(p_name, 1)) || upper(left(split_part(p_name, ' ', 2), 1)) AS initials, round(0.02::DOUBLE + (h % 1000)::DOUBLE / 1000 * 0.53::DOUBLE, 6) AS hue FROM h""")
 def initials_and_hues(spark, d):
     return read(spark, d, "part").select("p_partkey", T.initials(F.col("p_name")).alias("initials"), T.hue(F.col("p_name")).alias("hue"))
 

@@ -84,3 +84,19 @@ def test_decay_and_dates(spark):
     day = lambda s: F.to_date(L(s))
     for b, want in (("2024-01-01", "the same day"), ("2024-01-02", "the next day"), ("2024-01-14", "13 days later"), ("2024-02-01", "a few weeks later"), ("2024-06-01", "months later"), ("2026-01-01", "years later")):
         assert value(spark, D.gap_phrase(day("2024-01-01"), day(b))) == want
+
+
+def test_hue_wraps_in_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    from gristmill.functions import text as T
+
+    def brute(name):
+        h = 5381
+        for b in name.lower().encode():
+            h = (h * 33 + b) % 2**64
+        return round(0.02 + h % 1000 / 1000 * 0.53, 6)
+
+    names = ["", "a", "Ana Luna", "ANA LUNA", "Zoë Marchetti-Überall the Third of Nowhere", "é" * 60]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", T.hue(F.col("n")).alias("h")).collect()
+    assert {r.n: r.h for r in got} == {n: brute(n) for n in names}
