@@ -118,3 +118,28 @@ def jobs(rows: DataFrame, job: str, line: Column, row_id: str, *order: str) -> D
     """(job, prompt, shown): the rendered lines of each job in order and the exact ids it shows."""
     packed = rows.select(job, F.struct(*[F.col(c) for c in order], F.col(row_id).alias("_id"), line.alias("_line")).alias("r"))
     return packed.groupBy(job).agg(F.sort_array(F.collect_list("r")).alias("rs")).select(job, F.array_join(F.col("rs._line"), "\n").alias("prompt"), F.col("rs._id").alias("shown"))
+
+
+def with_author(rows: DataFrame, people: DataFrame, unknown: str = "?") -> DataFrame:
+    """``rows`` (person_id, ...) with author: the name in ``people`` (person_id, name); rows of nobody known stay, under ``unknown``."""
+    return rows.join(people.select("person_id", F.col("name").alias("author")), "person_id", "left").withColumn("author", F.coalesce("author", F.lit(unknown)))
+
+
+def yearly_counts(appearances: DataFrame, what: str = "people came") -> tuple[DataFrame, DataFrame]:
+    """(year, people, fact), one for each year, and its evidence (claim_id, source_id): every row counted of appearances (row_id, year, person, status).
+
+    A person counts once a year, however many rows say so; all of them are cited, as rows and not in one list.
+    """
+    came = appearances.filter("status = 'attending' and year is not null and person is not null")
+    counts = came.groupBy("year").agg(F.countDistinct("person").alias("people"))
+    facts = counts.withColumn("fact", F.concat(F.col("people").cast("string"), F.lit(f" {what} in "), F.col("year").cast("string")))
+    return facts, came.select(F.col("year").cast("long").alias("claim_id"), F.col("row_id").alias("source_id")).distinct()
+
+
+def cited_or_fail(cited: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The rows of ``rows`` that ``cited`` (source_id) names; raises, with some of the ids, where any isn't there."""
+    wanted = cited.select("source_id").distinct()
+    lost = [r["source_id"] for r in wanted.join(rows.select(F.col(key).alias("source_id")), "source_id", "left_anti").orderBy("source_id").limit(10).collect()]
+    if lost:
+        raise ValueError(f"cited rows are missing: {lost}")
+    return rows.join(wanted.select(F.col("source_id").alias(key)), key, "left_semi")

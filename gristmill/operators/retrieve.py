@@ -215,6 +215,19 @@ def search_stories(stories: DataFrame, terms: DataFrame, k: int = 2, floor: floa
     return found if near is None else with_near(found, near, "id", k)
 
 
+def search_answers(answers: DataFrame, terms: DataFrame, k: int = 3, within: int = 400) -> DataFrame:
+    """(qid, id, topic, fact, hits, rank) of what people answered: answers (id, question, body), the newest ``within``.
+
+    Question and body are both searched, for an answer seldom repeats the words it was asked with; only the body is a fact, and the id is
+    negative, so that it never meets that of a fact that was there before.
+    """
+    newest = answers.orderBy(F.desc("id")).limit(within).withColumn("hay", F.concat_ws(" ", "question", "body"))
+    found = first_word_hits(newest, terms, "id", "hay").groupBy("qid", "id").agg(F.countDistinct("term").alias("hits"))
+    w = Window.partitionBy("qid").orderBy(F.desc("hits"), F.desc("id"))
+    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.join(newest, "id").select("qid", (-F.col("id")).alias("id"), F.col("question").alias("topic"), F.col("body").alias("fact"), "hits", "rank")
+
+
 def answers_first(answers: DataFrame, facts: DataFrame) -> DataFrame:
     """Answers people gave ahead of facts that shipped: (qid, source, id, score, place)."""
     both = answers.select("qid", F.lit(0).alias("tier"), (-F.col("id")).alias("id"), "score").unionByName(facts.select("qid", F.lit(1).alias("tier"), "id", "score"))

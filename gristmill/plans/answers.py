@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.shared import written
 from gristmill.operators import compose as K
+from gristmill.operators import evidence as E
 from gristmill.operators import knowledge as N
 from gristmill.operators import matching as M
 from gristmill.operators import renderers as W
@@ -14,7 +15,7 @@ from gristmill.operators import retrieve as R
 from gristmill.operators import rules as U
 from gristmill.plans.mechanisms import COMPARE_SQL
 from gristmill.plans.registry import query
-from gristmill.plans.search import QUESTIONS, TERMS_SQL, first_word_sql, read
+from gristmill.plans.search import QUESTIONS, TERMS_SQL, first_word_sql, read, terms
 from gristmill.sources import chats, pages, sheets
 
 # --- entities with their facts ---
@@ -42,11 +43,11 @@ b AS (SELECT qid, entity_id, fact_id, 0 AS overlap, row_number() OVER (PARTITION
 SELECT qid, entity_id, fact_id, overlap, r FROM m WHERE r <= 5 UNION ALL SELECT * FROM b WHERE r <= 4""")
 def entity_search_facts(spark, d):
     """The items a question names, each with the facts that its other words pick, or its latest."""
-    terms = R.question_terms(spark.createDataFrame(list(ITEM_Q), "qid int, question string"))
+    asked = R.question_terms(spark.createDataFrame(list(ITEM_Q), "qid int, question string"))
     entities = read(spark, d, "items").select(F.col("item_id").alias("entity_id"), "name", F.array(F.coalesce("brand", F.lit(""))).alias("aliases"))
     none = spark.createDataFrame([], "entity_id long, fact_id long, fact string")
-    hits = written(R.search_entities(entities, none, terms).select("qid", "entity_id"))
-    return R.entity_facts(hits, entities, item_facts(spark, d), terms)
+    hits = written(R.search_entities(entities, none, asked).select("qid", "entity_id"))
+    return R.entity_facts(hits, entities, item_facts(spark, d), asked)
 
 
 # --- lines, sheets, replies ---
@@ -211,3 +212,43 @@ def grid_people(spark, d):
     return sheets.grid(body.unionByName(heads).select("file", "c.row", "c.col", "c.cell")).select("file", "category", "shift", "day", "person")
 
 
+
+
+# --- answers, authors, yearly counts ---
+
+
+@query("answers_found", f"""
+WITH {TERMS_SQL},
+a AS (SELECT conv_id * 100 + turn AS id, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS body FROM conversations),
+n AS (SELECT * FROM a WHERE body IS NOT NULL QUALIFY row_number() OVER (ORDER BY id DESC) <= 400),
+h AS (SELECT qid, id, count(DISTINCT term) AS hits FROM n JOIN terms ON {first_word_sql("lower(question || ' ' || body)", 'term')} GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, id DESC)::INT AS rank FROM h)
+SELECT qid, -id AS id, question AS topic, body AS fact, hits, rank FROM r JOIN n USING (id) WHERE rank <= 3""")
+def answers_found(spark, d):
+    """What people were asked and said, for the stated questions."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    a = read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("question"), F.lead("text").over(w).alias("body")).filter("body is not null")
+    return R.search_answers(a, terms(spark))
+
+
+@query("authored_prompts", """
+WITH l AS (SELECT client_id % 50 AS job, change_id, '[' || change_id || '] ' || coalesce(name, '?') || ': ' || coalesce(op, '') AS line FROM client_changes LEFT JOIN clients USING (client_id) WHERE client_id IS NOT NULL)
+SELECT job::BIGINT AS job, sha256(string_agg(line, chr(10) ORDER BY change_id)) AS digest FROM l GROUP BY job""")
+def authored_prompts(spark, d):
+    """Changes as prompts of fifty jobs, each line under its client's name."""
+    c = read(spark, d, "client_changes").filter("client_id is not null").withColumnRenamed("client_id", "person_id")
+    rows = E.with_author(c, read(spark, d, "clients").select(F.col("client_id").alias("person_id"), "name"))
+    line = F.concat(F.lit("["), F.col("change_id").cast("string"), F.lit("] "), "author", F.lit(": "), F.coalesce("op", F.lit("")))
+    j = E.jobs(rows.withColumn("job", (F.col("person_id") % 50).cast("long")), "job", line, "change_id", "change_id")
+    return j.select("job", F.sha2("prompt", 256).alias("digest"))
+
+
+@query("yearly_facts", """
+WITH c AS (SELECT month(sold_at) AS year, client_id FROM sales WHERE status = 'done' AND sold_at IS NOT NULL AND client_id IS NOT NULL AND sale_id IS NOT NULL)
+SELECT year::INT AS year, count(DISTINCT client_id) || ' bought in ' || year AS fact, (SELECT count(*) FROM (SELECT DISTINCT month(sold_at) AS m, sale_id FROM sales WHERE status = 'done' AND sold_at IS NOT NULL AND client_id IS NOT NULL AND sale_id IS NOT NULL) WHERE m = year) AS cited FROM c GROUP BY year""")
+def yearly_facts(spark, d):
+    """How many clients bought in each month, with the number of sales that say so."""
+    s = read(spark, d, "sales").filter("sale_id is not null").select(F.col("sale_id").alias("row_id"), F.month("sold_at").alias("year"), F.col("client_id").alias("person"), F.when(F.col("status") == "done", "attending").alias("status"))
+    facts, evidence = E.yearly_counts(s, "bought")
+    cited = evidence.groupBy(F.col("claim_id").cast("int").alias("year")).agg(F.count("*").alias("cited"))
+    return facts.join(cited, "year").select("year", "fact", "cited")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.operators import evidence as E
 from gristmill.operators import renderers as W
 from gristmill.operators import retrieve as R
 from gristmill.operators import rules as U
@@ -91,3 +92,25 @@ def test_running_over_hot_and_null_keys(spark, partitions):
         n, s = seen.get(k, (0, 0))
         seen[k] = want[i] = (n + 1, s + c)
     assert got == want
+
+
+def test_cited_rows_must_be_there(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, t string")
+    cited = lambda *ids: spark.createDataFrame([(i,) for i in ids], "source_id long")
+    assert sorted(r.id for r in E.cited_or_fail(cited(1, 3, 3), rows, "id").collect()) == [1, 3]
+    with pytest.raises(ValueError, match=r"missing: \[7, 9\]"):
+        E.cited_or_fail(cited(9, 1, 7), rows, "id")
+
+
+def test_yearly_counts_cite_every_row(spark):
+    rows = [(1, 2019, "a", "attending"), (2, 2019, "a", "attending"), (3, 2019, "b", "maybe"), (4, 2020, "b", "attending"), (5, None, "c", "attending")]
+    facts, evidence = E.yearly_counts(spark.createDataFrame(rows, "row_id long, year int, person string, status string"))
+    assert sorted((r.year, r.fact) for r in facts.collect()) == [(2019, "1 people came in 2019"), (2020, "1 people came in 2020")]
+    assert sorted(tuple(r) for r in evidence.collect()) == [(2019, 1), (2019, 2), (2020, 4)]
+
+
+def test_answers_are_found_by_what_was_asked(spark):
+    rows = [(1, "Where is the medkit", "In the bus, left side"), (2, "who cooks", "Ana"), (3, "medkit?", "Moved to the shed")]
+    terms = spark.createDataFrame([(1, "medkit", 1), (1, "bus", 1)], "qid int, term string, n long")
+    got = R.search_answers(spark.createDataFrame(rows, "id long, question string, body string"), terms).orderBy("rank").collect()
+    assert [(r.id, r.fact, r.hits) for r in got] == [(-1, "In the bus, left side", 2), (-3, "Moved to the shed", 1)]
