@@ -148,15 +148,16 @@ def links(texts: DataFrame, cross: int = CROSS) -> DataFrame:
     """(node, root) of every linked node. texts: one text of each node."""
     first = materialise(sketches(texts))
     about = first.select("node", "n", *_SKETCHES)
-    rows = first.select("node", F.posexplode("keys").alias("slot", "own")).select("node", "slot", F.explode("own").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    rows = first.select("node", F.posexplode("keys").alias("slot", "own")).select("node", "slot", F.explode("own").alias("key")).repartition("key")
+    # the same columns on either side of the join, so that the keys are dealt out once
+    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("slot").alias("top")).filter("low < high and top >= 0").select("key")
     rows = materialise(rows.join(shared, "key").join(about, "node"))
     whole = sets_of(texts, rows.select("node").distinct(), WORDS)
     share, n = (NUM, DEN + NUM), rows.count()
 
     each, edges, roots, orders = rows.withColumn("root", F.col("node")), None, None, ORDERS
     while True:
-        found = overlapping(_star(each, orders), whole, share)
+        found = overlapping(materialise(_star(each, orders)), whole, share)
         fresh = not found.isEmpty()
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges) if fresh or roots is None else roots
@@ -165,12 +166,14 @@ def links(texts: DataFrame, cross: int = CROSS) -> DataFrame:
             break
         orders *= ORDERS
 
-    again = each.filter(F.col("pairs") > cross).join(first.select("node", "more"), "node")
-    again = again.select(*[c for c in each.columns if c != "key"], F.posexplode(F.get("more", F.col("slot"))).alias("at", "other"), "key").withColumn("key", F.xxhash64("key", "other"))
-    left = each.filter(F.col("pairs") <= cross).unionByName(again.select(*each.columns))
+    left = each
+    if not each.filter(F.col("pairs") > cross).isEmpty():
+        again = each.filter(F.col("pairs") > cross).join(first.select("node", "more"), "node")
+        again = again.select(*[c for c in each.columns if c != "key"], F.posexplode(F.get("more", F.col("slot"))).alias("at", "other"), "key").withColumn("key", F.xxhash64("key", "other"))
+        left = each.filter(F.col("pairs") <= cross).unionByName(again.select(*each.columns))
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y")
     pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & apart).select(*_pair("x", "y")).distinct()
-    found = overlapping(pairs, whole, share)
+    found = overlapping(materialise(pairs), whole, share)
     return roots if found.isEmpty() else components(edges.unionByName(found))
 
 

@@ -40,6 +40,7 @@ WORDS = 5
 BUCKETS = 1 << 20
 SKETCH = 8
 BYTES = 1_000_000
+FEW = 1 << 17
 U = np.uint64
 _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
@@ -157,7 +158,8 @@ def _close(a: str, b: str) -> Column:
 
 
 def sets_of(docs: DataFrame, ends: DataFrame, size: int = WORDS) -> DataFrame:
-    """(node, s) for the nodes in ``ends``: sets computed anew and written. A bitmap of 2 ** 24 bits keeps most others out, the join does the rest."""
+    """(node, s) for the nodes in ``ends``: sets computed anew and written. A bitmap of 2 ** 24 bits keeps most others out; where it is too
+    full for that, a join keeps out the rest."""
     word, bit = F.shiftrightunsigned("node", 46), F.shiftrightunsigned("node", 40).bitwiseAND(F.lit(63).cast("long"))
     got = ends.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("m")).toPandas()  # 2 ** 18 rows at most
     bitmap = np.zeros(1 << 18, np.uint64)
@@ -177,15 +179,22 @@ def sets_of(docs: DataFrame, ends: DataFrame, size: int = WORDS) -> DataFrame:
 
         return of
 
-    sets = materialise(map_texts(docs.select("text"), "node long, s array<long>", start).filter("s is not null").join(ends, "node", "left_semi"))
+    sets = map_texts(docs.select("text"), "node long, s array<long>", start).filter("s is not null")
+    full = int(np.bitwise_count(bitmap).sum()) > 1 << 20
+    sets = materialise(sets.join(ends, "node", "left_semi") if full else sets)
     shared.destroy()
     release()
     return sets
 
 
 def overlapping(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets have ``share`` of their sizes' sum in common, written once."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    """The written pairs (a, b) whose sets have ``share`` of their sizes' sum in common, written once.
+
+    Up to ``FEW`` pairs, counted, go to where the sets are, so that only sets in pairs move; more meet them by joins.
+    """
+    few = F.broadcast(pairs) if pairs.count() <= FEW else pairs
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("s").alias(f"s{k}")).join(few, k)
+    both = side("a").join(side("b"), ["a", "b"]) if few is not pairs else pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return materialise(both.filter(share[1] * F.size(F.array_intersect("sa", "sb")) >= share[0] * (F.size("sa") + F.size("sb"))).select("a", "b"))
 
 
