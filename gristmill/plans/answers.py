@@ -244,8 +244,9 @@ def authored_prompts(spark, d):
 
 
 @query("yearly_facts", """
-WITH c AS (SELECT month(sold_at) AS year, client_id FROM sales WHERE status = 'done' AND sold_at IS NOT NULL AND client_id IS NOT NULL AND sale_id IS NOT NULL)
-SELECT year::INT AS year, count(DISTINCT client_id) || ' bought in ' || year AS fact, (SELECT count(*) FROM (SELECT DISTINCT month(sold_at) AS m, sale_id FROM sales WHERE status = 'done' AND sold_at IS NOT NULL AND client_id IS NOT NULL AND sale_id IS NOT NULL) WHERE m = year) AS cited FROM c GROUP BY year""")
+WITH c AS (SELECT month(sold_at)::INT AS y, client_id, sale_id FROM sales WHERE status = 'done' AND sold_at IS NOT NULL AND client_id IS NOT NULL AND sale_id IS NOT NULL),
+k AS (SELECT y, count(DISTINCT client_id) AS n, count(DISTINCT sale_id) AS cited FROM c GROUP BY y)
+SELECT y AS year, n || ' bought in ' || y AS fact, cited FROM k""")
 def yearly_facts(spark, d):
     """How many clients bought in each month, with the number of sales that say so."""
     s = read(spark, d, "sales").filter("sale_id is not null").select(F.col("sale_id").alias("row_id"), F.month("sold_at").alias("year"), F.col("client_id").alias("person"), F.when(F.col("status") == "done", "attending").alias("status"))

@@ -224,7 +224,9 @@ def test_sheets_rank_and_spend(spark):
     rows = spark.createDataFrame([(1, "docs", 1, "- pump doc", "pump tank"), (1, "lore", 1, "- story", "pump"), (1, "camp", 1, "- fact", "none")], "qid int, layer string, rank int, line string, text string")
     terms = spark.createDataFrame([(1, "pump", 1), (1, "tank", 1)], "qid int, term string, n long")
     sheet = K.fact_sheet(rows, terms).first().sheet.split("\n")
-    assert sheet == [K.LAYERS[1][2], "- pump doc", "- story", K.LAYERS[0][3], "- fact"]
+    assert sheet == [K.HEADERS["docs"][0], "- pump doc", "- story", K.HEADERS["camp"][1], "- fact"]
+    own = K.fact_sheet(rows, terms, headers={"docs": ("D", None), "camp": ("C", "c"), "lore": (None, None)}).first().sheet.split("\n")
+    assert own == ["D", "- pump doc", "- story", "c", "- fact"]
     assert K.fact_sheet(rows, terms, budget=66).first().sheet.split("\n") == sheet[:2]
 
 
