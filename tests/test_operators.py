@@ -227,7 +227,7 @@ def test_sheets_rank_and_spend(spark):
     assert sheet == [K.HEADERS["docs"][0], "- pump doc", "- story", K.HEADERS["camp"][1], "- fact"]
     own = K.fact_sheet(rows, terms, headers={"docs": ("D", None), "camp": ("C", "c"), "lore": (None, None)}).first().sheet.split("\n")
     assert own == ["D", "- pump doc", "- story", "c", "- fact"]
-    assert K.fact_sheet(rows, terms, budget=66).first().sheet.split("\n") == sheet[:2]
+    assert K.fact_sheet(rows, terms, budget=46).first().sheet.split("\n") == sheet[:2]
 
 
 def test_chunks_are_the_text(spark):
