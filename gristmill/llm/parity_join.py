@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import chosen_rows, map_texts, materialise, rows_with_ids
-from gristmill.llm.shingle_near import SKETCH, node_name, overlapping, sets_of, shingle_sets, sketch
+from gristmill.llm.shingle_near import FEW, SKETCH, node_name, overlapping, sets_of, shingle_sets, sketch
 from gristmill.llm.simhash_gray import components, name_components
 
 WORDS = 3
@@ -122,10 +122,6 @@ def _may_link(a: str, b: str) -> Column:
     return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((DEN + NUM) * apart <= (DEN - NUM) * (n + m))
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(f"{a}.node", f"{b}.node").alias("a"), F.greatest(f"{a}.node", f"{b}.node").alias("b")]
-
-
 def _open(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
     """``rows`` with their components, and pairs, of the keys that several components share; the number of pairs of different components."""
     each = materialise(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -135,13 +131,25 @@ def _open(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
 
 
 def _star(rows: DataFrame, orders: int) -> DataFrame:
-    """(a, b): of each key one node with all others of other components that it may link with. Keys take their node by one of ``orders``
+    """(a, b): of each key one node, a, with all others of other components that it may link with. Keys take their node by one of ``orders``
     random orders, so a cluster whose members don't all link with each other is met from several of them."""
+    rows = rows.select("key", "node", "root", "n", *_SKETCHES).repartition("key")  # dealt out once, for both sides
     way = F.pmod(F.xxhash64("key", F.lit(orders)), F.lit(orders))
     first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", way), "node", "root", "n", *_SKETCHES)).alias("c"))
     centre = first.select("key", *[F.col(f"c.{x}").alias(x) for x in ("node", "root", "n", *_SKETCHES)])
     other = rows.alias("x").join(centre.alias("y"), "key").filter((F.col("x.root") != F.col("y.root")) & _may_link("x", "y"))
-    return other.select(*_pair("x", "y")).distinct()
+    return other.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets (node, s) link. Up to ``FEW`` of them, counted, go to where the sets are: then b's set moves once for
+    each pair, a's once for all."""
+    pairs, share = materialise(pairs), (NUM, DEN + NUM)
+    if pairs.count() > FEW:
+        return overlapping(pairs, whole, share)
+    left = whole.join(F.broadcast(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi").toDF("a", "sa")
+    both = whole.toDF("b", "sb").join(F.broadcast(pairs), "b").join(left, "a")
+    return materialise(both.filter(share[1] * F.size(F.array_intersect("sa", "sb")) >= share[0] * (F.size("sa") + F.size("sb"))).select("a", "b"))
 
 
 def links(texts: DataFrame, cross: int = CROSS) -> DataFrame:
@@ -153,11 +161,11 @@ def links(texts: DataFrame, cross: int = CROSS) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("slot").alias("top")).filter("low < high and top >= 0").select("key")
     rows = materialise(rows.join(shared, "key").join(about, "node"))
     whole = sets_of(texts, rows.select("node").distinct(), WORDS)
-    share, n = (NUM, DEN + NUM), rows.count()
+    n = rows.count()
 
     each, edges, roots, orders = rows.withColumn("root", F.col("node")), None, None, ORDERS
     while True:
-        found = overlapping(materialise(_star(each, orders)), whole, share)
+        found = _verified(_star(each, orders), whole)
         fresh = not found.isEmpty()
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges) if fresh or roots is None else roots
@@ -172,8 +180,8 @@ def links(texts: DataFrame, cross: int = CROSS) -> DataFrame:
         again = again.select(*[c for c in each.columns if c != "key"], F.posexplode(F.get("more", F.col("slot"))).alias("at", "other"), "key").withColumn("key", F.xxhash64("key", "other"))
         left = each.filter(F.col("pairs") <= cross).unionByName(again.select(*each.columns))
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y")
-    pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & apart).select(*_pair("x", "y")).distinct()
-    found = overlapping(materialise(pairs), whole, share)
+    pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    found = _verified(pairs, whole)
     return roots if found.isEmpty() else components(edges.unionByName(found))
 
 
