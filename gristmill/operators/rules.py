@@ -145,6 +145,37 @@ def garbage(text: Column) -> Column:
     return (marks / F.greatest(F.length(text), F.lit(1)) > 0.15) | ~text.rlike(r"\p{L}")
 
 
+#: Fixed patterns and lists of a legacy import: titles of paperwork, marks of receipts, and lines a chat program writes itself.
+GARBAGE_TITLES = ("receipt", "order", "invoice", "policy.*encrypted", "costco.*receipt", "instacart.*order", "_uss_", "pendant.*necklaces", "stickers", "banners", "dry ice")
+GARBAGE_MARKS = ("Customer ID:", "Order No:", "Credit Card Authorize", "XXXXXXXXXXXX", "Terms: Due Upon Receipt", "Tran #:", "Cashier:", "Total:", "Customer Copy")
+SYSTEM_LINES = ("joined using a group link", "added you", "left the group", "changed the group", "changed this group", "created group", "messages and calls are end-to-end encrypted")
+#: Fixed pattern: people who say themselves how they are to be called.
+SELF_STATED = r"(?i)\b(?:my pronouns|i'?m a (?:woman|man|guy|girl|dude)|as a (?:woman|man))\b"
+
+
+def garbage_title(title: Column) -> Column:
+    return title.rlike("(?i)" + "|".join(GARBAGE_TITLES))
+
+
+def garbage_content(text: Column) -> Column:
+    """Receipts by their marks, case counted, and texts of which over 15 % are marks of data formats."""
+    marks = F.length(text) - F.length(F.regexp_replace(text, r'[{}\[\]",:]', ""))
+    return F.exists(F.array(*[F.lit(m) for m in GARBAGE_MARKS]), lambda m: F.contains(text, m)) | (marks / F.greatest(F.length(text), F.lit(1)) > 0.15)
+
+
+def system_message(text: Column) -> Column:
+    """What no person wrote, or whose sender's line is decorated."""
+    low = F.lower(text)
+    return F.exists(F.array(*[F.lit(m) for m in SYSTEM_LINES]), lambda m: F.contains(low, m)) | text.rlike("^(?:~|\u200e)")
+
+
+def partition_exempt(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """``rows`` (person_id, text) that are gendered, with exempt: whether the person's own messages (person_id, body) say how to call them."""
+    stated = messages.filter(F.col("body").rlike(SELF_STATED)).select("person_id").distinct().withColumn("_s", F.lit(True))
+    found = rows.filter(gendered(F.col("text"))).join(stated, "person_id", "left")
+    return found.withColumn("exempt", F.coalesce("_s", F.lit(False))).drop("_s")
+
+
 def gendered(text: Column) -> Column:
     return text.rlike(r"(?i)\b(?:he|him|his|she|her|hers|himself|herself)\b")
 

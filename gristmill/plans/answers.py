@@ -253,3 +253,25 @@ def yearly_facts(spark, d):
     facts, evidence = E.yearly_counts(s, "bought")
     cited = evidence.groupBy(F.col("claim_id").cast("int").alias("year")).agg(F.count("*").alias("cited"))
     return facts.join(cited, "year").select("year", "fact", "cited")
+
+
+@query("legacy_texts", r"""
+WITH d AS (SELECT doc_id, text, source || ' ' || left(text, 40) AS title FROM documents)
+SELECT doc_id, regexp_matches(title, '(?i)%s') AS title_out, %s OR length(regexp_replace(text, '[^{}\[\]",:]', '', 'g')) / greatest(length(text), 1)::DOUBLE > 0.15 AS content_out, %s OR starts_with(text, '~') OR starts_with(text, chr(8206)) AS system_line FROM d"""
+% ("|".join(U.GARBAGE_TITLES), " OR ".join(f"contains(text, '{m}')" for m in U.GARBAGE_MARKS), " OR ".join(f"contains(lower(text), '{m}')" for m in U.SYSTEM_LINES)))
+def legacy_texts(spark, d):
+    """What a legacy import would leave out of all documents, and by which of its rules."""
+    t = F.col("text")
+    docs = read(spark, d, "documents").select("doc_id", "text", F.concat("source", F.lit(" "), F.substring("text", 1, 40)).alias("title"))
+    return docs.select("doc_id", U.garbage_title(F.col("title")).alias("title_out"), U.garbage_content(t).alias("content_out"), U.system_message(t).alias("system_line"))
+
+
+@query("pronouns_exempt", r"""
+WITH p AS (SELECT conv_id AS person_id, string_agg(CASE turn %% 3 WHEN 0 THEN 'She said ' WHEN 1 THEN 'I''m a man. ' ELSE '' END || text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
+SELECT person_id, regexp_matches(text, '(?i)\b(my pronouns|i''?m a (woman|man|guy|girl|dude)|as a (woman|man))\b') AS exempt FROM p WHERE regexp_matches(text, '(?i)\b(he|him|his|she|her|hers|himself|herself)\b')""".replace("%%", "%"))
+def pronouns_exempt(spark, d):
+    """Gendered texts, and whether those they are about say themselves how to call them."""
+    said = F.concat(F.when(F.col("turn") % 3 == 0, "She said ").when(F.col("turn") % 3 == 1, "I'm a man. ").otherwise(""), "text")
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("person_id"), said.alias("body"), "turn")
+    whole = c.groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "body"))), lambda x: x["body"]), " ").alias("text"))
+    return U.partition_exempt(whole, c).select("person_id", "exempt")

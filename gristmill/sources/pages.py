@@ -49,6 +49,12 @@ def opening_day(days: DataFrame, today: str, least: int = 10) -> DataFrame:
     return d.agg(F.min_by("date", F.struct(order, "date")).alias("date"))
 
 
+def opening_hour(days: DataFrame, today: str, hour: int) -> DataFrame:
+    """One row: the hour to open the day at where today is listed, else null - then a day opens from its top."""
+    listed = F.max(F.when((F.col("date") == today) & (F.size("slots") > 0), True).otherwise(False))
+    return days.agg(F.when(F.coalesce(listed, F.lit(False)), F.lit(f"{hour:02d}:00")).alias("hour"))
+
+
 def with_descriptions(items: DataFrame, about: DataFrame) -> DataFrame:
     """Items (name, about) with the fuller text of a second list where it has one; the first of each name, case aside."""
     fuller = about.groupBy(F.lower("name").alias("k")).agg(F.first("about", ignorenulls=True).alias("more"))

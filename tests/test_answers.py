@@ -114,3 +114,24 @@ def test_answers_are_found_by_what_was_asked(spark):
     terms = spark.createDataFrame([(1, "medkit", 1), (1, "bus", 1)], "qid int, term string, n long")
     got = R.search_answers(spark.createDataFrame(rows, "id long, question string, body string"), terms).orderBy("rank").collect()
     assert [(r.id, r.fact, r.hits) for r in got] == [(-1, "In the bus, left side", 2), (-3, "Moved to the shed", 1)]
+
+
+def test_legacy_rules(spark):
+    rows = [("Costco May receipt", "Cashier: 12", "Ana joined using a group link"), ("Handbook", "plain words", "~ Ana"), ("Water", '{"a":[1,2],"b":{}}', "we left the group tent"), ("", "", "")]
+    df = spark.createDataFrame(rows, "title string, text string, chat string")
+    got = [tuple(r) for r in df.select(U.garbage_title(F.col("title")), U.garbage_content(F.col("text")), U.system_message(F.col("chat"))).collect()]
+    assert got == [(True, True, True), (False, False, True), (False, True, True), (False, False, False)]
+
+
+def test_exemption_takes_ones_own_words(spark):
+    rows = spark.createDataFrame([(1, "She builds"), (2, "He cooks"), (3, "They cook")], "person_id int, text string")
+    said = spark.createDataFrame([(1, "as a woman I say"), (2, "she is great"), (3, "my pronouns are they")], "person_id int, body string")
+    assert {r.person_id: r.exempt for r in U.partition_exempt(rows, said).collect()} == {1: True, 2: False}
+
+
+def test_opening_hour(spark):
+    from gristmill.sources import pages
+
+    days = spark.createDataFrame([("08-27", [1]), ("08-28", []), ("", [1, 2])], "date string, slots array<int>")
+    assert [pages.opening_hour(days, t, 7).first().hour for t in ("08-27", "08-28", "09-01")] == ["07:00", None, None]
+    assert pages.opening_hour(days.limit(0), "08-27", 7).first().hour is None
