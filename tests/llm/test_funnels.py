@@ -89,6 +89,19 @@ def test_session_zone_with_a_clock_change(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_odd_rows_as_registered(spark, tmp_path):
+    """Columns whose names the operator uses itself, nulls everywhere, repeats and an empty table."""
+    rng = random.Random(9)
+    rows = [(k, c, kind, t) for k, (c, kind, t) in enumerate(clicks(rng, 120, KINDS, [1, 1, 1, 2, 3], 400, 1_000_000) + [(None, None, None), (1, "view", None), (None, "view", START)])]
+    rows += rows[:20]
+    df = spark.createDataFrame([(*r, 1, "x", 2.0, None) for r in rows], "click_id long, client_id long, kind string, ts timestamp_ntz, chunk int, client string, t double, role int")
+    for name, part in (("some", df), ("none", df.limit(0))):
+        part.repartition(2).write.parquet(f"{tmp_path}/{name}/clicks.parquet")
+        got = QUERIES["op12_funnels"](spark, f"{tmp_path}/{name}")
+        assert got.columns == ["funnel", "client_id", "n1", "n2", "n3", "n4", "deepest", "t2", "t3", "t4", "same_depth"]
+        assert sorted(tuple(r) for r in got.collect()) == (brute([r[1:] for r in rows]) if name == "some" else [])
+
+
 def test_percentile_rank():
     assert [U.rank_of(n) for n in (1, 9, 10, 11, 100)] == [math.ceil(90 * n / 100) for n in (1, 9, 10, 11, 100)]
 

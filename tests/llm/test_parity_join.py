@@ -87,6 +87,12 @@ def test_against_all_pairs(spark, monkeypatch, cross):
     assert sizes.most_common(1)[0][1] > 20 and len(sizes) > 100
 
 
+def test_many_pairs_meet_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(P, "FEW", 0)
+    docs = odd_docs(2)[-160:]
+    assert found(spark, docs) == brute(docs)
+
+
 def test_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
