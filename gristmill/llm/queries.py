@@ -11,6 +11,7 @@ from gristmill.llm.lang_mixture import op9_lang_mixture
 from gristmill.llm.line_dedup import OP6_SQL, op6_line_dedup
 from gristmill.llm.packing import op7_packing
 from gristmill.llm.parity_join import op13_parity_join
+from gristmill.llm.parity_sql import OP13_SQL
 from gristmill.llm.pareto_mix import OP10_SQL, op10_pareto_mix
 from gristmill.llm.secret_markov import op3_secret_markov
 from gristmill.llm.simhash_gray import op2_simhash_gray
@@ -37,4 +38,5 @@ ORACLE_SQL = {
     "op10_pareto_mix": OP10_SQL,
     "op11_centroids": OP11_SQL,
     "op12_funnels": OP12_SQL,
+    "op13_parity_join": OP13_SQL,
 }

@@ -6,10 +6,11 @@ import re
 
 import numpy as np
 import pytest
+from oracle import differences
 
 from gristmill.llm import parity_join as P
 from gristmill.llm import shingle_near as N
-from gristmill.llm.queries import QUERIES
+from gristmill.llm.queries import ORACLE_SQL, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -99,6 +100,7 @@ def test_documents(spark):
     got = QUERIES["op13_parity_join"](spark, sf)
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs)
+    assert differences(got, ORACLE_SQL["op13_parity_join"], sf) == []
 
 
 def test_empty_table(spark):
