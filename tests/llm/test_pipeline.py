@@ -82,7 +82,7 @@ def test_pipeline_on_nothing(spark):
 
 
 def test_registry():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert [n for n, _ in C.STAGES] == ["quality", "lines", "near", "mixing", "packing"]
 
