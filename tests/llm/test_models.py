@@ -176,3 +176,12 @@ def test_word_hashes():
     for part in np.array_split(keys, 37):
         table.add(part)
     assert table.find(keys).tolist() == list(range(len(keys))) and (table.find(keys + np.uint64(1)) == -1).mean() > 0.99
+
+
+def test_table_takes_batches_without_new_keys():
+    table = W.Table()
+    none = np.zeros(0, np.uint64)
+    assert table.add(none).tolist() == [] and table.find(np.array([3], np.uint64)).tolist() == [-1]
+    table.add(np.array([5, 3], np.uint64))
+    assert table.add(none).tolist() == [] and table.find(np.array([3, 4, 5], np.uint64)).tolist() == [1, -1, 0]
+    assert table.add(np.array([4], np.uint64)).tolist() == [2]
