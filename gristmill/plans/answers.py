@@ -28,7 +28,8 @@ LINES_SQL = "l AS (SELECT item_id AS entity_id, sale_id * 1000 + line_no AS fact
 def item_facts(spark, d):
     lines = read(spark, d, "sale_lines").filter("item_id is not null and sale_id is not null and line_no is not null")
     text = F.concat("flag", F.lit(" in a lot of "), F.col("quantity").cast("string"))
-    return lines.groupBy(F.col("item_id").alias("entity_id"), (F.col("sale_id") * 1000 + F.col("line_no")).alias("fact_id")).agg(F.min(text).alias("fact"), F.min(F.date_format("shipped_at", "yyyy-MM-dd")).alias("asserted_on"))
+    each = lines.groupBy("item_id", "sale_id", "line_no").agg(F.min(text).alias("fact"), F.min(F.date_format("shipped_at", "yyyy-MM-dd")).alias("asserted_on"))
+    return each.select(F.col("item_id").alias("entity_id"), (F.col("sale_id") * 1000 + F.col("line_no")).alias("fact_id"), "fact", "asserted_on")
 
 
 @query("entity_search_facts", f"""

@@ -135,3 +135,12 @@ def test_opening_hour(spark):
     days = spark.createDataFrame([("08-27", [1]), ("08-28", []), ("", [1, 2])], "date string, slots array<int>")
     assert [pages.opening_hour(days, t, 7).first().hour for t in ("08-27", "08-28", "09-01")] == ["07:00", None, None]
     assert pages.opening_hour(days.limit(0), "08-27", 7).first().hour is None
+
+
+def test_entities_that_share_a_fact_id(spark):
+    entities = spark.createDataFrame([(1, "Bus", []), (2, "Shed", [])], "entity_id long, name string, aliases array<string>")
+    facts = spark.createDataFrame([(1, 5, "a ladder", "2020"), (2, 5, "a lock", "2019")], "entity_id long, fact_id long, fact string, asserted_on string")
+    terms = spark.createDataFrame([(1, "ladder", 1)], "qid int, term string, n long")
+    hits = spark.createDataFrame([(1, 1), (1, 2)], "qid int, entity_id long")
+    assert sorted(tuple(r) for r in R.entity_facts(hits, entities, facts, terms).collect()) == [(1, 1, 5, 1, 1), (1, 2, 5, 0, 1)]
+    assert [r.entity_id for r in R.search_entities(entities, facts, terms).collect()] == [1]
