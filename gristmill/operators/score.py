@@ -75,7 +75,7 @@ def rewrite_rejection(before: Column, after: Column) -> Column:
     """Why a rewrite isn't acceptable; null if it is."""
     from gristmill.operators.rules import gendered
 
-    caps = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b[A-Z][\p{L}]+"), F.lit(0)))
+    caps = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(T.ASCII_EDGE_BEFORE + r"[A-Z][\p{L}]+"), F.lit(0)))
     return (
         F.when(after.isNull() | (F.trim(after) == ""), F.lit("empty"))
         .when(gendered(after), F.lit("still gendered"))

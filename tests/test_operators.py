@@ -258,3 +258,10 @@ def test_unreserved_meets_a_name_once(spark):
     assert sorted(map(tuple, free.collect()), key=str) == [(7, "own"), (8, None), (None, "red widget")]
     joined = free._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftOuter" in joined and "Join Inner" not in joined and "min(_other" in joined
+
+
+def test_rewrites_next_to_other_scripts(spark):
+    """As in SQL, only ASCII letters, digits and _ make a word go on."""
+    r = lambda a, b: value(spark, C.rewrite_rejection(L(a), L(b)))
+    assert r("bon\u00e9 runs", "bon\u00e9he runs") == "still gendered" and r("bon xhe runs", "bon xhe runs") is None
+    assert r("\u00e9Camp is on", "\u00e9kamp is on") == "lost a name" and r("xCamp is on", "xkamp is on") is None
