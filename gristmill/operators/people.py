@@ -127,11 +127,24 @@ def deletions(word: Column) -> Column:
 
 
 def near_spellings(a: DataFrame, b: DataFrame, least: int = 8) -> DataFrame:
-    """(a_id, b_id): names of ``least`` letters or more within one edit, met through deletion keys."""
-    x = a.filter(F.length("name") >= least).select(F.col("id").alias("a_id"), F.col("name").alias("a_name"), F.explode(deletions(F.col("name"))).alias("key"))
-    y = b.filter(F.length("name") >= least).select(F.col("id").alias("b_id"), F.col("name").alias("b_name"), F.explode(deletions(F.col("name"))).alias("key"))
-    met = x.join(y, "key").filter((F.col("a_id") != F.col("b_id")) & (F.levenshtein("a_name", "b_name") <= 1))
-    return met.select("a_id", "b_id").distinct()
+    """(a_id, b_id): names of ``least`` letters or more within one edit, met through deletion keys.
+
+    Different names meet, however many rows bear them, and rows join their pairs after that. No side is ever broadcast: keys are many times
+    their table's size on disk, which is what Spark would judge them by.
+    """
+    x, y = a.filter(F.length("name") >= least).select("id", "name").distinct(), b.filter(F.length("name") >= least).select("id", "name").distinct()
+    pairs = near_names(x, y)
+    met = x.select(F.col("id").alias("a_id"), F.col("name").alias("a_name")).join(pairs.hint("merge"), "a_name").join(y.select(F.col("id").alias("b_id"), F.col("name").alias("b_name")).hint("merge"), "b_name")
+    met = met.filter(F.col("a_id") != F.col("b_id")).select("a_id", "b_id")
+    once = all(rows.groupBy("id").count().filter("count > 1").isEmpty() for rows in ([x] if a is b else [x, y]))
+    return met if once else met.distinct()
+
+
+def near_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_name, b_name): different pairs of names of both within one edit, equal ones included."""
+    keyed = lambda rows, c: rows.select(F.col("name").alias(c)).distinct().select(c, F.explode(deletions(F.col(c))).alias("key"))
+    met = keyed(a, "a_name").join(keyed(b, "b_name").hint("merge"), "key").filter(F.levenshtein("a_name", "b_name") <= 1)
+    return met.select("a_name", "b_name").distinct()
 
 
 def unique_matches(pairs: DataFrame) -> DataFrame:

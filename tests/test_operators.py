@@ -265,3 +265,15 @@ def test_rewrites_next_to_other_scripts(spark):
     r = lambda a, b: value(spark, C.rewrite_rejection(L(a), L(b)))
     assert r("bon\u00e9 runs", "bon\u00e9he runs") == "still gendered" and r("bon xhe runs", "bon xhe runs") is None
     assert r("\u00e9Camp is on", "\u00e9kamp is on") == "lost a name" and r("xCamp is on", "xkamp is on") is None
+
+
+def test_near_spellings_of_copies(spark):
+    """Rows of one name join their names' pairs; keys are never broadcast, whatever size the planner takes them for."""
+    names = ["annabella", "annabela", "robertson", "annabella"]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(names * 2)], "id long, name string")
+    got = P.near_spellings(df, df)
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+    close = lambda a, b: a == b or {a, b} == {"annabella", "annabela"}
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(8) for b in range(8) if a != b and close((names * 2)[a], (names * 2)[b])]
+    twice = spark.createDataFrame([(1, "annabella"), (1, "annabela"), (2, "annabella")], "id long, name string")
+    assert sorted(map(tuple, P.near_spellings(twice, twice).collect())) == [(1, 2), (2, 1)]
