@@ -70,3 +70,14 @@ def test_excluded_topics_and_both_ways(spark):
     lexical = spark.createDataFrame([(1, 11, 6.0)], "qid long, id long, score double")
     got = V.with_semantic(lexical, V.outside_topics(near, topics)).orderBy("place").collect()
     assert [(r.id, r.tier) for r in got] == [(11, 0), (12, 1), (14, 1)]
+
+
+def test_percentiles_of_all_queries(spark, monkeypatch):
+    """Queries beyond those that are broadcast count, too."""
+    import oracle
+
+    from gristmill.plans import search
+
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 1)
+    rows = search.vector_percentiles(spark, oracle.DATA)
+    assert rows.select("qid").distinct().count() == spark.read.parquet(f"{oracle.DATA}/embeddings.parquet").filter("vec_id % 50 = 0").count() > 1
