@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
-from gristmill.functions.shared import written
+from gristmill.operators import set_join
 
 #: Fixed pattern: a word that is capitalised, or a number.
 SPECIFIC = r"^(?:[A-Z][a-z]{2,}|\d{1,4})$"
@@ -33,25 +33,8 @@ def copied(texts: DataFrame, sources: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def jaccard_pairs(rows: DataFrame, key: str, tokens: str, floor: float) -> DataFrame:
-    """(a, b, jaccard) at ``floor`` or more, by prefix filtering: two sets that similar share one of their rarest tokens.
-
-    With tokens in order of rarity, a set of n needs n - ceil(floor * n) + 1 of them as join keys, and no more. Sizes, and the place
-    of the token that is shared, rule most pairs out as they meet; the sets themselves only travel to the pairs that are left.
-    """
-    each = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
-    rarity = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = written(each.join(rarity, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o")).select(key, F.col("o.token").alias("ws")))
-    n = F.size("ws")
-    prefix = ordered.select(key, n.alias("n"), F.posexplode(F.slice("ws", F.lit(1), n - F.ceil(n * F.lit(floor) - 1e-9).cast("int") + 1)).alias("at", "token"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    sizes = F.col("a.n") + F.col("b.n")
-    rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    near = (F.col("a.n") * floor <= F.col("b.n") + 1e-9) & (F.col("b.n") * floor <= F.col("a.n") + 1e-9) & (rest + 1e-9 >= sizes * (floor / (1 + floor)))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & near)
-    pairs = met.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
-    whole = lambda k, name: ordered.select(F.col(key).alias(k), F.col("ws").alias(name))
-    both = pairs.join(whole("a", "wa"), "a").join(whole("b", "wb"), "b").select("a", "b", T.jaccard(F.col("wa"), F.col("wb")).alias("j"))
-    return both.filter(F.col("j") >= floor).select("a", "b", F.round("j", 6).alias("jaccard"))
+    """(a, b, jaccard) at ``floor`` or more, each pair once (``set_join``)."""
+    return set_join.similar(rows, key, tokens, floor).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def chunk_text(text: Column, target: int = 6000) -> Column:
