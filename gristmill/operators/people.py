@@ -99,11 +99,36 @@ def block_keys(first: Column) -> Column:
     return F.array_distinct(F.concat(letters, groups))
 
 
+def first_keys(first: Column) -> tuple[Column, Column]:
+    """(whole, cut) keys: first names agree if, and only if, a whole key of one is a whole or a cut key of the other. Whole keys are the
+    alternatives and their diminutive groups, cut ones their beginnings of two letters or more."""
+    x = first_alternatives(first)
+    groups = F.transform(F.filter(_groups(), lambda g: F.arrays_overlap(g, x)), lambda g: F.concat(F.lit("g:"), F.get(g, F.lit(0))))
+    whole = F.concat(F.transform(F.filter(x, lambda p: p != ""), lambda p: F.concat(F.lit("l:"), p)), groups)
+    shorter = lambda p: F.when(F.length(p) > 2, F.transform(F.sequence(F.lit(2), F.length(p) - 1), lambda n: F.concat(F.lit("l:"), F.call_function("left", p, n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(whole), F.array_distinct(F.flatten(F.transform(x, shorter)))
+
+
+def last_keys(last: Column) -> tuple[Column, Column]:
+    """(whole, cut) keys of surnames in the same way: the surname; its first letter, and the initials of several words, up to three."""
+    n = T.ascii_norm(last)
+    ws = F.split(n, " ")
+    initials = F.array_join(F.transform(ws, lambda w: F.substring(w, 1, 1)), "")
+    some = lambda *keys: F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull() & (k != "")))
+    return some(n), some(F.substring(n, 1, 1), F.when((F.size(ws) > 1) & (F.length(initials) <= 3), initials))
+
+
+def meeting(keys: tuple[Column, Column], other: bool) -> Column:
+    """Keys of one side (or the ``other``) of an equi-join where whole keys meet whole and cut ones, and cut ones never meet each other."""
+    whole, cut = keys
+    tag = lambda t, ks: F.transform(ks, lambda k: F.concat(F.lit(t), k))
+    return F.concat(tag("ww ", whole), tag("cw " if other else "wc ", whole), tag("wc " if other else "cw ", cut))
+
+
 def name_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id) whose first names and surnames agree, met through block keys; both have id, first, last."""
-    left = a.select(F.col("id").alias("a_id"), F.col("first").alias("a_first"), F.col("last").alias("a_last"), F.explode(block_keys(F.col("first"))).alias("key"))
-    right = b.select(F.col("id").alias("b_id"), F.col("first").alias("b_first"), F.col("last").alias("b_last"), F.explode(block_keys(F.col("first"))).alias("key"))
-    met = left.join(right, "key").filter(first_names_agree(F.col("a_first"), F.col("b_first")) & surnames_agree(F.col("a_last"), F.col("b_last")))
+    """(a_id, b_id) whose first names and surnames agree, met through keys that are equal where they agree; both have id, first, last."""
+    side = lambda rows, k, other: rows.select(F.col("id").alias(k), F.explode(meeting(first_keys(F.col("first")), other)).alias("key"), "last").select(k, "key", F.explode(meeting(last_keys(F.col("last")), other)).alias("last_key"))
+    met = side(a, "a_id", False).join(side(b, "b_id", True), ["key", "last_key"])
     return met.select("a_id", "b_id").distinct()
 
 

@@ -111,3 +111,29 @@ def test_absorbed_copies(spark):
     assert "min(low" in got._jdf.queryExecution().optimizedPlan().toString()
     copies = real + [(i + 1000, b) for i, b in real if i != 200]
     assert sorted(map(tuple, M.absorbed(f(orphans), f(copies)).collect())) == brute(copies) != []
+
+
+def test_name_keys_are_equal_where_names_agree(spark):
+    from pyspark.sql import functions as F
+
+    from gristmill.operators import people as P
+
+    firsts = ["Jo", "Joel", "Joe", "Joseph", "J.", "j", "Jim/Jo", "James", "Ed & Ted", "Edward", "", "É", "Joël", "jo", "Joelle / Bob", "Robert", "Don"]
+    lasts = ["Hall", "hall", "H", "Van der Hall", "vdh", "van Dyck", "VD", "a b c d", "abcd", "", "Hull", "h."]
+    names = [(k, f, l) for k, (f, l) in enumerate(itertools.product(firsts, lasts))]
+    n = spark.createDataFrame(names, "id long, first string, last string")
+    x, y = n.select(F.col("id").alias("a_id"), F.col("first").alias("af"), F.col("last").alias("al")), n.select(F.col("id").alias("b_id"), F.col("first").alias("bf"), F.col("last").alias("bl"))
+    want = x.crossJoin(y).filter(P.first_names_agree(F.col("af"), F.col("bf")) & P.surnames_agree(F.col("al"), F.col("bl"))).select("a_id", "b_id")
+    got = P.name_pairs(n, n)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and not want.isEmpty()
+
+
+def test_names_that_only_begin_alike_make_no_rows(spark):
+    """Keys of two letters and an initial let all of these meet each other."""
+    from pyspark.sql import functions as F
+
+    from gristmill.operators import people as P
+
+    n = spark.createDataFrame([(k, f"Jo{'abcdefgh'[k % 8]}{'lmnopqrs'[k // 8 % 8]}", f"Sa{k}") for k in range(400)], "id long, first string, last string")
+    keys = lambda c, other: n.select(F.col("id").alias(c), F.explode(P.meeting(P.first_keys(F.col("first")), other)).alias("k"), "last").select(c, "k", F.explode(P.meeting(P.last_keys(F.col("last")), other)).alias("l"))
+    assert keys("a", False).join(keys("b", True), ["k", "l"]).select("a", "b").distinct().count() == 400  # each with itself
