@@ -277,3 +277,18 @@ def test_near_spellings_of_copies(spark):
     assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(8) for b in range(8) if a != b and close((names * 2)[a], (names * 2)[b])]
     twice = spark.createDataFrame([(1, "annabella"), (1, "annabela"), (2, "annabella")], "id long, name string")
     assert sorted(map(tuple, P.near_spellings(twice, twice).collect())) == [(1, 2), (2, 1)]
+
+
+def test_places_go_to_readable_documents_however_far_behind(spark, monkeypatch):
+    from gristmill.operators import retrieve as R
+
+    cut = []
+    monkeypatch.setattr(R, "passages", lambda found, terms, of=R.passages: cut.append(found.count()) or of(found, terms))
+    good, bad = "the pump stands here and the pump runs all day for us", "pump " + "x" * 40
+    rows = [(k, good if k in (70, 75) else bad) for k in range(80)] + [(100 + k, "lamp " + good.replace("pump", "lamp")) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = spark.createDataFrame([(1, "pump", 1), (2, "lamp", 1)], "qid int, term string, n long")
+    scored = spark.createDataFrame([(1 if k < 80 else 2, k, 1000.0 - k) for k, _ in rows], "qid int, doc_id long, score double")
+    got = {(r.qid, r.rank): r.doc_id for r in R.first_readable(scored, docs, terms, 2, width=4).collect()}
+    assert got == {(1, 1): 70, (1, 2): 75, (2, 1): 100, (2, 2): 101}
+    assert cut == [8, 32, 44]  # question 2 is served by its first four
