@@ -205,9 +205,8 @@ WITH m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
 SELECT a.s AS a, b.s AS b, count(*) AS shared, min(a.p) AS first_shared FROM m a JOIN m b ON a.p = b.p AND a.s < b.s GROUP BY ALL HAVING count(*) >= 2""")
 def relationship_pairs(spark, d):
     """Suppliers that share two parts or more."""
-    m = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    pair = m.alias("a").join(m.alias("b"), (F.col("a.p") == F.col("b.p")) & (F.col("a.s") < F.col("b.s")))
-    return pair.groupBy(F.col("a.s").alias("a"), F.col("b.s").alias("b")).agg(F.count("*").alias("shared"), F.min("a.p").alias("first_shared")).filter("shared >= 2")
+    m = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).filter("s is not null and p is not null").distinct()
+    return G.sharing(m, "s", "p").filter("shared >= 2")
 
 
 @query("co_mentions", """

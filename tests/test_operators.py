@@ -292,3 +292,31 @@ def test_places_go_to_readable_documents_however_far_behind(spark, monkeypatch):
     got = {(r.qid, r.rank): r.doc_id for r in R.first_readable(scored, docs, terms, 2, width=4).collect()}
     assert got == {(1, 1): 70, (1, 2): 75, (2, 1): 100, (2, 2): 101}
     assert cut == [8, 32, 44]  # question 2 is served by its first four
+
+
+def test_sharing_counts_pairs_where_their_member_is(spark):
+    import random
+    from collections import Counter
+
+    from gristmill.operators import gaps as G
+
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(12), rng.randrange(9)) for _ in range(60)} | {(k, 99) for k in range(12)})
+    met = [(a, b, p) for a, p in rows for b, q in rows if p == q and a < b]
+    n = Counter((a, b) for a, b, _ in met)
+    want = sorted((a, b, c, min(p for x, y, p in met if (x, y) == (a, b))) for (a, b), c in n.items())
+    df = G.sharing(spark.createDataFrame(rows, "s long, p long"), "s", "p", pairs=10)
+    assert sorted(tuple(r) for r in df.collect()) == want
+    assert df.rdd.getNumPartitions() >= len(met) // 10  # more pairs, more tasks
+
+
+def test_floor_union_takes_three_of_a_label(spark, tmp_path):
+    from gristmill.plans.search import vector_floor_union
+
+    v = lambda k: [1.0, float(k % 7), float(k % 3)]
+    rows = [(k, v(k), k % 2 if k < 120 else None) for k in range(0, 130)] + [(2, v(2), 0), (50, v(50), 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.qid, r.id, r.weight) for r in vector_floor_union(spark, str(tmp_path)).collect() if r.tier == 0)
+    assert [x for x in got if x[0] == 100] == [(100, 0, 99.0), (100, 2, 97.0), (100, 2, 98.0)]
+    plan = vector_floor_union(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "times" in plan  # few ids of a label meet its questions, not all rows
