@@ -137,3 +137,18 @@ def test_names_that_only_begin_alike_make_no_rows(spark):
     n = spark.createDataFrame([(k, f"Jo{'abcdefgh'[k % 8]}{'lmnopqrs'[k // 8 % 8]}", f"Sa{k}") for k in range(400)], "id long, first string, last string")
     keys = lambda c, other: n.select(F.col("id").alias(c), F.explode(P.meeting(P.first_keys(F.col("first")), other)).alias("k"), "last").select(c, "k", F.explode(P.meeting(P.last_keys(F.col("last")), other)).alias("l"))
     assert keys("a", False).join(keys("b", True), ["k", "l"]).select("a", "b").distinct().count() == 400  # each with itself
+
+
+def test_components_of_chains_stars_and_loops(spark, tmp_path):
+    from gristmill.operators import people as P
+
+    rng = random.Random(8)
+    chain = [(k, k + 1) for k in range(0, 60)]
+    rows = [*chain, *[(200, 300 + k) for k in range(50)], (7, 7), (900, 900), (5, 4), *[(1000 + rng.randrange(80), 1000 + rng.randrange(80)) for _ in range(50)]]
+    to = {n: n for e in rows for n in e}
+    for _ in range(90):
+        for a, b in rows:
+            to[a] = to[b] = min(to[a], to[b])
+    got = P.connected(spark.createDataFrame(rows, "a long, b long").repartition(3), str(tmp_path)).collect()
+    assert {r.node: r.root for r in got} == to and len(got) == len(to)
+    assert P.connected(spark.createDataFrame([], "a long, b long"), str(tmp_path)).collect() == []
