@@ -209,7 +209,8 @@ def grid_people(spark, d):
     k = F.col("l_linenumber") % 3
     cell = lambda row, col, text: F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"), text.alias("cell"))
     body = l.select("file", F.explode(F.array(cell(F.col("l_linenumber") + 2, F.lit(0), F.concat(F.lit("shift "), F.col("l_linenumber").cast("string"))), cell(F.col("l_linenumber") + 2, k * 2 + 1, F.concat(F.lit("P"), F.col("l_partkey").cast("string"))))).alias("c"))
-    heads = l.select("file").distinct().select("file", F.explode(F.array(*[cell(F.lit(1), F.lit(c), F.lit(t)) for c, t in ((1, "Monday"), (3, "Tuesday"), (5, "Friday"))], cell(F.lit(2), F.lit(0), F.lit("cat")))).alias("c"))
+    files = read(spark, d, "orders").select("o_orderkey").distinct().select(F.col("o_orderkey").cast("string").alias("file"))
+    heads = files.select("file", F.explode(F.array(*[cell(F.lit(1), F.lit(c), F.lit(t)) for c, t in ((1, "Monday"), (3, "Tuesday"), (5, "Friday"))], cell(F.lit(2), F.lit(0), F.lit("cat")))).alias("c"))
     return sheets.grid(body.unionByName(heads).select("file", "c.row", "c.col", "c.cell")).select("file", "category", "shift", "day", "person")
 
 

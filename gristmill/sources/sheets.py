@@ -55,19 +55,26 @@ def grid(sheet: DataFrame, least_days: int = 3, within: int = 25) -> DataFrame:
     The header is the first row, of ``within``, with ``least_days`` day names; a day owns the columns up to the next. A row with
     text in its first column alone sets the category for those below; other rows are shifts, whose cells under a day name people.
     """
-    low = sheet.withColumn("day", F.regexp_extract(F.lower("cell"), "^(" + "|".join(DAYS) + r")\b", 1))
-    heads = low.filter((F.col("row") < within) & (F.col("day") != "")).groupBy("file", "row").agg(F.countDistinct("day").alias("n"), F.array_sort(F.collect_list(F.struct("col", "day"))).alias("days"))
-    heads = heads.filter(F.col("n") >= least_days).groupBy("file").agg(F.min_by(F.struct(F.col("row").alias("head"), "days"), "row").alias("h")).select("file", "h.head", "h.days")
-    spans = F.transform("days", lambda d, i: F.struct(d["day"].alias("day"), d["col"].alias("start"), F.coalesce(F.get("days", i + 1)["col"], F.lit(1_000_000)).alias("stop")))
-    heads = heads.select("file", "head", spans.alias("spans"))  # a row per file, seven days each
-    body = sheet.join(heads.select("file", "head"), "file").filter((F.col("row") > F.col("head")) & (F.col("cell") != ""))
-    rows = body.groupBy("file", "row").agg(F.min_by("cell", "col").alias("label"), F.min("col").alias("at"), F.count("*").alias("n"))
-    w = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("category", F.last(F.when((F.col("n") == 1) & (F.col("at") == 0), F.col("label")), ignorenulls=True).over(w))
-    shifts = rows.filter((F.col("at") == 0) & (F.col("n") > 1)).select("file", "row", F.col("label").alias("shift"), "category")
-    named = body.filter(F.col("col") > 0).join(shifts, ["file", "row"]).join(heads.select("file", F.explode("spans").alias("s")), "file")
-    named = named.filter((F.col("col") >= F.col("s.start")) & (F.col("col") < F.col("s.stop")) & ~F.col("cell").rlike(NOT_A_NAME))
-    return named.select("file", "category", "shift", F.initcap("s.day").alias("day"), F.col("cell").alias("person"))
+    day = F.when(F.col("row") < within, F.regexp_extract(F.lower("cell"), "^(" + "|".join(DAYS) + r")\b", 1))
+    cells = sheet.filter("file is not null and row is not null and cell <> ''").repartition("file")  # dealt once: all windows are of files
+    cells = cells.select("file", "row", "col", "cell", F.when(day != "", day).alias("day"))
+    so_far = Window.partitionBy("file", "row").orderBy("col", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    label = F.first(F.when(F.col("col").isNotNull(), F.col("cell")), ignorenulls=True).over(so_far)
+    seen = F.bit_or(F.expr(f"shiftleft(1L, instr('{' '.join(DAYS)}', day))")).over(so_far)  # a bit for each day
+    rows = cells.withColumns({"label": label, "at": F.first("col", ignorenulls=True).over(so_far), "seen": seen})
+    w = Window.partitionBy("file").orderBy("row")
+    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    head = F.first(F.when(F.bit_count("seen") >= least_days, F.col("row")), ignorenulls=True).over(upto)
+    rows = rows.withColumns({"head": head, "before": F.lag("row").over(w), "after": F.lead("row").over(w)})
+    below = F.col("row") > F.col("head")
+    alone = below & (F.col("col") == 0) & ~F.col("before").eqNullSafe(F.col("row")) & ~F.col("after").eqNullSafe(F.col("row"))
+    rows = rows.withColumn("category", F.last(F.when(alone, F.col("cell")), ignorenulls=True).over(upto))
+    heads = (F.col("row") == F.col("head")) & F.col("day").isNotNull() & F.col("col").isNotNull()
+    named = below & (F.col("at") == 0) & (F.col("col") > 0) & ~F.col("cell").rlike(NOT_A_NAME)  # beside its row's label
+    across = Window.partitionBy("file").orderBy("col", "row", "day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owner = F.last(F.when(heads, F.col("day")), ignorenulls=True).over(across)
+    owned = rows.filter(heads | named).withColumn("owner", owner).filter(below & F.col("owner").isNotNull())
+    return owned.select("file", "category", F.col("label").alias("shift"), F.initcap("owner").alias("day"), F.col("cell").alias("person"))
 
 
 def read_roster(rows: DataFrame, columns: dict[str, str | None], year: int, default: str = "listed", commitments: tuple[str, ...] = ()) -> DataFrame:

@@ -1,7 +1,10 @@
 """Sources on small generated files."""
 
 import json
+import random
+import re
 import zipfile
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -58,6 +61,48 @@ def test_grid_and_text(spark, tmp_path):
     assert sheets.sniff(spark, str(tmp_path / "grid_2024.csv")) == ","
 
 
+def brute_grid(cells):
+    """The rule of ``sheets.grid``, file by file in plain Python."""
+    out = []
+    for file in {c[0] for c in cells} - {None}:
+        rows = {}
+        for name, row, col, cell in cells:
+            if name == file and row is not None and cell:
+                rows.setdefault(row, []).append((col, cell))
+        day = lambda cell: next((d for d in sheets.DAYS if re.match(rf"{d}\b", cell.lower())), None)
+        head = next((r for r in sorted(rows) if r < 25 and len({day(c) for _, c in rows[r]} - {None}) >= 3), None)
+        if head is None:
+            continue
+        days, category = sorted((k, day(c)) for k, c in rows[head] if day(c) and k is not None), None
+        for r in sorted(r for r in rows if r > head):
+            own = sorted((k, c) for k, c in rows[r] if k is not None)
+            if len(rows[r]) == 1 and own and own[0][0] == 0:
+                category = own[0][1]
+            elif own and own[0][0] == 0:
+                out += [(file, category, own[0][1], d[-1][1].capitalize(), c) for k, c in own if k > 0 and c != "TBD" and (d := [x for x in days if x[0] <= k])]
+    return Counter(out)
+
+
+def test_odd_grids(spark):
+    rnd = random.Random(7)
+    cells = [("far", r, c, t) for r, c, t in [(24, 1, "Monday"), (24, 2, "Tuesday"), (24, 3, "Friday"), (25, 0, "early"), (25, 2, "Ana")]]
+    cells += [("late", 25, 1, "Monday"), ("late", 25, 2, "Tuesday"), ("late", 25, 3, "Friday"), ("late", 26, 0, "x"), ("late", 26, 2, "Bo"), (None, 1, 1, "Monday")]
+    cells += [("above", 1, 0, "not a category"), ("above", 2, 1, "Sunday"), ("above", 2, 2, "Monday"), ("above", 2, 2, "Tuesday 4th"), ("above", 3, 0, "dawn"), ("above", 3, 1, "Cy"), ("above", 3, 2, "Dee"), ("above", 3, 2, "Dee"), ("above", 3, None, "Eve")]
+    for f in range(60):
+        for r in range(12):
+            for c in range(7):
+                t = rnd.choice(["", None, "Monday", "tuesday, 2nd", "Friday", "Mondays"] if r < 4 else ["", "", None, "TBD", "Ana", "Bo", "Sunday"])
+                cells.append((f"f{f}", r, rnd.choice([c, None]) if rnd.random() < 0.02 else c, t if rnd.random() < 0.8 and (r % 3 or c == 0) else ""))
+    got = sheets.grid(spark.createDataFrame(rnd.sample(cells, len(cells)), "file string, row int, col int, cell string").repartition(3))
+    assert Counter(map(tuple, got.collect())) == brute_grid(cells)
+
+
+def test_grid_reads_its_cells_once(spark):
+    cells = spark.createDataFrame([("f", 0, 1, "Monday")], "file string, row int, col int, cell string")
+    plan = sheets.grid(cells)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_rosters_over_years(spark):
     rows = spark.createDataFrame([("Ana 'Sun' Stone", "ANA@x.org", "Yesssss", ""), ("Bo Li", "", "maybe/yes", "420"), ("~", "", "", ""), ("Cy Ray", "", "No. :(", "0")], "who string, mail string, rsvp string, dues string")
     y = {"name": "who", "email": "mail", "status": "rsvp"}
