@@ -56,7 +56,8 @@ def grid(sheet: DataFrame, least_days: int = 3, within: int = 25) -> DataFrame:
     text in its first column alone sets the category for those below; other rows are shifts, whose cells under a day name people.
     """
     day = F.when(F.col("row") < within, F.regexp_extract(F.lower("cell"), "^(" + "|".join(DAYS) + r")\b", 1))
-    cells = sheet.filter("file is not null and row is not null and cell <> ''").repartition("file")  # dealt once: all windows are of files
+    n = int(sheet.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many, so that none are merged into tasks that spill
+    cells = sheet.filter("file is not null and row is not null and cell <> ''").repartition(n, "file")  # dealt once: all windows are of files
     cells = cells.select("file", "row", "col", "cell", F.when(day != "", day).alias("day"))
     so_far = Window.partitionBy("file", "row").orderBy("col", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     label = F.first(F.when(F.col("col").isNotNull(), F.col("cell")), ignorenulls=True).over(so_far)
