@@ -185,3 +185,23 @@ def test_table_takes_batches_without_new_keys():
     table.add(np.array([5, 3], np.uint64))
     assert table.add(none).tolist() == [] and table.find(np.array([3, 4, 5], np.uint64)).tolist() == [1, -1, 0]
     assert table.add(np.array([4], np.uint64)).tolist() == [2]
+
+
+def test_toxicity_learns_all_labelled_documents(spark):
+    """Words in as few documents as may have a row count, wherever these stand; several shards, and any partitions, give one model."""
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    texts = [" ".join([*rng.choices(words, k=rng.randint(5, 20)), f"rare{k % 350}", *(["vile"] if k % 10 == 0 else []), str(k)]) for k in range(2800)]
+    docs = [(k, t, ("de", "fr")[k % 2]) for k, t in enumerate(texts)] + [(5000, texts[0], "de"), (5001, None, None), (5002, "no label", "de"), (None, "nobody's", "de")]
+    labels = [(k, int(k % 10 == 0)) for k in range(2800)] + [(3, 0), (3, None), (5000, 1), (5001, 0), (None, 1), (7, 5), (9999, 1)]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    cases = T.labelled(d, y)
+    assert sorted((bytes(r.words), r.toxic) for r in cases.collect()) == sorted({(b" ".join(T.words_of(t)), int(k % 10 == 0)) for k, t in enumerate(texts)} | {(b"", 0)})
+    one = T.train(d.repartition(1), y)
+    assert sum(zlib.crc32(f"rare{k}".encode()) in one.rows for k in range(350)) == 350  # each in 8 documents
+    some = [*texts[:40], "vile", "alpha", None]
+    same = T.fit([(T.words_of(t), int(k % 10 == 0)) for k, t in enumerate(texts)] + [([], 0)], [("de", "fr")[k % 2] for k in range(2800)] + [None])
+    assert (one.scores(some) == same.scores(some)).all()
+    assert np.mean([(s >= T.CUT) == (k % 10 == 0) for k, s in enumerate(one.scores(texts))]) > 0.99
+    several = [T.train(d.repartition(n), y, shard=4000).scores(some) for n in (1, 6)]
+    assert (several[0] == several[1]).all() and (several[0][:40] >= T.CUT).tolist() == [k % 10 == 0 for k in range(40)]
