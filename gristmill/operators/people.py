@@ -125,10 +125,16 @@ def meeting(keys: tuple[Column, Column], other: bool) -> Column:
     return F.concat(tag("ww ", whole), tag("cw " if other else "wc ", whole), tag("wc " if other else "cw ", cut))
 
 
+def met_by_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that share their exploded keys. No side is ever broadcast: keys are many times their table's size on disk, which is what Spark
+    would judge them by."""
+    return a.hint("merge").join(b.hint("merge"), keys)
+
+
 def name_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, b_id) whose first names and surnames agree, met through keys that are equal where they agree; both have id, first, last."""
     side = lambda rows, k, other: rows.select(F.col("id").alias(k), F.explode(meeting(first_keys(F.col("first")), other)).alias("key"), "last").select(k, "key", F.explode(meeting(last_keys(F.col("last")), other)).alias("last_key"))
-    met = side(a, "a_id", False).join(side(b, "b_id", True), ["key", "last_key"])
+    met = met_by_keys(side(a, "a_id", False), side(b, "b_id", True), ["key", "last_key"])
     return met.select("a_id", "b_id").distinct()
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from gristmill.operators import matching as M
+from gristmill.operators import people as P
 from gristmill.operators.vector_index import VectorIndex  # noqa: F401
 
 
@@ -152,3 +153,15 @@ def test_components_of_chains_stars_and_loops(spark, tmp_path):
     got = P.connected(spark.createDataFrame(rows, "a long, b long").repartition(3), str(tmp_path)).collect()
     assert {r.node: r.root for r in got} == to and len(got) == len(to)
     assert P.connected(spark.createDataFrame([], "a long, b long"), str(tmp_path)).collect() == []
+
+
+def test_keys_of_names_are_never_broadcast(spark, tmp_path):
+    """Names on disk look small beside their keys."""
+    rows = [(k, f"Ana{k % 7} Bel{k}", f"Ana{k % 7}", f"Bel{k}") for k in range(50)]
+    spark.createDataFrame(rows, "id long, name string, first string, last string").write.parquet(f"{tmp_path}/names")
+    df = spark.read.parquet(f"{tmp_path}/names")
+    people = df.withColumns({"messages": df["id"], "nickname": df["first"], "name_id": df["id"]})
+    for met in (M.agreeing_names(people), P.name_pairs(df, df)):
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    plan = M.link_candidates(people, people)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin [key#" in line]
