@@ -81,3 +81,43 @@ def test_percentiles_of_all_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "BROADCAST_QUERIES", 1)
     rows = search.vector_percentiles(spark, oracle.DATA)
     assert rows.select("qid").distinct().count() == spark.read.parquet(f"{oracle.DATA}/embeddings.parquet").filter("vec_id % 50 = 0").count() > 1
+
+
+def test_order_statistics_by_parts_and_lots(spark):
+    """Labels of one part and of several, copies, repeated queries, odd vectors, against sorted lists."""
+    import math
+
+    from gristmill.operators import vector_ranks as K
+
+    rng = np.random.default_rng(5)
+    rows = [(k, "big" if k % 4 else None, [float(x) for x in rng.normal(size=6).astype(np.float32)]) for k in range(900)]
+    rows += [(1000 + k, "big", rows[5][2]) for k in range(700)] + [(2000 + k, f"few{k % 3}", rows[k][2]) for k in range(9)]
+    rows += [(3000, "few0", None), (3001, "few0", [1.0, None, 1.0, 1.0, 1.0, 1.0]), (3002, "odd", [1.0, 2.0]), (3003, "few1", [float("nan")] * 6), (3004, "few1", [float("inf")] + [1.0] * 5), (3005, "none", [])]
+    queries = [(k, rows[k][2]) for k in (0, 50, 100, 150)] + [(50, rows[7][2]), (7, [3.0, 1.0]), (8, None)]
+    want: dict = {}
+    for q, a in queries:
+        for _, label, b in rows:
+            if a is None or b is None or len(a) != len(b) or None in b:
+                continue
+            s = 0.0
+            for x, y in zip(a, b, strict=True):
+                s += x * y
+            if not math.isnan(s):
+                want.setdefault((q, label), []).append(round(s, 6) if math.isfinite(s) else s)
+    want = {k: (len(v), sorted(v)[len(v) // 2], sorted(v)[(len(v) * 90 + 99) // 100 - 1]) for k, v in want.items()}
+    df = spark.createDataFrame([r[1:] for r in rows], "label string, embedding array<float>")
+    q = spark.createDataFrame(queries, "qid long, query array<float>")
+    places = {"median": K.upper_median, "p90": K.nearest_rank(90)}
+    for part, lot in ((1 << 15, 10_000), (300, 10_000), (300, 3)):
+        got = {(r.qid, r.label): (r.n, r.median, r.p90) for r in K.order_statistics(df, q, places, part=part, lot=lot).collect()}
+        assert got == want
+
+
+def test_percentiles_move_no_pairs(spark):
+    """What the statistics of a label shuffle doesn't grow with pairs of queries and vectors."""
+    import oracle
+
+    from gristmill.plans import search
+
+    plan = search.vector_percentiles(spark, oracle.DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
