@@ -45,3 +45,17 @@ def test_near_stage_on_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert kept(spark, docs) == brute(docs)
     assert N.near_dedup(frame(spark, [])).count() == 0
+
+
+def test_nothing_hangs_on_what_the_index_nominates(spark, monkeypatch):
+    """All fingerprints equal, so the index names pairs with one stand-in alone, which is like nobody: the others are found all the same."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    docs = [(k, " ".join(word() for _ in range(80))) for k in range(30)]
+    docs += [(100 + k, " ".join([*t.split()[:78], word(), word()])) for k, t in docs[:20]]
+    want = brute(docs)
+    assert len(want) == 30
+    monkeypatch.setattr(N, "simhash", lambda s: 0)
+    assert kept(spark, docs) == want
+    monkeypatch.setattr(N, "index_pairs", lambda fps: fps.selectExpr("fp AS a", "fp AS b").limit(0))
+    assert kept(spark, docs) == want
